@@ -18,6 +18,7 @@ from newsloom.functions.times import rfc3339
 from newsloom.functions.urls import BASE, activity_id, comment_id
 from newsloom.operators.objects import apply_updates, soft_delete, upsert_notes
 from newsloom.operators.ordered import with_previous
+from newsloom.session import stage
 from newsloom.operators.threads import NO_PARENT, thread_facts, thread_reason, thread_root, with_parent_kind
 
 REACTIONS = ("Like", "Dislike")
@@ -68,13 +69,17 @@ def dispatch(requests: DataFrame) -> DataFrame:
 
 def _with_deletion(known: DataFrame, deletes: DataFrame) -> DataFrame:
     """Known objects with ``deleted_at``: the moment of the first deletion by the owner in this batch."""
-    facts = known.select(F.col("id").alias("lookup_id"), "owner", "deleted", "created_at")
-    valid = deletes.select("lookup_id", "actor", "moment").join(facts, "lookup_id").filter(
-        (F.col("actor") == F.col("owner")) & ~F.col("deleted")
-        & (F.col("created_at").isNull() | (F.col("created_at") < F.col("moment")))
+    own = deletes.select(F.col("lookup_id").alias("id"), F.col("actor").alias("owner"), "moment")
+    facts = known.withColumn("facts", F.struct(*known.columns)).select("id", "owner", "facts")
+    after = F.when(
+        ~F.col("facts.deleted")
+        & (F.col("facts.created_at").isNull() | (F.col("facts.created_at") < F.col("moment"))),
+        F.col("moment"),
     )
-    first = valid.groupBy(F.col("lookup_id").alias("id")).agg(F.min("moment").alias("deleted_at"))
-    return known.join(first, "id", "left")
+    first = facts.join(own, ["id", "owner"], "left").groupBy("id").agg(
+        F.first("facts").alias("facts"), F.min(after).alias("deleted_at")
+    )
+    return first.select("facts.*", "deleted_at")
 
 
 def _alive(known: str) -> Column:
@@ -110,16 +115,18 @@ def _new_notes(creates: DataFrame, known: DataFrame, base: str) -> DataFrame:
     )
 
 
-def known_objects(checked: DataFrame, objects: DataFrame, base: str = BASE, stage: Stage | None = None) -> DataFrame:
-    """Every object the batch refers to, stored or created by the batch itself, with creation and deletion moments."""
-    keep = stage or (lambda df: df)
+def known_objects(checked: DataFrame, objects: DataFrame, base: str = BASE, keep: Stage = stage) -> DataFrame:
+    """Every object the batch refers to, stored or created by the batch itself, with creation and deletion moments.
+
+    Each level is written out once (``keep``), so the objects table is read once and not again per level.
+    """
     valid = checked.filter("malformed is null")
     deletes, creates = valid.filter(_is("Delete")), valid.filter(_is("Create"))
     wanted = valid.select(F.col("lookup_id").alias("id")).distinct()
-    stored = with_parent_kind(thread_facts(objects).join(wanted, "id", "left_semi"), objects)
+    found = with_parent_kind(thread_facts(objects).join(wanted, "id", "left_semi"), objects)
     moment = checked.schema["moment"].dataType
-    level = keep(_with_deletion(stored.withColumn("created_at", F.lit(None).cast(moment)), deletes))
-    known = level
+    stored = keep(_with_deletion(found.withColumn("created_at", F.lit(None).cast(moment)), deletes))
+    level = known = stored
     # First-level comments, then their replies; replies to those are always rejected, so two rounds are all.
     # A replayed batch finds its notes stored already: the stored row counts.
     for _ in range(2):
@@ -139,15 +146,15 @@ def _previous_reactions(attempts: DataFrame, likes: DataFrame) -> DataFrame:
 
 
 def decide(
-    requests: DataFrame, objects: DataFrame, likes: DataFrame, base: str = BASE, stage: Stage | None = None
+    requests: DataFrame, objects: DataFrame, likes: DataFrame, base: str = BASE, keep: Stage = stage
 ) -> DataFrame:
     """Requests with status, reason, accepted and, for accepted ones, the ids they produce.
 
     status: 201 created, 200 done or nothing to do, 400 malformed, 403 not the owner, 404 no such object.
-    ``stage`` may cut the lineage between the levels (see session.stage).
+    ``keep`` writes intermediate results out (see session.stage).
     """
-    checked = dispatch(requests)
-    known = _packed(known_objects(checked, objects, base, stage))
+    checked = keep(dispatch(requests))
+    known = _packed(known_objects(checked, objects, base, keep))
     seen = checked.join(known, "lookup_id", "left")
     ok = F.col("malformed").isNull()
     reaction = F.coalesce(F.col("type").isin(*REACTIONS), F.lit(False))
@@ -347,12 +354,10 @@ class Outcome:
 
 
 def apply_activities(
-    requests: DataFrame, objects: DataFrame, likes: DataFrame, base: str = BASE, stage: Stage | None = None
+    requests: DataFrame, objects: DataFrame, likes: DataFrame, base: str = BASE, keep: Stage = stage
 ) -> Outcome:
     """Apply a batch of requests to objects and reactions."""
-    decided = decide(requests, objects, likes, base, stage)
-    if stage is not None:
-        decided = stage(decided)
+    decided = keep(decide(requests, objects, likes, base, keep))
     with_notes = upsert_notes(objects, created_notes(decided))
     edited = apply_updates(with_notes, edited_documents(decided, with_notes))
     return Outcome(decided, activity_rows(decided), soft_delete(edited, deleted_ids(decided)), reaction_state(decided, likes))

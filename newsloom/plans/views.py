@@ -323,7 +323,7 @@ def config_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     marks = sources.filter("top % 2 = 0").select(
         F.concat(F.lit("rss."), F.col("source"), F.lit(".last_fetched_at")).alias("key"),
-        F.lit("2024-01-15T00:00:00Z").alias("value"),
+        F.lit("2024-01-02T00:00:00Z").alias("value"),
     )
     return urls.unionByName(marks).withColumns(common)
 
@@ -369,7 +369,7 @@ def note_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(
         F.when(turn % 2 == 0, id).otherwise(F.concat(id, F.lit("/new"))).alias("id"),
         minutes_after_origin(F.col("conv_id") % 1000).alias("published"),
-        F.to_json(F.struct(F.lit("Note").alias("type"), F.upper("text").alias("content"))).alias("object_json"),
+        F.to_json(F.struct(F.lit("Note").alias("type"), F.concat(F.lit("edit "), F.col("text")).alias("content"))).alias("object_json"),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,13 +42,17 @@ def local_session(app: str = "newsloom", cores: str = "*", partitions: int = 8,
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there.
+    """Write ``df`` as a table in the shared folder and continue from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a temporary one is used only
-    when nothing is configured (tests on one machine).
+    The table survives lost executors and cuts the lineage, and its real size lets Spark choose the joins
+    that follow. The folder is the one the cluster names in ``spark.checkpoint.dir``; a temporary one is
+    used only when nothing is configured (tests on one machine).
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="newsloom-"))
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="newsloom-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
