@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.functions.times import rfc3339
 
@@ -33,20 +33,27 @@ def null_value() -> Column:
     return F.parse_json(F.lit("null"))
 
 
-def with_fields(document: Column, fields: dict[str, Column]) -> Column:
-    """Set top-level fields (variant values); a NULL value leaves the key as it is, other keys are kept."""
-    names = list(fields)
-    given = F.map_filter(
-        F.create_map(*[part for name in names for part in (F.lit(name), fields[name].cast("variant"))]),
-        lambda _, value: value.isNotNull(),
+def with_fields(df: DataFrame, document: str, fields: dict[str, Column], out: str | None = None) -> DataFrame:
+    """Set top-level fields of a document column; a NULL value leaves the field as it is, other keys are kept.
+
+    The result replaces the column or goes to ``out``. The document and the new values are columns of their
+    own first, so each is computed once.
+    """
+    new = {name: f"_new_{place}" for place, name in enumerate(fields)}
+    read = df.withColumns(
+        {"_parsed": parsed(F.col(document))} | {new[name]: value.cast("variant") for name, value in fields.items()}
     )
-    kept = F.map_filter(parsed(document), lambda key, _: ~F.array_contains(F.map_keys(given), key))
-    return F.to_json(F.map_concat(kept, given))
+    values = [
+        part for name, column in new.items() for part in (F.lit(name), F.coalesce(F.col(column), F.col("_parsed")[name]))
+    ]
+    given = F.map_filter(F.create_map(*values), lambda _, value: value.isNotNull())
+    kept = F.map_filter("_parsed", lambda key, _: ~key.isin(*fields))
+    return read.withColumn(out or document, F.to_json(F.map_concat(kept, given))).drop("_parsed", *new.values())
 
 
-def with_live_fields(document: Column, like_count: Column, updated: Column) -> Column:
-    """What readers see: the stored document with the current like count and update time."""
-    return with_fields(document, {"likes": like_count, "updated": rfc3339(updated)})
+def with_live_fields(df: DataFrame, document: str, out: str) -> DataFrame:
+    """What readers see: the stored document with the row's like count and update time."""
+    return with_fields(df, document, {"likes": F.col("like_count"), "updated": rfc3339(F.col("updated"))}, out)
 
 
 def article_document(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F, types as T
 
 # All Unicode white space (what a full strip removes), as a Java character class.
@@ -25,8 +27,12 @@ def strip(text: Column) -> Column:
 
 def non_blank(text: Column) -> Column:
     """Stripped text, or NULL when nothing is left."""
-    stripped = strip(text)
-    return F.when(stripped != "", stripped)
+    return F.nullif(strip(text), F.lit(""))
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _full_table_unescape():
@@ -43,7 +49,8 @@ def _full_table_unescape():
 def unescape(text: Column) -> Column:
     """Decode HTML entities once: ``&amp;lt;`` becomes ``&lt;``.
 
-    The common entities stay in the JVM; only texts with any other entity travel to Python.
+    The common entities stay in the JVM; only texts with any other entity travel to Python. The text is used
+    several times, so it should be a column of the input rather than a long expression.
     """
     plain = text
     for entity, character in _PLAIN_ENTITIES:
@@ -52,21 +59,29 @@ def unescape(text: Column) -> Column:
     return F.when(other, _full_table_unescape()(F.when(other, text))).otherwise(plain)
 
 
+def bare_text(raw: Column, collapse: bool = True) -> Column:
+    """Markup to spaces, entities still encoded; missing text is empty."""
+    text = F.regexp_replace(F.coalesce(raw, F.lit("")), MARKUP, " ")
+    return F.regexp_replace(text, f"{SPACE}+", " ") if collapse else text
+
+
 def clean_text(raw: Column, collapse: bool = True) -> Column:
     """Markup to spaces, entities decoded last so that escaped markup survives as text.
 
     ``collapse`` also folds white space and strips the ends (ingest); the tagger leaves it as it is.
     """
-    text = F.regexp_replace(F.coalesce(raw, F.lit("")), MARKUP, " ")
-    if not collapse:
-        return unescape(text)
-    return strip(unescape(F.regexp_replace(text, f"{SPACE}+", " ")))
+    text = unescape(bare_text(raw, collapse))
+    return strip(text) if collapse else text
 
 
 def longer(a: Column, b: Column) -> Column:
     """The longer of two stripped texts; blanks count as missing and a tie keeps the first."""
-    first, second = non_blank(a), non_blank(b)
-    return F.when(F.length(second) > F.length(first), second).otherwise(F.coalesce(first, second))
+    return bind(
+        F.struct(non_blank(a).alias("a"), non_blank(b).alias("b")),
+        lambda pair: F.when(F.length(pair["b"]) > F.length(pair["a"]), pair["b"]).otherwise(
+            F.coalesce(pair["a"], pair["b"])
+        ),
+    )
 
 
 def words(text: Column) -> Column:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from newsloom.functions.text import bind
+
 _RFC2822 = (
-    r"^\s*(?:[A-Za-z]+\s*,?\s+)?(\d{1,2})[\s-]+([A-Za-z]{3})[A-Za-z]*[\s-]+(\d{2,4})\s+"
+    r"^\s*(?:[A-Za-z]+\s*,?\s+)?(\d{1,2})[\s-]+([A-Za-z]{3})[A-Za-z]*[\s-]+(\d{4}|\d{2})\s+"
     r"(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([+-]\d{4}|[A-Za-z]*)\s*(?:\(.*\))?\s*$"
 )
 _ISO = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
@@ -20,24 +22,21 @@ ZONE_OFFSETS = {
 def parse_rfc2822(text: Column) -> Column:
     """Mail-style date to timestamp; anything else is NULL. A date without a zone is read as UTC."""
 
-    def part(group: int) -> Column:
-        return F.regexp_extract(text, _RFC2822, group)
-
-    short_year = F.try_to_number(part(3), F.lit("9999"))
-    year = F.when(F.length(part(3)) == 4, part(3)).when(
-        F.length(part(3)) == 2, F.concat(F.when(short_year > 68, "19").otherwise("20"), part(3))
-    )
-    zone = F.upper(part(7))
-    offset = F.when(zone.rlike(r"^[+-]\d{4}$"), zone)
-    for name, value in ZONE_OFFSETS.items():
-        offset = F.coalesce(offset, F.when(zone == name, F.lit(value)))
-    normalised = F.concat_ws(
-        " ",
-        F.concat_ws(" ", part(1), part(2), year),
-        F.concat_ws(":", part(4), part(5), F.coalesce(F.nullif(part(6), F.lit("")), F.lit("00"))),
-        F.coalesce(offset, F.lit("+0000")),
-    )
-    return F.when(text.rlike(_RFC2822), F.try_to_timestamp(normalised, F.lit("d MMM yyyy H:mm:ss Z")))
+    offsets = F.create_map(*[F.lit(part) for pair in ZONE_OFFSETS.items() for part in pair])
+
+    def normalised(part: Column) -> Column:
+        day, month, year, hour, minute, second, zone = (part[place] for place in range(1, 8))
+        century = F.when(F.length(year) == 4, "").when(year > "68", "19").otherwise("20")
+        offset = F.when(zone.rlike("^[+-]"), zone).otherwise(
+            F.coalesce(F.try_element_at(offsets, F.upper(zone)), F.lit("+0000"))
+        )
+        date = F.concat_ws(" ", day, month, F.concat(century, year))
+        time = F.concat_ws(":", hour, minute, F.when(second == "", "00").otherwise(second))
+        return F.when(F.size(part) == 8, F.concat_ws(" ", date, time, offset))
+
+    # one match: the parts behind a separator no date contains, or the text itself when it is no date
+    parts = F.split(F.regexp_replace(text, _RFC2822, "|$1|$2|$3|$4|$5|$6|$7"), "[|]")
+    return F.try_to_timestamp(bind(parts, normalised), F.lit("d MMM yyyy H:mm:ss Z"))
 
 
 def parse_iso(text: Column) -> Column:

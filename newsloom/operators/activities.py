@@ -13,13 +13,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsloom.functions.documents import null_value, parsed, text_field, with_fields
+from newsloom.functions.documents import keys, null_value, parsed, text_field, with_fields
 from newsloom.functions.times import rfc3339
 from newsloom.functions.urls import BASE, activity_id, comment_id
 from newsloom.operators.objects import apply_updates, soft_delete, upsert_notes
 from newsloom.operators.ordered import with_previous
-from newsloom.session import stage
 from newsloom.operators.threads import NO_PARENT, thread_facts, thread_reason, thread_root, with_parent_kind
+from newsloom.session import stage
 
 REACTIONS = ("Like", "Dislike")
 EDITABLE = ("name", "summary", "content")
@@ -123,7 +123,7 @@ def known_objects(checked: DataFrame, objects: DataFrame, base: str = BASE, keep
     valid = checked.filter("malformed is null")
     deletes, creates = valid.filter(_is("Delete")), valid.filter(_is("Create"))
     wanted = valid.select(F.col("lookup_id").alias("id")).distinct()
-    found = with_parent_kind(thread_facts(objects).join(wanted, "id", "left_semi"), objects)
+    found = with_parent_kind(keep(thread_facts(objects, wanted)), objects)
     moment = checked.schema["moment"].dataType
     stored = keep(_with_deletion(found.withColumn("created_at", F.lit(None).cast(moment)), deletes))
     level = known = stored
@@ -254,26 +254,24 @@ def remove_reactions(likes: DataFrame, removals: DataFrame) -> DataFrame:
     return likes.join(removals.select("actor", "object_id").distinct(), ["actor", "object_id"], "left_anti")
 
 
-def note_document(decided: DataFrame) -> Column:
-    """The stored document of a created note: the payload, stamped."""
-    return with_fields(
-        F.col("object_json"),
-        {
-            "id": F.col("result_id"),
-            "published": rfc3339(F.col("received_at")),
-            "attributedTo": F.col("actor"),
-            "thread_root": F.col("thread_root"),
-        },
-    )
+def with_note_documents(decided: DataFrame, out: str) -> DataFrame:
+    """Add the stored document of each created note: the payload, stamped."""
+    stamps = {
+        "id": F.col("result_id"),
+        "published": rfc3339(F.col("received_at")),
+        "attributedTo": F.col("actor"),
+        "thread_root": F.col("thread_root"),
+    }
+    return with_fields(decided, "object_json", stamps, out)
 
 
 def created_notes(decided: DataFrame) -> DataFrame:
     """Rows for upsert_notes."""
-    return decided.filter(F.col("accepted") & _is("Create")).select(
+    return with_note_documents(decided.filter(F.col("accepted") & _is("Create")), "document").select(
         F.col("result_id").alias("id"),
         F.col("received_at").alias("published"),
         F.col("received_at").alias("updated"),
-        note_document(decided).alias("object_json"),
+        F.col("document").alias("object_json"),
     )
 
 
@@ -290,16 +288,18 @@ def folded_edits(decided: DataFrame) -> DataFrame:
 
 def edited_documents(decided: DataFrame, objects: DataFrame) -> DataFrame:
     """Rows for apply_updates: supplied fields overwritten, the others as they were (null when they were absent)."""
-    joined = folded_edits(decided).join(objects.select("id", "object_json"), "id")
-    document = parsed(F.col("object_json"))
+    joined = folded_edits(decided).join(objects.select("id", "object_json"), "id").withColumn(
+        "present", keys(F.col("object_json"))
+    )
     fields = {
         name: F.coalesce(
-            F.variant_get(F.try_parse_json(F.col(name)), "$.v", "variant"), document[name], null_value()
+            F.variant_get(F.try_parse_json(F.col(name)), "$.v", "variant"),
+            F.when(~F.array_contains("present", name), null_value()),
         )
         for name in EDITABLE
     }
     fields["updated"] = rfc3339(F.col("updated"))
-    return joined.select("id", "updated", with_fields(F.col("object_json"), fields).alias("object_json"))
+    return with_fields(joined, "object_json", fields).select("id", "updated", "object_json")
 
 
 def deleted_ids(decided: DataFrame) -> DataFrame:
@@ -313,7 +313,7 @@ def activity_rows(decided: DataFrame) -> DataFrame:
     """Event-log rows of the accepted requests."""
     stamped = rfc3339(F.col("received_at"))
     payload = (
-        F.when(_is("Create"), F.parse_json(note_document(decided)))
+        F.when(_is("Create"), F.try_parse_json(F.col("note")))
         .when(F.col("object_json").isNotNull() & ~F.col("type").isin(*REACTIONS), F.try_parse_json(F.col("object_json")))
         .otherwise(F.col("target_id").cast("variant"))
     )
@@ -328,7 +328,7 @@ def activity_rows(decided: DataFrame) -> DataFrame:
         .when(_is("Delete"), F.coalesce("target_kind", F.lit("Note")))
         .otherwise("Note")
     )
-    return decided.filter("accepted").select(
+    return with_note_documents(decided.filter("accepted"), "note").select(
         F.col("activity_id").alias("id"),
         "type",
         "actor",

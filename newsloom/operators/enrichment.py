@@ -30,13 +30,6 @@ def merged_fields(document: Column, page: dict[str, Column]) -> dict[str, Column
     }
 
 
-def merge_page_fields(document: Column, page: dict[str, Column]) -> Column:
-    """The document with the page's metadata merged in."""
-    fields = merged_fields(document, page)
-    fields["image"] = F.parse_json(F.to_json(fields["image"]))
-    return with_fields(document, fields)
-
-
 def og_results(pending: DataFrame, pages: DataFrame) -> DataFrame:
     """Outcome for every pending article: the enriched document, or the document as it was with an error.
 
@@ -47,18 +40,21 @@ def og_results(pending: DataFrame, pages: DataFrame) -> DataFrame:
     wanted = readable.withColumn("page_url", F.nullif(text_field(F.col("object_json"), "url"), F.lit("")))
     names = ["title", "description", "image", "published_time", "modified_time"]
     unique = latest_per_key(pages, "page_url", [F.col(name) for name in names])
-    joined = wanted.join(
-        unique.select("page_url", F.struct(*names).alias("page")), "page_url", "left"
-    )
-    enriched = merge_page_fields(F.col("object_json"), {name: F.col(f"page.{name}") for name in names})
+    joined = wanted.join(unique.select("page_url", *names, F.lit(True).alias("found")), "page_url", "left")
+    fields = merged_fields(F.col("object_json"), {name: F.col(name) for name in names})
+    fields["image"] = F.parse_json(F.to_json(fields["image"]))
     error = F.when(F.col("page_url").isNull(), "Missing url in object_json").when(
-        F.col("page").isNull(), "Fetch/Parse error: no page"
+        F.col("found").isNull(), "Fetch/Parse error: no page"
     )
-    return joined.select(
-        "id",
-        F.when(error.isNull(), enriched).otherwise(F.col("object_json")).alias("object_json"),
-        F.lit(True).alias("og_enriched"),
-        error.alias("og_enriched_error"),
+    return (
+        with_fields(joined, "object_json", fields, out="enriched")
+        .withColumn("og_enriched_error", error)
+        .select(
+            "id",
+            F.when(F.col("found"), F.col("enriched")).otherwise(F.col("object_json")).alias("object_json"),
+            F.lit(True).alias("og_enriched"),
+            "og_enriched_error",
+        )
     )
 
 
@@ -79,12 +75,14 @@ def scraped_articles(pages: DataFrame, now: Column, base: str = BASE) -> DataFra
     titled = pages.withColumn("title", non_blank(F.col("title"))).filter(
         is_http_url(F.col("page_url")) & F.col("title").isNotNull()
     )
-    rows = titled.withColumn("id", scraped_id(F.col("page_url"), base))
-    for name, column in [("published", "published_time"), ("updated", "modified_time")]:
-        valid = parse_iso(F.col(column))
-        rows = rows.withColumn(name, F.coalesce(valid, now)).withColumn(
-            f"{name}_text", F.when(valid.isNotNull(), F.col(column)).otherwise(rfc3339(now))
-        )
+    times = {"published": "published_time", "updated": "modified_time"}
+    rows = titled.withColumns(
+        {"id": scraped_id(F.col("page_url"), base)} | {f"{name}_valid": parse_iso(F.col(raw)) for name, raw in times.items()}
+    )
+    for name, raw in times.items():
+        valid = F.col(f"{name}_valid")
+        text = F.when(valid.isNotNull(), F.col(raw)).otherwise(rfc3339(now))
+        rows = rows.withColumns({name: F.coalesce(valid, now), f"{name}_text": text})
     document = article_document(
         id=F.col("id"),
         url=F.coalesce(F.nullif(F.col("url"), F.lit("")), F.col("page_url")),

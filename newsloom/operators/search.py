@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from newsloom.functions.documents import CONTEXT, parsed, with_live_fields
+from newsloom.functions.documents import CONTEXT, with_live_fields
 from newsloom.functions.urls import BASE
 from newsloom.operators.objects import live
 
@@ -76,13 +76,8 @@ def outbox_items(objects: DataFrame, tags: Sequence[str], n: int = DEFAULT_N) ->
     winners = outbox(objects, tags, n)
     keys = [name for name in ["id", "published_date"] if name in winners.columns]
     documents = objects.select(*keys, "object_json")
-    return (
-        documents.join(F.broadcast(winners), keys)
-        .filter(parsed(F.col("object_json")).isNotNull())
-        .withColumn("document", with_live_fields(F.col("object_json"), F.col("like_count"), F.col("updated")))
-        .drop("object_json")
-        .orderBy(*ranking())
-    )
+    found = with_live_fields(documents.join(F.broadcast(winners), keys), "object_json", "document")
+    return found.filter(F.col("document").isNotNull()).drop("object_json").orderBy(*ranking())
 
 
 def total_items(objects: DataFrame, tags: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from newsloom.functions.text import clean_text, words
+from newsloom.functions.text import bare_text, unescape, words
 from newsloom.operators.merge import latest_per_key
 from newsloom.operators.objects import apply_tags, live
 
@@ -39,7 +39,8 @@ def object_texts(objects: DataFrame) -> DataFrame:
     )
     fields = read.select("id", inner.alias("inner"))
     text = F.concat_ws(" ", *[F.nullif(F.col(f"inner.{name}"), F.lit("")) for name in ["name", "summary", "content"]])
-    return fields.select("id", clean_text(text, collapse=False).alias("text"))
+    bare = fields.select("id", bare_text(text, collapse=False).alias("text"))
+    return bare.select("id", unescape(F.col("text")).alias("text"))
 
 
 def lemmas(texts: DataFrame, lexicon: DataFrame | None = None, stopwords=STOPWORDS) -> DataFrame:

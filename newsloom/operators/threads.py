@@ -11,22 +11,30 @@ NO_PARENT = "parent object not found or deleted"
 BAD_PARENT = "unsupported parent object type"
 
 
-def thread_facts(objects: DataFrame) -> DataFrame:
-    """What a thread decision needs to know of each object."""
-    document = F.col("object_json")
-    return objects.select(
+def thread_facts(objects: DataFrame, ids: DataFrame) -> DataFrame:
+    """What a thread decision needs to know of the given objects (column id, distinct).
+
+    Documents are read after the semi join, for the wanted objects only.
+    """
+    wanted = objects.select("id", "deleted", "object_json").join(ids, "id", "left_semi")
+    document = F.from_json("object_json", "type string, attributedTo string, inReplyTo string, thread_root string")
+    read = wanted.select("id", "deleted", document.alias("document"))
+    return read.select(
         "id",
         "deleted",
-        text_field(document, "type").alias("kind"),
-        text_field(document, "attributedTo").alias("owner"),
-        F.nullif(text_field(document, "inReplyTo"), F.lit("")).alias("in_reply_to"),
-        F.nullif(text_field(document, "thread_root"), F.lit("")).alias("thread_root"),
+        F.col("document.type").alias("kind"),
+        F.col("document.attributedTo").alias("owner"),
+        F.nullif(F.col("document.inReplyTo"), F.lit("")).alias("in_reply_to"),
+        F.nullif(F.col("document.thread_root"), F.lit("")).alias("thread_root"),
     )
 
 
 def with_parent_kind(facts: DataFrame, objects: DataFrame) -> DataFrame:
     """Add ``parent_kind``: the type of the object each note replies to, deleted or not."""
-    kinds = objects.select(F.col("id").alias("in_reply_to"), text_field(F.col("object_json"), "type").alias("parent_kind"))
+    above = facts.filter("in_reply_to is not null").select(F.col("in_reply_to").alias("id")).distinct()
+    kinds = objects.select("id", "object_json").join(above, "id", "left_semi").select(
+        F.col("id").alias("in_reply_to"), text_field(F.col("object_json"), "type").alias("parent_kind")
+    )
     return facts.join(kinds, "in_reply_to", "left")
 
 
@@ -51,9 +59,8 @@ def resolve_threads(creates: DataFrame, objects: DataFrame) -> DataFrame:
     Two joins at most, because threads are two levels deep; a popular article is a hot key of the first
     join only, which AQE splits.
     """
-    facts = thread_facts(objects)
     wanted = creates.select(F.col("in_reply_to").alias("id")).distinct()
-    parents = with_parent_kind(facts.join(wanted, "id", "left_semi"), objects)
+    parents = with_parent_kind(thread_facts(objects, wanted), objects)
     packed = parents.select(F.col("id").alias("in_reply_to"), F.struct(*parents.columns).alias("parent"))
     joined = creates.join(packed, "in_reply_to", "left")
     reason = F.when(F.col("parent").isNull() | F.col("parent.deleted"), NO_PARENT).otherwise(thread_reason("parent"))

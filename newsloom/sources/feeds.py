@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.functions.documents import article_document
-from newsloom.functions.text import capitalised, clean_text, strip
+from newsloom.functions.text import bare_text, capitalised, strip, unescape
 from newsloom.functions.times import parse_any, parse_rfc2822, rfc3339
 from newsloom.functions.urls import BASE, article_id
 from newsloom.schemas import PUBLISHERS
@@ -86,15 +86,16 @@ def feed_items(feeds: DataFrame, xml: str = "xml", atom_dates: bool = False) ->
         atom = parse_any(strip(item["atom:updated"]))
         published = F.coalesce(published, parse_any(strip(item["pubDate"])), atom)
         updated = F.coalesce(atom, published)
-    return rows.select(
+    fields = rows.select(
         *carried,
-        clean_text(item["title"]).alias("title"),
+        bare_text(item["title"]).alias("title"),
         F.coalesce(strip(item["link"]), F.lit("")).alias("link"),
-        clean_text(item["description"]).alias("summary"),
+        bare_text(item["description"]).alias("summary"),
         published.alias("published"),
         updated.alias("updated"),
         image_url(item, F.col("channel_image")).alias("image_url"),
     )
+    return fields.withColumns({name: strip(unescape(F.col(name))) for name in ["title", "summary"]})
 
 
 def parse_feeds(feeds: DataFrame, xml: str = "xml", atom_dates: bool = False) -> DataFrame:

@@ -84,12 +84,9 @@ def extract_page_metadata(pages: DataFrame, html: str = "html", url: str = "url"
     columns = {name: last(name) for name in PROPERTIES}
     columns["title"] = F.coalesce(columns["title"], F.col("title_tag"))
     columns["description"] = F.coalesce(columns["description"], F.try_element_at(plain, F.lit(1))["content"])
-    columns["url"] = F.coalesce(columns["url"], F.col("page_url"))
-    return tagged.select(
-        *carried,
-        "page_url",
-        *[(unescape(column) if name != "url" else F.when(last("url").isNull(), F.col("page_url")).otherwise(unescape(column))).alias(name) for name, column in columns.items()],
-    )
+    raw = tagged.select(*carried, "page_url", *[column.alias(name) for name, column in columns.items()])
+    decoded = raw.withColumns({name: unescape(F.col(name)) for name in columns})
+    return decoded.withColumn("url", F.coalesce("url", "page_url"))
 
 
 def feed_page(url: Column) -> Column:
@@ -113,4 +110,6 @@ def discover_feed_links(pages: DataFrame, html: str = "html", url: str = "url")
         F.nullif(F.try_element_at(declared, F.lit(1))["href"], F.lit("")),
         F.try_element_at(mentioned, F.lit(1))["href"],
     )
-    return read.select(*carried, "page_url", absolute_url(unescape(href), F.col("page_url")).alias("feed_url"))
+    found = read.select(*carried, "page_url", href.alias("href"))
+    decoded = found.withColumn("href", unescape(F.col("href")))
+    return decoded.select(*carried, "page_url", absolute_url(F.col("href"), F.col("page_url")).alias("feed_url"))
