@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F, types as T
 
-# All Unicode white space (what a full strip removes), as a Java character class.
+# All Unicode white space, what a full strip removes: as characters and as a Java character class.
+SPACE_CHARACTERS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 MARKUP = "<[^>]+>"
 # Fixed value: words of three or more letters of the Finnish alphabet, hyphens included.
@@ -22,7 +26,7 @@ _OTHER_ENTITY = r"&(?!(?:lt|gt|quot|apos|#39|#x27|nbsp|amp);)[#A-Za-z]"
 
 def strip(text: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACE_CHARACTERS))
 
 
 def non_blank(text: Column) -> Column:

@@ -14,7 +14,7 @@ from newsloom.functions import documents as docs, text as tx, times, urls
 from newsloom.operators import activities as act, enrichment, objects as ob, quality, reactions, search, state, tagging, threads
 from newsloom.operators.merge import latest_per_key
 from newsloom.plans import views
-from newsloom.session import configure
+from newsloom.session import configure, stage
 from newsloom.sources import feeds, pages, tables
 
 SEARCH = ["the", "les", "der"]
@@ -203,7 +203,7 @@ def upsert_articles(spark, sf_dir):
 
 @query
 def upsert_scraped(spark, sf_dir):
-    scraped = enrichment.scraped_articles(_page_metadata(spark, sf_dir), views.now())
+    scraped = stage(enrichment.scraped_articles(_page_metadata(spark, sf_dir), views.now()))
     merged = ob.upsert_scraped(views.scraped_targets(spark, sf_dir), scraped)
     return merged.select("id", "source", "published", "updated", "og_enriched", "like_count", "deleted", _field("name").alias("name"))
 
