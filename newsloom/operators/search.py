@@ -73,7 +73,8 @@ def outbox_items(objects: DataFrame, tags: Sequence[str], n: int = DEFAULT_N) ->
     by ``published_date`` their dates prune the second scan. Rows without a readable document are dropped
     after the limit, so fewer than n may come back.
     """
-    winners = outbox(objects, tags, n)
+    # always true after the match; a comparison on the small side is what lets Spark prune partitions by it
+    winners = outbox(objects, tags, n).filter(F.col("relevance") > 0)
     keys = [name for name in ["id", "published_date"] if name in winners.columns]
     documents = objects.select(*keys, "object_json")
     found = with_live_fields(documents.join(F.broadcast(winners), keys), "object_json", "document")
