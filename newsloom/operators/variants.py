@@ -8,6 +8,7 @@ from newsloom.functions.documents import CONTEXT, text_field, with_fields
 from newsloom.functions.times import parse_iso
 from newsloom.functions.urls import BASE
 
+# Fixed value: what readers see of a deleted comment.
 PLACEHOLDER = "[kommentti poistettu]"
 
 

@@ -463,6 +463,29 @@ where o.published > case when c.key is not null then timestamp '2024-01-02 00:00
     "validate_documents": """select id, kind, case when kind is null then 'no document' else 'missing keys' end problem,
   case when kind = 'Article' then '@context,url,published' when kind = 'Note' then '@context,published' end missing
 from (select id, kind from board where id like 'conv/%' or kind is null)""",
+    "anonymised": f"""select id, type, case when actor in (select actor from activities where type = 'Delete')
+  then '{BASE}/users/' || sha256(actor) else actor end actor from activities""",
+    "without_actor_data": """select id, type, actor, object_id from activities
+where actor not in (select actor from activities where type = 'Delete' and object_id like '%7')""",
+    "state_from_log": """select object_id, arg_max(type, row(received_at, id)) last_type, max(received_at) last_at, bool_or(type = 'Delete') deleted,
+  arg_min(actor, row(received_at, id)) filter (type = 'Create') creator from activities group by object_id""",
+    "placeholders": """select id, deleted, case when deleted and kind = 'Note' and id in (select in_reply_to from board where in_reply_to is not null)
+  then '[kommentti poistettu]' else content end as content from board""",
+    "tag_edits": """select t.id, array_to_string(list_concat(
+    list_filter(t.tags, lambda x: not list_contains(coalesce(e.removed, []), x)),
+    list_filter(coalesce(e.added, []), lambda x: not list_contains(t.tags, x))), ',') tags
+from (select id, list_concat(['topic2'], list(tag order by rk)) tags from object_tags group by id) t left join (
+  select object_id id, list_sort(list(tag) filter (type = 'Like')) added, list(tag) filter (type = 'Dislike') removed from (
+    select object_id, tag, arg_max(type, row(received_at, id)) type from (
+      select *, 'topic' || ((length(id) + length(actor)) % 5) tag from activities where type in ('Like', 'Dislike')) group by 1, 2) group by 1) e
+on e.id = t.id""",
+    "decision_articles": f"""select '{BASE}/objects/decisions/helsinki/HEL-' || conv_id || '-' || turn id, 'ahjo' source, {_at("conv_id*7")} published,
+  {_at("conv_id*7")} updated, text as name, upper(role) summary, role author from conversations where turn > 0""",
+    "catalogue_documents": f"""select '{BASE}/objects/hri/datasets/' || doc_id id, 'hri' source, {_at("doc_id*37%43200")} published, 'sv ' || source name_sv,
+  text summary_fi from documents""",
+    "dated_pending": f"""select link, case when doc_id % 5 = 1 then timestamp '2024-01-05 10:00:00' end published from feed
+where has_link and not has_date and (doc_id % 5 = 1 or {_at("doc_id*60%43200")} >= timestamp '2024-01-05 00:00:00')""",
+    "allowed_pages": "select page_id, url page_url from pages where regexp_extract(url, '://([^/?#]*)', 1) like '%.org'",
 }
 
 ORACLES = {name: _sql(body) for name, body in BODIES.items()}

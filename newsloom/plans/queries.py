@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.functions import documents as docs, text as tx, times, urls
-from newsloom.operators import activities as act, enrichment, objects as ob, quality, reactions, search, state, tagging, threads
+from newsloom.operators import activities as act, enrichment, objects as ob, quality, reactions, search, state, tagging, threads, variants
 from newsloom.operators.merge import latest_per_key
 from newsloom.plans import views
 from newsloom.session import configure, stage
@@ -548,3 +548,93 @@ def resolved_feeds(spark, sf_dir):
 def validate_documents(spark, sf_dir):
     problems = quality.validate_documents(views.board(spark, sf_dir))
     return problems.select("id", "kind", "problem", _joined("missing").alias("missing"))
+
+
+# ---- around the core -------------------------------------------------------------------------------
+
+
+@query
+def anonymised(spark, sf_dir):
+    log = views.activities(spark, sf_dir).select("id", "type", "actor")
+    return variants.anonymised(log, log.filter("type = 'Delete'"))
+
+
+@query
+def without_actor_data(spark, sf_dir):
+    log = views.activities(spark, sf_dir).select("id", "type", "actor", "object_id")
+    return variants.without_actor_data(log, log.filter("type = 'Delete' and object_id like '%7'"))
+
+
+@query
+def state_from_log(spark, sf_dir):
+    return variants.state_from_log(views.activities(spark, sf_dir))
+
+
+@query
+def placeholders(spark, sf_dir):
+    shown = variants.with_placeholders(views.board(spark, sf_dir))
+    return shown.select("id", "deleted", _field("content").alias("content"))
+
+
+@query
+def tag_edits(spark, sf_dir):
+    log = views.activities(spark, sf_dir).filter("type in ('Like', 'Dislike')")
+    edits = log.select(
+        "object_id", F.when(F.col("type") == "Like", "Add").otherwise("Remove").alias("type"),
+        F.concat(F.lit("topic"), F.pmod(F.length("id") + F.length("actor"), F.lit(5))).alias("tag"), "received_at", "id",
+    )
+    topics = views.object_tags(spark, sf_dir).select("id", F.concat(F.array(F.lit("topic2")), "tags").alias("tags"))
+    return variants.apply_tag_edits(topics, edits).select("id", _joined("tags").alias("tags"))
+
+
+@query
+def decision_articles(spark, sf_dir):
+    number, turn = F.col("conv_id"), F.col("turn")
+    record = F.to_json(F.struct(
+        F.concat(F.lit("HEL-"), number.cast("string"), F.lit("-"), turn.cast("string")).alias("register_id"),
+        F.col("text").alias("subject"),
+        F.when(turn > 0, F.date_format(views.minutes_after_origin(number * 7), "yyyy-MM-dd'T'HH:mm:ss")).alias("latest_decision_date"),
+        F.struct(F.upper("role").alias("content")).alias("agenda_item"),
+        F.struct(F.col("role").alias("name")).alias("policymaker"),
+    ))
+    made = variants.decision_articles(views.table(spark, sf_dir, "conversations").select(record.alias("json")))
+    return made.select(
+        "id", "source", _ntz("published").alias("published"), _ntz("updated").alias("updated"), _field("name").alias("name"),
+        _field("summary").alias("summary"), docs.text_field(F.col("object_json"), "attributedTo", "name").alias("author"),
+    )
+
+
+@query
+def catalogue_documents(spark, sf_dir):
+    number = F.col("doc_id")
+    created = F.date_format(views.minutes_after_origin(number * 37 % 43200), "yyyy-MM-dd'T'HH:mm:ss")
+    record = F.to_json(F.struct(
+        number.cast("string").alias("id"), F.col("source").alias("title"), F.col("text").alias("notes"),
+        F.struct(F.concat(F.lit("sv "), F.col("source")).alias("sv")).alias("title_translated"),
+        created.alias("metadata_created"),
+    ))
+    made = variants.catalogue_documents(views.table(spark, sf_dir, "documents").select(record.alias("json")))
+    return made.select(
+        "id", "source", _ntz("published").alias("published"), docs.text_field(F.col("object_json"), "nameMap", "sv").alias("name_sv"),
+        docs.text_field(F.col("object_json"), "summaryMap", "fi").alias("summary_fi"),
+    )
+
+
+@query
+def dated_pending(spark, sf_dir):
+    """Undated feed items (first seen an hour per number after the origin) against the pages' dates."""
+    number = F.regexp_extract("link", r"(\d+)$", 1).cast("bigint")
+    waiting = feeds.undated_items(views.feed_xml(spark, sf_dir)).withColumn(
+        "first_seen", views.minutes_after_origin(number * 60 % 43200)
+    )
+    page = F.regexp_extract("page_url", r"(\d+)$", 1)
+    metadata = _page_metadata(spark, sf_dir).withColumn("page_url", F.concat(F.lit("https://news.example/"), page))
+    dated, still = variants.dated_pending(waiting, metadata, F.expr("timestamp_ntz'2024-01-12 00:00:00'"))
+    return dated.select("link", _ntz("published").alias("published")).unionByName(still.select("link"), allowMissingColumns=True)
+
+
+@query
+def allowed_pages(spark, sf_dir):
+    stored = views.table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("page_url"))
+    hosts = stored.select(urls.authority(F.col("page_url")).alias("host")).filter("host like '%.org'").distinct()
+    return enrichment.allowed_pages(stored, hosts).select("page_id", "page_url")
