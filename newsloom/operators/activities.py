@@ -43,7 +43,7 @@ def _is(kind: str) -> Column:
 def dispatch(requests: DataFrame) -> DataFrame:
     """Requests with their target, the id to look up and, for malformed ones, the reason."""
     payload = F.nullif(F.nullif(F.col("object_json"), F.lit("")), F.lit("{}"))
-    read = requests.withColumn("object_json", payload).withColumn("is_object", parsed(payload).isNotNull())
+    read = requests.withColumn("object_json", payload).withColumn("is_object", F.json_object_keys(payload).isNotNull())
     read = read.withColumn(
         "target_id",
         F.nullif(F.coalesce(F.nullif(F.col("object_id"), F.lit("")), text_field(F.col("object_json"), "id")), F.lit("")),

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsloom.functions.documents import article_document, parsed, text_field, with_fields
+from newsloom.functions.documents import article_document, text_field, with_fields
 from newsloom.functions.text import longer, non_blank
 from newsloom.functions.times import parse_iso, rfc3339
 from newsloom.functions.urls import BASE, authority, is_http_url, scraped_id, site
@@ -36,7 +36,7 @@ def og_results(pending: DataFrame, pages: DataFrame) -> DataFrame:
     ``pages`` has one row of metadata per ``page_url``. Rows whose document cannot be read are left pending;
     every other row is marked as processed, found or not, so that no row is retried for ever.
     """
-    readable = pending.filter(parsed(F.col("object_json")).isNotNull())
+    readable = pending.filter(F.json_object_keys("object_json").isNotNull())
     wanted = readable.withColumn("page_url", F.nullif(text_field(F.col("object_json"), "url"), F.lit("")))
     names = ["title", "description", "image", "published_time", "modified_time"]
     unique = latest_per_key(pages, "page_url", [F.col(name) for name in names])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.functions.documents import article_document
+from newsloom.functions.rows import pinned
 from newsloom.functions.text import bare_text, capitalised, strip, unescape
 from newsloom.functions.times import parse_any, parse_rfc2822, rfc3339
 from newsloom.functions.urls import BASE, article_id
@@ -78,7 +79,10 @@ def feed_items(feeds: DataFrame, xml: str = "xml", atom_dates: bool = False) ->
         F.coalesce("feed.item", F.array().cast(f"array<{_ITEM}>")),
     )
     channel_image = F.coalesce("feed.channel.image.url", "feed.image.url")
-    rows = parsed.select(*carried, channel_image.alias("channel_image"), F.explode(items).alias("item"))
+    # explode_outer: explode would put a filter on the array below and parse every document once more for it
+    rows = parsed.select(*carried, channel_image.alias("channel_image"), F.explode_outer(items).alias("item")).filter(
+        "item is not null"
+    )
     item = F.col("item")
     published = parse_rfc2822(strip(item["pubDate"]))
     updated = published
@@ -95,7 +99,8 @@ def feed_items(feeds: DataFrame, xml: str = "xml", atom_dates: bool = False) ->
         updated.alias("updated"),
         image_url(item, F.col("channel_image")).alias("image_url"),
     )
-    return fields.withColumns({name: strip(unescape(F.col(name))) for name in ["title", "summary"]})
+    dated = pinned(fields, "published", "link")
+    return dated.withColumns({name: strip(unescape(F.col(name))) for name in ["title", "summary"]})
 
 
 def parse_feeds(feeds: DataFrame, xml: str = "xml", atom_dates: bool = False) -> DataFrame:

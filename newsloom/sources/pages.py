@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from newsloom.functions.rows import pinned
 from newsloom.functions.text import unescape
 from newsloom.functions.urls import absolute_url, site
 
@@ -86,7 +87,7 @@ def extract_page_metadata(pages: DataFrame, html: str = "html", url: str = "url"
     columns["description"] = F.coalesce(columns["description"], F.try_element_at(plain, F.lit(1))["content"])
     raw = tagged.select(*carried, "page_url", *[column.alias(name) for name, column in columns.items()])
     decoded = raw.withColumns({name: unescape(F.col(name)) for name in columns})
-    return decoded.withColumn("url", F.coalesce("url", "page_url"))
+    return pinned(decoded.withColumn("url", F.coalesce("url", "page_url")), *columns)
 
 
 def feed_page(url: Column) -> Column:
