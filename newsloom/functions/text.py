@@ -11,7 +11,7 @@ SPACE_CHARACTERS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
 MARKUP = "<[^>]+>"
 # Fixed value: words of three or more letters of the Finnish alphabet, hyphens included.
 WORD = "[a-zäöåA-ZÄÖÅ-]{3,}"
