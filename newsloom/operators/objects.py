@@ -30,8 +30,8 @@ def pending_og(objects: DataFrame, sources: Sequence[str] | None = None, batch:
     if batch is None:
         return pending.select("id", "object_json")
     newest = pending.select("id", "published").orderBy(F.desc("published"), "id").limit(batch)
-    # at most `batch` ids: the wide documents are fetched for the chosen rows only
-    return pending.select("id", "object_json").join(F.broadcast(newest.select("id")), "id", "left_semi")
+    # the wide documents are fetched for the chosen rows only; the limit tells Spark how small that side is
+    return pending.select("id", "object_json").join(newest.select("id"), "id", "left_semi")
 
 
 def in_window(df: DataFrame, as_of: Column, days: int = 7, time: str = "published") -> DataFrame:

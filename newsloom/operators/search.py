@@ -101,11 +101,10 @@ def outbox_document(
         -F.col("relevance"), -F.col("like_count"), F.col("updated").isNull(), -F.unix_micros(F.col("updated").cast("timestamp")),
         F.col("published").isNull(), -F.unix_micros(F.col("published").cast("timestamp")), F.col("id"),
     )
-    collected = items.agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct(order.alias("place"), F.col("document")))),
-            lambda item: F.parse_json(item["document"]),
-        ).alias("ordered")
+    placed = items.select(F.struct(order.alias("place"), F.col("document")).alias("item"))
+    collected = placed.unionByName(total.select("total_items"), allowMissingColumns=True).agg(
+        F.transform(F.sort_array(F.collect_list("item")), lambda item: F.parse_json(item["document"])).alias("ordered"),
+        F.max("total_items").alias("total_items"),
     )
     document = F.to_json(
         F.struct(
@@ -116,7 +115,7 @@ def outbox_document(
             F.col("ordered").alias("orderedItems"),
         )
     )
-    return collected.crossJoin(F.broadcast(total)).select(document.alias("document"))
+    return collected.select(document.alias("document"))
 
 
 def normalised_searches(searches: DataFrame) -> DataFrame:

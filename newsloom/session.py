@@ -25,9 +25,11 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(app: str = "newsloom", cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A single-machine session for tests and benchmarks."""
-    spark = (
+def local_session(
+    app: str = "newsloom", cores: str = "*", partitions: int = 8, memory: str = "8g", **options: str
+) -> SparkSession:
+    """A single-machine session for tests and benchmarks; ``options`` are further settings, dots as ``__``."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -35,8 +37,10 @@ def local_session(app: str = "newsloom", cores: str = "*", partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
-        .getOrCreate()
     )
+    for key, value in options.items():
+        builder = builder.config(key.replace("__", "."), value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
 

@@ -9,7 +9,12 @@ from newsloom.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("newsloom-tests", partitions=4, memory="6g")
+def shared_folder(tmp_path_factory):
+    return tmp_path_factory.mktemp("shared")
+
+
+@pytest.fixture(scope="session")
+def spark(shared_folder):
+    session = local_session("newsloom-tests", partitions=4, memory="6g", spark__checkpoint__dir=str(shared_folder))
     yield session
     session.stop()
