@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the table has fewer files than there are cores; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def now() -> Column:
     return F.expr(NOW)
 
@@ -286,7 +292,7 @@ def feed_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<item>"), body, F.lit("</item></channel></rss>"),
     )
     source = F.when(number % 4 == 0, "hs").when(number % 4 == 1, "is").otherwise(F.col("source"))
-    return table(spark, sf_dir, "documents").select(source.alias("source"), xml.alias("xml"))
+    return spread(table(spark, sf_dir, "documents")).select(source.alias("source"), xml.alias("xml"))
 
 
 def og_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,7 +316,7 @@ def og_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</body></html>"),
     )
     url = F.concat(F.lit("https://"), F.col("source"), F.lit(".example/doc/"), n)
-    return table(spark, sf_dir, "documents").select(url.alias("url"), head.alias("html"))
+    return spread(table(spark, sf_dir, "documents")).select(url.alias("url"), head.alias("html"))
 
 
 def config_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
