@@ -1,4 +1,4 @@
-"""The reference tables (objects, activities, likes, ...) derived from the given test tables.
+"""The tables of the model (objects, activities, likes, ...) derived from the given test tables.
 
 Everything is computed by Spark from whole tables, so the work of a query grows with them.
 """
