@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -45,18 +46,28 @@ def local_session(
     return configure(spark)
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and continue from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the one named in ``spark.checkpoint.dir``.
 
-    The table survives lost executors and cuts the lineage, and its real size lets Spark choose the joins
-    that follow. The folder is the one the cluster names in ``spark.checkpoint.dir``; a temporary one is
-    used only when nothing is configured (tests on one machine).
+    Where it is unset, a single-machine session (``local[..]``) uses a temporary folder; any other cluster must
+    name one, because executors would each write to their own disk.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="newsloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and continue from there.
+
+    The table survives lost executors and cuts the lineage, and its real size lets Spark choose the joins
+    that follow.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
