@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,3 +73,22 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Give this package to the Python workers, once per Spark context; they import the functions they run from it.
+
+    With ``--py-files`` or the package installed on every node this is not needed, and does no harm.
+    """
+    context, name = spark.sparkContext, "newsloom-package.zip"
+    if name not in context._python_includes:
+        root = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="newsloom-"), name)
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+            for folder, _, files in os.walk(root):
+                for file in files:
+                    if file.endswith(".py"):
+                        full = os.path.join(folder, file)
+                        archive.write(full, os.path.join("newsloom", os.path.relpath(full, root)))
+        context.addPyFile(path)
+    return spark
