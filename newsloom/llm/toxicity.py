@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from newsloom.llm.packed import slices
 
 ORDERS = (3, 4, 5)
-MAX_PER_CLASS = 2000
+MAX_PER_CLASS = 1000
 """Bound of the training sample: labelled rows of each class, the smallest by a hash of the id."""
 MAX_CHARS = 20_000
 """Longer texts are not trained on (they are scored whole)."""
-MAX_FEATURES = 20_000
+MAX_FEATURES = 10_000
 """Columns of the fitted model, which travels with every task."""
 FOLDS = 5
 
@@ -117,11 +117,11 @@ def fitted(sets: list[np.ndarray], labels: np.ndarray, odds: float) -> Model:
     for _ in range(20):
         v /= np.linalg.norm(v)
         v = np.bincount(columns, values * np.bincount(rows, values * v[columns], len(labels))[rows], len(chosen))
-    ridge, n = 1e-3, len(labels)
+    ridge, n = 1e-4, len(labels)
     step = 1 / (np.linalg.norm(v) / (4 * n) + ridge)
     w = before = np.zeros(len(chosen))
     bias = bias_before = 0.0
-    for k in range(1, 301):
+    for k in range(1, 201):
         ahead, bias_ahead = w + (k - 1) / (k + 2) * (w - before), bias + (k - 1) / (k + 2) * (bias - bias_before)
         z = np.bincount(rows, values * ahead[columns], n) + bias_ahead
         error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels) / n
