@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from newsloom.llm.exact_dedup import DigestIndex, exact_dedup
+from newsloom.llm.jaccard import similar_documents
 from newsloom.llm.packing import packed_sequences
 from newsloom.llm.substring import substring_dedup
 from newsloom.llm.tokens import token_counts
@@ -37,6 +38,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_sequences(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), DigestIndex(spark))
 
@@ -46,5 +51,6 @@ QUERIES: dict[str, Query] = {
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
     "op7_packing": op7_packing,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
 }
