@@ -13,6 +13,7 @@ from newsloom.llm.packing import packed_sequences
 from newsloom.llm.substring import substring_dedup
 from newsloom.llm.tokens import token_counts
 from newsloom.llm.toxicity import toxicity
+from newsloom.llm.warc import archived_pages
 from newsloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +47,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), DigestIndex(spark))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_token_counts": op3_token_counts,
@@ -53,4 +58,5 @@ QUERIES: dict[str, Query] = {
     "op7_packing": op7_packing,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_warc": op10_warc,
 }
