@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from newsloom.llm.exact_dedup import DigestIndex, exact_dedup
 from newsloom.llm.jaccard import similar_documents
+from newsloom.llm.multi_index import near_vectors
 from newsloom.llm.packing import packed_sequences
 from newsloom.llm.substring import substring_dedup
 from newsloom.llm.tokens import token_counts
@@ -27,6 +28,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -53,6 +58,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
     "op7_packing": op7_packing,
