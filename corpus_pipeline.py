@@ -4,28 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsloom.llm.exact_dedup import DigestIndex, kept_documents
+from newsloom.llm.jaccard import without_near_copies
+from newsloom.llm.packing import packed_sequences
 from newsloom.llm.substring import without_repeats
-from newsloom.session import stage
+from newsloom.llm.toxicity import without_toxic
+from newsloom.session import ship_package, stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels outside its held-out fold, does not reject."""
+    return without_toxic(docs, ship_package(spark).read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
-    return kept_documents(docs, DigestIndex(spark))
+    return kept_documents(docs, DigestIndex(ship_package(spark)))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked shingle sets."""
+    ship_package(spark)
+    return without_near_copies(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that an earlier place already has."""
-    return without_repeats(docs)
+    """Texts without the passages that an earlier place already has; ``n_chars`` follows the text."""
+    ship_package(spark)
+    shorter = without_repeats(docs)
+    if "n_chars" not in docs.columns:
+        return shorter
+    return shorter.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of powers of two of tokens, each a sequence."""
+    ship_package(spark)
+    return packed_sequences(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
     ("exact dedup", exact),
+    ("n-gram jaccard join", near_copies),
     ("substring dedup", substrings),
+    ("packing", packing),
 ]
 
 ORACLE_SQL = None

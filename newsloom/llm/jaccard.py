@@ -439,3 +439,9 @@ def _links(sets: DataFrame, parts: int) -> DataFrame:
     pairs = labelled.repartitionById(parts, F.col("part")).mapInArrow(_crossing, "a long, b long").distinct()
     far = _compare(pairs, sets).filter("linked").select("a", "b")
     return stage(near.unionByName(far), "jaccard-links")
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """The row with the smallest id of each group of linked documents, all columns unchanged; rows without an id stay."""
+    kept = similar_documents(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull()).select("doc_id").distinct()
+    return docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")

@@ -1,9 +1,10 @@
 """Near-duplicate vectors by an inverted multi-index.
 
 Unit vectors are cut into halves, each half has a codebook, and the product of the codebooks is a grid of cells. Every
-vector lies in the cell of its nearest codewords. A query visits cells in the order of the sorted distances of both halves
-and stops where no later cell can hold a vector within the threshold, so the traversal's recall is 1 by construction;
-what it meets is verified by the cosine in double precision.
+vector lies in the cell of its nearest codewords. A query visits cells in the order of the summed distances of its halves
+to the cells' codewords, and stops at a margin beyond its own cell. The margin is measured when the codebooks are fitted:
+it reaches the target recall on links exactly at the threshold, which are the hardest; closer vectors are found more
+surely. What a query meets is verified by the cosine in double precision.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ THRESHOLD = 0.9
 CODEWORDS = 64
 SAMPLE = 8192
 """Bound of the sample that the codebooks are fitted on: the vectors with the smallest hashes of their content."""
+RECALL = 0.98
+"""Share of the links exactly at the threshold that the traversal has to meet."""
 BLOCK = 4096
 _UNIT = "vec_id long, digest binary, vector binary"
 
@@ -77,47 +80,36 @@ def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 class Grid:
-    """The two codebooks and the geometry of their cells."""
-
-    def __init__(self, sample: np.ndarray, codewords: int, threshold: float):
-        self.width = sample.shape[1] if len(sample) else 0
-        self.reach = 2 - 2 * threshold + 1e-9
-        half = self.width // 2
-        self.books = [_codebook(sample[:, s], codewords) for s in (slice(0, half), slice(half, self.width)) if s.stop > s.start]
-        if len(self.books) == 1:
-            self.books.insert(0, np.zeros((1, 0)))
-        self.gaps = [np.sqrt(_squared(b, b)) for b in self.books]
+    """The two codebooks, and how far beyond its own cell a query has to look."""
+
+    def __init__(self, sample: np.ndarray, codewords: int, threshold: float, recall: float):
+        half = sample.shape[1] // 2
+        self.books = [
+            _codebook(sample[:, s], codewords) if s.stop > s.start else np.zeros((1, 0))
+            for s in (slice(0, half), slice(half, sample.shape[1]))]
+        # A neighbour in a random direction, at the threshold, of each vector of the sample.
+        aside = np.random.default_rng(0).normal(size=sample.shape)
+        aside -= (aside * sample).sum(1)[:, None] * sample
+        aside /= np.maximum(np.linalg.norm(aside, axis=1), 1e-12)[:, None]
+        one, two = self.halves(sample)
+        i, j = (d.argmin(1) for d in self.halves(threshold * sample + np.sqrt(1 - threshold**2) * aside))
+        row = np.arange(len(sample))
+        self.margin = float(np.quantile(one[row, i] + two[row, j] - one.min(1) - two.min(1), recall)) + 1e-9
 
     def halves(self, x: np.ndarray) -> list[np.ndarray]:
         cut = self.books[0].shape[1]
         return [_squared(x[:, :cut], self.books[0]), _squared(x[:, cut:], self.books[1])]
 
-    def home(self, x: np.ndarray) -> np.ndarray:
+    def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        one, two = self.halves(x)
+        return one.argmin(1), two.argmin(1)
+
+    def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The cells that queries visit: query, first codeword, and the second codewords as a row of booleans."""
         one, two = self.halves(x)
-        return one.argmin(1) * len(self.books[1]) + two.argmin(1)
-
-    def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Query and cell of each visit. A half can be no nearer to another codeword's region than the plane between them."""
-        sides = []
-        for d, gap in zip(self.halves(x), self.gaps, strict=True):
-            own = d.argmin(1)
-            between = gap[own]
-            least = np.where(between > 1e-9, (d - d[np.arange(len(d)), own][:, None]) / (2 * np.maximum(between, 1e-9)), 0)
-            least = np.maximum(least, 0) ** 2
-            order = least.argsort(1, kind="stable")
-            sides.append((np.take_along_axis(least, order, 1), order))
-        (a, first), (b, second) = sides
-        query, cell = [], []
-        for i in range(a.shape[1]):
-            rest = self.reach - a[:, i]
-            if (rest < 0).all():
-                break
-            count = (b <= rest[:, None]).sum(1)
-            who = np.repeat(np.arange(len(x)), count)
-            nth = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
-            query.append(who)
-            cell.append(first[who, i] * len(self.books[1]) + second[who, nth])
-        return np.concatenate(query), np.concatenate(cell)
+        rest = (one.min(1) + two.min(1) + self.margin)[:, None] - one
+        query, first = np.nonzero(rest >= two.min(1)[:, None])
+        return query, first, two[query] <= rest[query, first][:, None]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -125,21 +117,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(found)).reshape(len(found), -1)
 
 
-def _homes(grid: Grid):
+def _load(grid: Grid):
+    """Members and queries of each first codeword, a row per batch and codeword."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(grid.home(_matrix(batch["vector"])), pa.int64())], ["cell"])
+        k = len(grid.books[0])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                x = _matrix(whole["vector"].slice(at, 1024))
+                counts = [np.bincount(f, minlength=k) for f in (grid.home(x)[0], grid.visits(x)[1])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), *map(pa.array, counts)], ["first", "members", "queries"])
 
     return run
 
 
 def _spread(value: np.ndarray, over: np.ndarray) -> np.ndarray:
-    return (value.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % over
+    return ((value.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % over
+
 
+def _dealt(grid: Grid, member_blocks: np.ndarray, query_blocks: np.ndarray):
+    """Members under their first codeword and queries under every first codeword they visit, cut into blocks.
 
-def _dealt(grid: Grid, blocks: np.ndarray):
-    """Members in their home cell and queries in every cell they visit, both cut into blocks where a cell is full."""
+    ``cells`` has the second codewords: a member's own, a query's visited ones as bits.
+    """
 
     def copies(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         who = np.repeat(np.arange(len(count)), count)
@@ -150,27 +150,34 @@ def _dealt(grid: Grid, blocks: np.ndarray):
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 x, ids = _matrix(batch["vector"]), batch["id"].to_numpy()
-                home = grid.home(x)
-                who, cell = grid.visits(x)
-                full = blocks[cell] > 0
-                who, cell = who[full], cell[full]
+                home, second = grid.home(x)
+                who, visited, inside = grid.visits(x)
+                full = member_blocks[visited] > 0
+                who, visited, bits = who[full], visited[full], np.packbits(inside[full], axis=1)
+                own = [int(c).to_bytes(4, "little") for c in second]
                 for query in (False, True):
-                    rows, cells = (who, cell) if query else (np.arange(len(x)), home)
-                    copy, other = copies(blocks[cells])
-                    rows, cells = rows[copy], cells[copy]
-                    own = _spread(ids[rows], blocks[cells])
-                    pair = (other, own) if query else (own, other)
-                    for i in range(0, len(rows), 8192):
-                        s = slice(i, i + 8192)
-                        take = pa.array(rows[s])
+                    rows, first = (who, visited) if query else (np.arange(len(x)), home)
+                    mine, others = (query_blocks, member_blocks) if query else (member_blocks, query_blocks)
+                    copy, other = copies(others[first])
+                    block = _spread(ids[rows], mine[first])[copy]
+                    pair = (other, block) if query else (block, other)
+                    for i in range(0, len(copy), 4096):
+                        c = copy[i:i + 4096]
+                        take = pa.array(rows[c])
+                        cells = [bits[k].tobytes() for k in c] if query else [own[k] for k in rows[c]]
                         yield pa.RecordBatch.from_arrays([
-                            pa.array(cells[s], pa.int64()), pa.array(pair[0][s], pa.int64()), pa.array(pair[1][s], pa.int64()),
-                            pa.array(np.full(len(take), query)), batch["id"].take(take), batch["size"].take(take), batch["vector"].take(take),
-                        ], ["cell", "member_block", "query_block", "query", "id", "size", "vector"])
+                            pa.array(first[c], pa.int64()), pa.array(pair[0][i:i + 4096], pa.int64()), pa.array(pair[1][i:i + 4096], pa.int64()),
+                            pa.array(np.full(len(c), query)), pa.array(cells, pa.binary()),
+                            batch["id"].take(take), batch["size"].take(take), batch["vector"].take(take),
+                        ], _DEALT_NAMES)
 
     return run
 
 
+_DEALT = "first long, member_block long, query_block long, query boolean, cells binary, id long, size long, vector binary"
+_DEALT_NAMES = [c.split()[0] for c in _DEALT.split(", ")]
+
+
 def _verifier(threshold: float):
     def verified(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         """Per query its number of links with this block, and as many links as connect what is linked."""
@@ -179,28 +186,36 @@ def _verifier(threshold: float):
         ids, size = table["id"].to_numpy(), table["size"].to_numpy()
         x = _matrix(table["vector"].combine_chunks())
         q, m = np.flatnonzero(query), np.flatnonzero(~query)
-        a, b, links = [], [], []
-        root = np.arange(len(m))
-        for i in range(0, len(q) if len(m) else 0, 512):
-            some = q[i:i + 512]
-            hit = (x[some] @ x[m].T >= threshold) & (ids[some][:, None] != ids[m])
-            a += ids[some].tolist()
-            b += [None] * len(some)
-            links += (hit @ size[m]).tolist()
-            for row in np.flatnonzero(hit.any(1)):
-                met = np.unique(root[hit[row]])
-                if len(met) > 1:
-                    root[np.isin(root, met)] = met[0]
-                a += [int(ids[some[row]])] * len(met)
-                b += ids[m[met]].tolist()
-                links += [0] * len(met)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array(links, pa.int64())})
+        cells = table["cells"].to_pylist()
+        cell = np.array([int.from_bytes(cells[i], "little") for i in m], np.int64)
+        bits = np.frombuffer(b"".join(cells[i] for i in q), np.uint8).reshape(len(q), -1)
+        total, root = np.zeros(len(q), np.int64), np.arange(len(m))
+        a, b = [], []
+        for c in np.unique(cell):
+            inside = np.flatnonzero(cell == c)
+            member = m[inside]
+            asking = np.flatnonzero(bits[:, c >> 3] & (128 >> (c & 7))) if len(q) else q
+            for i in range(0, len(asking), 512):
+                some = asking[i:i + 512]
+                hit = (x[q[some]] @ x[member].T >= threshold) & (ids[q[some]][:, None] != ids[member])
+                total[some] += hit @ size[member]
+                for row in np.flatnonzero(hit.any(1)):
+                    met = np.unique(root[inside[hit[row]]])
+                    if len(met) > 1:
+                        root[np.isin(root, met)] = met[0]
+                    a += [int(ids[q[some[row]]])] * len(met)
+                    b += ids[m[met]].tolist()
+        some = np.flatnonzero(total)
+        return pa.table({
+            "a": pa.array(ids[q[some]].tolist() + a, pa.int64()), "b": pa.array([None] * len(some) + b, pa.int64()),
+            "links": pa.array(total[some].tolist() + [0] * len(a), pa.int64())})
 
     return verified
 
 
 def near_vectors(
-    vectors: DataFrame, threshold: float = THRESHOLD, codewords: int = CODEWORDS, sample: int = SAMPLE, block: int = BLOCK
+    vectors: DataFrame, threshold: float = THRESHOLD, codewords: int = CODEWORDS, sample: int = SAMPLE,
+    recall: float = RECALL, block: int = BLOCK,
 ) -> DataFrame:
     """Per row of (vec_id, embedding): vec_id, n_links, component_id, kept.
 
@@ -219,18 +234,16 @@ def near_vectors(
     widths = [len(v) for v in some]
     width = max(set(widths), key=lambda w: (widths.count(w), w)) if widths else 0
     points = stage(groups.filter(F.octet_length("vector") == 8 * width), "points")
-    grid = Grid(np.array([v for v in some if len(v) == width]).reshape(-1, width), codewords, threshold) if width else None
+    grid = Grid(np.array([v for v in some if len(v) == width]).reshape(-1, width), codewords, threshold, recall) if width else None
     if grid is None:
         return units.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    # At most a row per cell of the grid, whose size is a parameter.
-    filled = points.select("vector").mapInArrow(_homes(grid), "cell long").groupBy("cell").agg(F.count("*").alias("n")).collect()
-    blocks = np.zeros(len(grid.books[0]) * len(grid.books[1]), np.int64)
-    for r in filled:
-        blocks[r["cell"]] = -(-r["n"] // block)
-    dealt = points.mapInArrow(
-        _dealt(grid, blocks),
-        "cell long, member_block long, query_block long, query boolean, id long, size long, vector binary")
-    found = stage(dealt.groupBy("cell", "member_block", "query_block").applyInArrow(
+    # A row per first codeword, of which there are ``codewords``.
+    load = points.select("vector").mapInArrow(_load(grid), "first long, members long, queries long").groupBy("first").agg(
+        F.sum("members").alias("members"), F.sum("queries").alias("queries")).collect()
+    blocks = np.zeros((2, len(grid.books[0])), np.int64)
+    for r in load:
+        blocks[:, r["first"]] = -(-r["members"] // block), -(-r["queries"] // block)
+    found = stage(points.mapInArrow(_dealt(grid, *blocks), _DEALT).groupBy("first", "member_block", "query_block").applyInArrow(
         _verifier(threshold), "a long, b long, links long"), "vector-links")
     links = found.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     joined = components(found.filter("b IS NOT NULL").select("a", "b")).select(F.col("node").alias("id"), "component")
