@@ -7,10 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from newsloom.llm.backoff import backoff_scores
 from newsloom.llm.exact_dedup import DigestIndex, exact_dedup
 from newsloom.llm.jaccard import similar_documents
 from newsloom.llm.multi_index import near_vectors
 from newsloom.llm.packing import packed_sequences
+from newsloom.llm.pieces import piece_counts
 from newsloom.llm.substring import substring_dedup
 from newsloom.llm.tokens import token_counts
 from newsloom.llm.toxicity import toxicity
@@ -40,6 +42,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_scores(_table(spark, sf_dir, "documents"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_sequences(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -61,6 +71,8 @@ QUERIES: dict[str, Query] = {
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
+    "op5_lm_scores": op5_lm_scores,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_packing": op7_packing,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
