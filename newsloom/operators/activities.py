@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from newsloom.functions.documents import keys, null_value, parsed, text_field, with_fields
 from newsloom.functions.times import rfc3339
 from newsloom.functions.urls import BASE, activity_id, comment_id
+from newsloom.operators.merge import latest_per_key
 from newsloom.operators.objects import apply_updates, soft_delete, upsert_notes
 from newsloom.operators.ordered import with_previous
 from newsloom.operators.threads import NO_PARENT, thread_facts, thread_reason, thread_root, with_parent_kind
@@ -98,12 +99,17 @@ def _packed(known: DataFrame) -> DataFrame:
     return known.select(F.col("id").alias("lookup_id"), F.struct(*known.columns).alias("known"))
 
 
+def _made_id(base: str) -> Column:
+    """Id of the note a Create makes; the same request always makes the same one."""
+    return comment_id(F.col("type"), F.col("actor"), F.col("request_id"), base)
+
+
 def _new_notes(creates: DataFrame, known: DataFrame, base: str) -> DataFrame:
     """Notes made by the accepted replies to known objects, as known objects themselves."""
     accepted = creates.join(_packed(known), "lookup_id").filter(_alive("known") & thread_reason("known").isNull())
     return accepted.select(
         F.col("in_reply_to"),
-        comment_id(F.col("type"), F.col("actor"), F.col("request_id"), base).alias("id"),
+        _made_id(base).alias("id"),
         F.lit(False).alias("deleted"),
         F.lit("Note").alias("kind"),
         F.col("actor").alias("owner"),
@@ -120,7 +126,8 @@ def known_objects(checked: DataFrame, objects: DataFrame, base: str = BASE, keep
     """
     valid = checked.filter("malformed is null")
     deletes, creates = valid.filter(_is("Delete")), valid.filter(_is("Create"))
-    wanted = valid.select(F.col("lookup_id").alias("id")).distinct()
+    own = creates.select(_made_id(base).alias("id"))
+    wanted = valid.select(F.col("lookup_id").alias("id")).unionByName(own).distinct()
     facts = with_parent_kind(keep(thread_facts(objects, wanted)), objects)
     moment = checked.schema["moment"].dataType
     stored = keep(facts.withColumn("created_at", F.lit(None).cast(moment)))
@@ -149,11 +156,16 @@ def decide(
     """Requests with status, reason, accepted and, for accepted ones, the ids they produce.
 
     status: 201 created, 200 done or nothing to do, 400 malformed, 403 not the owner, 404 no such object.
-    ``keep`` writes intermediate results out (see session.stage).
+    A request id delivered several times counts once, as it first arrived. A Create whose note is stored already
+    was handled before: 200, and the note stays as it is now. ``keep`` writes intermediate results out (see
+    session.stage).
     """
-    checked = keep(dispatch(requests))
-    known = _packed(known_objects(checked, objects, base, keep))
-    seen = checked.join(known, "lookup_id", "left")
+    once = latest_per_key(requests, "request_id", [F.col(c) for c in ["received_at", *sorted(set(requests.columns) - {"received_at", "request_id"})]])
+    checked = keep(dispatch(once))
+    facts = keep(known_objects(checked, objects, base, keep))
+    stored = facts.filter("created_at is null").select(F.col("id").alias("made_id"), F.lit(True).alias("stored"))
+    made = F.when(F.col("malformed").isNull() & _is("Create"), _made_id(base))
+    seen = checked.join(_packed(facts), "lookup_id", "left").withColumn("made_id", made).join(stored, "made_id", "left").drop("made_id")
     ok = F.col("malformed").isNull()
     reaction = F.coalesce(F.col("type").isin(*REACTIONS), F.lit(False))
     attempt = ok & reaction & _alive("known")
@@ -166,6 +178,7 @@ def decide(
         F.when(~ok, F.col("malformed"))
         .when(reaction & ~F.col("attempt"), "target object not found or deleted")
         .when(reaction & F.coalesce(F.col("previous") == F.col("type"), F.lit(False)), "already_reacted")
+        .when(_is("Create") & F.coalesce("stored", F.lit(False)), "already_created")
         .when(_is("Create") & ~_alive("known"), NO_PARENT)
         .when(_is("Create"), thread_reason("known"))
         .when(_is("Delete") & ~_exists("known"), "object not found")
@@ -176,7 +189,7 @@ def decide(
     accepted = F.col("reason").isNull()
     status = (
         F.when(accepted & (reaction | _is("Create")), 201)
-        .when(accepted | F.col("reason").isin("already_reacted", "already_deleted"), 200)
+        .when(accepted | F.col("reason").isin("already_reacted", "already_deleted", "already_created"), 200)
         .when(F.col("reason") == "not the owner", 403)
         .when(F.col("reason").contains("not found"), 404)
         .otherwise(400)

@@ -97,6 +97,13 @@ def scraped_articles(pages: DataFrame, now: Column, base: str = BASE) -> DataFra
     return rows.select("id", "published", "updated", document.alias("object_json"))
 
 
+def rejected_pages(pages: DataFrame) -> DataFrame:
+    """Pages that scraped_articles leaves out, with the reason."""
+    reason = F.when(~F.coalesce(is_http_url(F.col("page_url")), F.lit(False)), "no http address").when(
+        non_blank(F.col("title")).isNull(), "no title")
+    return pages.withColumn("reason", reason).filter("reason is not null")
+
+
 def allowed_pages(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     """Pages of listed hosts (column host)."""
     return pages.withColumn("host", authority(F.col("page_url"))).join(hosts, "host", "left_semi").drop("host")

@@ -31,8 +31,12 @@ def merge(
     on: str = "id",
     when: Column | None = None,
     insert: Mapping[str, Column] | None = None,
+    order: Sequence[Column] | None = None,
 ) -> DataFrame:
-    """Target after a merge with a source that has at most one row per key.
+    """Target after a merge with a source.
+
+    Of several source rows with one key the first by ``order`` counts; without ``order`` the caller vouches that
+    there is at most one.
 
     Matched rows take the ``update`` columns when ``when`` is true (NULL means no); other target rows stay
     as they are. With ``insert``, source rows without a match are added; columns not listed become NULL.
@@ -41,6 +45,8 @@ def merge(
     A left join plus an anti join is used instead of one full outer join: a small source is then
     broadcast (Spark checks its size) and the large target is never shuffled.
     """
+    if order is not None:
+        source = latest_per_key(source, on, order)
     types = {field.name: field.dataType for field in target.schema}
     packed = source.select(F.col(on), F.struct(*source.columns).alias("S"))
     joined = target.join(packed, on, "left")

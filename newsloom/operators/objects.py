@@ -63,6 +63,7 @@ def upsert_articles(objects: DataFrame, articles: DataFrame) -> DataFrame:
         {name: S(name) for name in columns},
         when=S("updated") > F.col("updated"),
         insert=_new_row(**{name: F.col(name) for name in ["id", *columns]}),
+        order=[F.desc("updated"), F.desc("published"), F.desc("object_json"), F.desc("source")],
     )
 
 
@@ -77,6 +78,7 @@ def upsert_scraped(objects: DataFrame, scraped: DataFrame) -> DataFrame:
         insert=_new_row(
             **{name: F.col(name) for name in ["id", *columns]}, source=F.lit("scraped"), og_enriched=F.lit(True)
         ),
+        order=[F.desc("updated"), F.desc("published"), F.desc("object_json")],
     )
 
 
@@ -91,6 +93,7 @@ def upsert_notes(objects: DataFrame, notes: DataFrame, now: Column | None = None
             id=F.col("id"), source=F.lit("user"), published=F.col("published"), updated=F.col("updated"),
             object_json=F.col("object_json"),
         ),
+        order=[F.desc("updated"), F.desc("published"), F.desc("object_json")],
     )
 
 
@@ -100,25 +103,28 @@ def apply_tags(objects: DataFrame, tags: DataFrame) -> DataFrame:
         objects,
         tags.select("id", F.coalesce("tags", F.array().cast("array<string>")).alias("tags")),
         {"tags": S("tags"), "tags_enriched": F.lit(True)},
+        order=[F.desc("tags")],
     )
 
 
 def apply_og(objects: DataFrame, results: DataFrame) -> DataFrame:
     """Write page-metadata results: the document, the flag and the error text; row times stay."""
     columns = ["object_json", "og_enriched", "og_enriched_error"]
-    return merge(objects, results.select("id", *columns), {name: S(name) for name in columns})
+    order = [F.asc_nulls_first("og_enriched_error"), F.desc("object_json")]
+    return merge(objects, results.select("id", *columns), {name: S(name) for name in columns}, order=order)
 
 
 def apply_updates(objects: DataFrame, edits: DataFrame, now: Column | None = None) -> DataFrame:
     """Write edited documents (id, object_json and, without ``now``, updated)."""
     source = edits.select("id", "object_json", (F.col("updated") if now is None else now).alias("updated"))
-    return merge(objects, source, {"object_json": S("object_json"), "updated": S("updated")})
+    order = [F.desc("updated"), F.desc("object_json")]
+    return merge(objects, source, {"object_json": S("object_json"), "updated": S("updated")}, order=order)
 
 
 def soft_delete(objects: DataFrame, ids: DataFrame, now: Column | None = None) -> DataFrame:
     """Mark ids as deleted; ids without ``now`` carry their own ``updated``."""
     source = ids.select("id", (F.col("updated") if now is None else now).alias("updated"))
-    return merge(objects, source, {"deleted": F.lit(True), "updated": S("updated")})
+    return merge(objects, source, {"deleted": F.lit(True), "updated": S("updated")}, order=[F.asc("updated")])
 
 
 def migrate_objects(objects: DataFrame) -> DataFrame:

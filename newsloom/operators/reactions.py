@@ -12,9 +12,18 @@ def _count(kind: str, column: str = "type") -> Column:
     return F.count_if(F.col(column) == kind)
 
 
+def event_time(activities: DataFrame) -> DataFrame:
+    """``published`` never after the arrival: it is set by users' devices, and a date ahead would count for ever."""
+    if "received_at" not in activities.columns:
+        return activities
+    kind = activities.schema["published"].dataType
+    return activities.withColumn("published", F.least(F.col("published"), F.col("received_at").cast(kind)))
+
+
 def reaction_counts(activities: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     """Likes and dislikes per object logged in the window, both in one pass."""
-    recent = in_window(activities.filter(F.col("type").isin("Like", "Dislike")), as_of, days)
+    logged = in_window(activities.filter(F.col("type").isin("Like", "Dislike")), as_of, days)
+    recent = in_window(event_time(logged).drop("published_date"), as_of, days)
     return recent.groupBy("object_id").agg(
         _count("Like").alias("like_count"), _count("Dislike").alias("dislike_count")
     )

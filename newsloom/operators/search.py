@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsloom.functions.documents import CONTEXT, with_live_fields
+from newsloom.functions.text import strip
 from newsloom.functions.urls import BASE
 from newsloom.operators.objects import live
 
@@ -118,19 +119,33 @@ def outbox_document(
     return collected.select(document.alias("document"))
 
 
-def normalised_searches(searches: DataFrame) -> DataFrame:
-    """Searches (search_id, tags, n) with clean distinct tags and the default n; searches without a tag drop out."""
-    cleaned = F.array_distinct(F.filter(F.transform("tags", lambda tag: F.lower(F.trim(tag))), lambda tag: tag != ""))
+def checked_searches(searches: DataFrame) -> DataFrame:
+    """Every search (search_id, tags, n) with its clean tags, the default n, and status and reason.
+
+    status 200: it can be answered; 400: no usable tag, or n out of bounds. ``tags`` keeps repeats as typed,
+    ``search`` has each tag once.
+    """
+    cleaned = F.filter(F.transform("tags", lambda tag: F.lower(strip(tag))), lambda tag: tag != "")
+    usable = F.coalesce(cleaned, F.array().cast("array<string>"))
     size = F.coalesce(F.col("n"), F.lit(DEFAULT_N)) if "n" in searches.columns else F.lit(DEFAULT_N)
+    reason = F.when(F.size("tags") == 0, "at least one tag is required").when(
+        ~F.col("n").between(1, MAX_N), f"n must be between 1 and {MAX_N}"
+    )
     return (
-        searches.select("search_id", cleaned.alias("search"), size.alias("n"))
-        .filter((F.size("search") > 0) & F.col("n").between(1, MAX_N))
+        searches.select("search_id", usable.alias("tags"), size.alias("n"))
+        .withColumns({"search": F.array_distinct("tags"), "reason": reason})
+        .withColumn("status", F.when(F.col("reason").isNull(), 200).otherwise(400))
     )
 
 
-def search_url(search: Column, n: Column, base: str = BASE) -> Column:
-    """Address of a search as a column."""
-    pairs = F.array_join(F.transform(search, lambda tag: F.concat(F.lit("tag="), tag)), "&")
+def normalised_searches(searches: DataFrame) -> DataFrame:
+    """The searches that can be answered; :func:`checked_searches` also has the others and says why not."""
+    return checked_searches(searches).filter("status = 200").drop("status", "reason")
+
+
+def search_url(tags: Column, n: Column, base: str = BASE) -> Column:
+    """Address of a search as a column; a tag typed twice is in it twice."""
+    pairs = F.array_join(F.transform(tags, lambda tag: F.concat(F.lit("tag="), tag)), "&")
     return F.concat(F.lit(f"{base}/outbox?"), pairs, F.lit("&n="), n.cast("string"))
 
 
@@ -142,7 +157,7 @@ def outbox_many(objects: DataFrame, searches: DataFrame) -> DataFrame:
     the shuffle. A small table of searches is broadcast by size; a large one is joined on the tag, where
     AQE splits hot tags.
     """
-    wanted = normalised_searches(searches).withColumn("tag", F.explode("search"))
+    wanted = normalised_searches(searches).drop("tags").withColumn("tag", F.explode("search"))
     candidates = live(objects).select(
         "id", "published", "updated", "like_count", "tags", F.explode(F.array_distinct("tags")).alias("tag")
     )

@@ -12,15 +12,17 @@ TOP_N = 16
 MIN_LENGTH = 3
 
 # Words never used as tags.
-STOPWORDS = """
-olla että joka se hän tämä voida saada tulla pitää tehdä vuosi päivä aika koko moni muu kaikki
-jokin mikä mukaan sekä kuin vaan vai tai koska
-suomi suomalainen uutiset uutinen viime uusi ensimmäinen
-""".split()
+STOPWORDS = [
+    "olla", "että", "joka", "se", "hän", "tämä", "voida", "saada", "tulla", "pitää", "tehdä", "vuosi", "päivä",
+    "aika", "koko", "moni", "muu", "kaikki", "jokin", "mikä", "mukaan", "sekä", "kuin", "vaan", "vai", "tai", "koska",
+    "suomi", "suomalainen", "uutiset", "uutinen", "viime", "uusi", "ensimmäinen",
+]
 
 # Word classes never used as tags (pronouns, conjunctions, adpositions, negations,
 # interjections, numerals, adverbs).
-REJECTED_CLASSES = "asemosana sidesana suhdesana kieltosana huudahdussana luku seikkasana".split()
+REJECTED_CLASSES = [
+    "asemosana", "sidesana", "suhdesana", "kieltosana", "huudahdussana", "luku", "seikkasana",
+]
 
 
 def pending_tags(objects: DataFrame, batch: int | None = None) -> DataFrame:

@@ -138,10 +138,10 @@ union all
 select 'rss.' || source || '.last_fetched_at', '2024-01-02T00:00:00Z', timestamp '2024-01-01 00:00:00', 'seed'
 from documents group by source having max(doc_id) % 2 = 0""",
     "searches": f"""
-select source search_id, doc_id % 9 + 2 n,
-  list_distinct(list_transform(regexp_extract_all(text, '{WORD}')[1:6], lambda w: lower(upper(w)))) tags,
-  list_transform(regexp_extract_all(text, '{WORD}')[1:6], lambda w: lower(upper(w))) typed
-from (select *, row_number() over (partition by source order by doc_id) r from documents) where r = 1""",
+select *, list_distinct(typed) tags, case when len(typed) = 0 then 'at least one tag is required'
+  when n not between 1 and 500 then 'n must be between 1 and 500' end reason
+from (select 'b' || item_id search_id, case when item_id % 7 = 0 then 50 else cast(item_id * 17 % 503 as integer) end n,
+  case when item_id % 11 = 0 then [] else list_transform(regexp_extract_all(text, '{WORD}'), lambda w: lower(upper(w))) end typed from benchmark)""",
     # ---- requests: pieces of the payloads as columns
     "ev": f"""
 select event_id e, user_id u, event_type et, {K} k, user_id * 100 + {K} spread, ts,
@@ -310,11 +310,11 @@ from (select * from {_MATCHES} order by {_RANK} limit 50) where has_doc""",
     "outbox_many": f"""select search_id, id, published, updated, like_count, relevance, place from (
   select *, row_number() over (partition by search_id order by {_RANK}) place from (
     select s.search_id, s.n, o.id, o.published, o.updated, o.like_count, count(*) relevance
-    from (select search_id, n, unnest(tags) tag from searches) s join object_tags t on t.tag = s.tag join objects o on o.id = t.id
+    from (select search_id, n, unnest(tags) tag from searches where reason is null) s join object_tags t on t.tag = s.tag join objects o on o.id = t.id
     where not o.deleted group by all)) where place <= n""",
-    "search_urls": f"""select search_id, '{BASE}/outbox?' || string_agg('tag=' || tag, '&' order by p) || '&n=' || n url from (
-  select search_id, n, tag, min(pos) p from (select search_id, n, generate_subscripts(typed, 1) pos, unnest(typed) tag from searches) group by all)
-group by search_id, n""",
+    "search_urls": f"""select search_id, '{BASE}/outbox?tag=' || array_to_string(typed, '&tag=') || '&n=' || n url from searches where reason is null""",
+    "search_status": """select search_id, cast(len(typed) as integer) n_tags, n, case when reason is null then 200 else 400 end status, reason
+from searches""",
     "relevance_dup": f"""select id, count(*) filter (tag in {SEARCH}) + count(*) filter (tag in {SEARCH} and rk = 1) relevance from object_tags group by id""",
     "live_objects": "select id, source, like_count from objects where not deleted",
     "object_texts": f"""select id, {_clean("concat_ws(' ', nullif(name, ''), nullif(summary, ''), nullif(content, ''))", collapse=False)} as text from board""",
@@ -380,6 +380,9 @@ from (select distinct object_id from activities) a left join objects o on o.id =
     "null_violations": """select 0::bigint id, count(*) filter (source = 'src3-feed') source, 0::bigint published from edits""",
     "feed_items": "select source, title, link, summary, published from feed where has_link and has_date",
     "undated_items": "select source, link, title from feed where has_link and not has_date",
+    "rejected_items": """select source, link, title, case when has_link then 'no readable date' else 'no link' end reason
+from feed where not (has_link and has_date)""",
+    "rejected_feeds": "select source, 'not readable as a feed' reason, count(*) n from feed where doc_id % 3 <= 1 group by source",
     "feed_images": "select link, image_url from feed where has_link and has_date",
     "feed_pubdates": f"""select event_id, mail_date, any_date, strftime(any_date, {ISO}) printed from (
   select event_id, case when event_id % 6 <= 3 then t end mail_date, t any_date from (

@@ -72,7 +72,12 @@ def outbox_many(spark, sf_dir):
 @query
 def search_urls(spark, sf_dir):
     wanted = search.normalised_searches(views.searches(spark, sf_dir))
-    return wanted.select("search_id", search.search_url(F.col("search"), F.col("n")).alias("url"))
+    return wanted.select("search_id", search.search_url(F.col("tags"), F.col("n")).alias("url"))
+
+
+@query
+def search_status(spark, sf_dir):
+    return search.checked_searches(views.searches(spark, sf_dir)).select("search_id", F.size("tags").alias("n_tags"), "n", "status", "reason")
 
 
 @query
@@ -268,6 +273,17 @@ def undated_items(spark, sf_dir):
     return feeds.undated_items(views.feed_xml(spark, sf_dir)).select("source", "link", "title")
 
 
+@query
+def rejected_items(spark, sf_dir):
+    return feeds.rejected_items(views.feed_xml(spark, sf_dir)).select("source", "link", "title", "reason")
+
+
+@query
+def rejected_feeds(spark, sf_dir):
+    cut = views.feed_xml(spark, sf_dir).withColumn("xml", F.expr("if(xml like '%audio/mpeg%', substring(xml, 1, length(xml) - 40), xml)"))
+    return feeds.rejected_feeds(cut).groupBy("source", "reason").agg(F.count("*").alias("n"))
+
+
 @query
 def feed_images(spark, sf_dir):
     return feeds.parse_feeds(views.feed_xml(spark, sf_dir)).select("link", "image_url")

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.functions.text import words
 from newsloom.functions.urls import scraped_id
-from newsloom.operators.merge import latest_per_key
 from newsloom.operators.tagging import lemmas, top_tags
 
 ORIGIN = "timestamp_ntz'2024-01-01 00:00:00'"
@@ -21,10 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the table has fewer files than there are cores; larger tables stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+def dealt_out(df: DataFrame) -> DataFrame:
+    """Rows in as many partitions as a shuffle has: the given files have one row group each, which one task reads."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
 
 
 def now() -> Column:
@@ -292,7 +290,7 @@ def feed_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<item>"), body, F.lit("</item></channel></rss>"),
     )
     source = F.when(number % 4 == 0, "hs").when(number % 4 == 1, "is").otherwise(F.col("source"))
-    return spread(table(spark, sf_dir, "documents")).select(source.alias("source"), xml.alias("xml"))
+    return dealt_out(table(spark, sf_dir, "documents")).select(source.alias("source"), xml.alias("xml"))
 
 
 def og_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,7 +314,7 @@ def og_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</body></html>"),
     )
     url = F.concat(F.lit("https://"), F.col("source"), F.lit(".example/doc/"), n)
-    return spread(table(spark, sf_dir, "documents")).select(url.alias("url"), head.alias("html"))
+    return dealt_out(table(spark, sf_dir, "documents")).select(url.alias("url"), head.alias("html"))
 
 
 def config_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,12 +333,16 @@ def config_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One search per document source: the words that open the source's first document, at most six, as typed."""
-    first = latest_per_key(table(spark, sf_dir, "documents"), "source", [F.asc("doc_id")])
-    return first.select(
-        F.col("source").alias("search_id"),
-        F.transform(F.slice(words(F.col("text")), 1, 6), lambda w: F.concat(F.lit(" "), F.upper(w))).alias("tags"),
-        (F.col("doc_id") % 9 + 2).cast("int").alias("n"),
+    """One search per benchmark item: all its words as typed, with repeats and white space around them.
+
+    Some have no usable tag, some no n, and some an n out of bounds.
+    """
+    item = F.col("item_id")
+    typed = F.transform(words(F.col("text")), lambda w: F.concat(F.lit(" \t"), F.upper(w), F.lit("\n")))
+    return table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("b"), item.cast("string")).alias("search_id"),
+        F.when(item % 11 == 0, F.array(F.lit(" "), F.lit("\n"))).otherwise(typed).alias("tags"),
+        F.when(item % 7 != 0, (item * 17 % 503).cast("int")).alias("n"),
     )
 
 

@@ -5,42 +5,77 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    """Build a schema from 'name type[!]' lines; '!' marks a required column."""
-    fields = []
-    for part in ddl.split(","):
-        name, kind = part.split()
-        required = kind.endswith("!")
-        fields.append(T.StructField(name, _TYPES[kind.rstrip("!")], not required))
-    return T.StructType(fields)
-
-
-_TYPES = {
-    "string": T.StringType(),
-    "bigint": T.LongType(),
-    "boolean": T.BooleanType(),
-    "timestamp": T.TimestampType(),
-    "strings": T.ArrayType(T.StringType(), False),
-}
-
-OBJECTS = _schema(
-    "id string!, source string!, published timestamp!, updated timestamp, tags strings, tags_enriched boolean!,"
-    "og_enriched boolean!, og_enriched_error string, like_count bigint!, dislike_count bigint, deleted boolean!,"
-    "object_json string"
+# Names, types and required columns of the stored tables.
+OBJECTS = (
+    T.StructType()
+    .add("id", "string", False)
+    .add("source", "string", False)
+    .add("published", "timestamp", False)
+    .add("updated", "timestamp")
+    .add("tags", T.ArrayType(T.StringType(), False))
+    .add("tags_enriched", "boolean", False)
+    .add("og_enriched", "boolean", False)
+    .add("og_enriched_error", "string")
+    .add("like_count", "long", False)
+    .add("dislike_count", "long")
+    .add("deleted", "boolean", False)
+    .add("object_json", "string")
+)
+ACTIVITIES = (
+    T.StructType()
+    .add("id", "string", False)
+    .add("type", "string", False)
+    .add("actor", "string", False)
+    .add("object_id", "string")
+    .add("object_type", "string")
+    .add("object_json", "string")
+    .add("target_id", "string")
+    .add("in_reply_to", "string")
+    .add("thread_root", "string")
+    .add("published", "timestamp", False)
+    .add("received_at", "timestamp", False)
+)
+LIKES = (
+    T.StructType()
+    .add("activity_id", "string", False)
+    .add("actor", "string", False)
+    .add("object_id", "string", False)
+    .add("reaction_type", "string", False)
+    .add("published", "timestamp", False)
+)
+CONFIG = (
+    T.StructType()
+    .add("key", "string", False)
+    .add("value", "string", False)
+    .add("updated_at", "timestamp", False)
+    .add("updated_by", "string")
+)
+FEEDS = (
+    T.StructType()
+    .add("name", "string", False)
+    .add("url", "string", False)
+    .add("autodiscover", "boolean")
 )
-ACTIVITIES = _schema(
-    "id string!, type string!, actor string!, object_id string, object_type string, object_json string,"
-    "target_id string, in_reply_to string, thread_root string, published timestamp!, received_at timestamp!"
+LEXICON = (
+    T.StructType()
+    .add("token", "string", False)
+    .add("baseform", "string", False)
+    .add("class", "string")
 )
-LIKES = _schema(
-    "activity_id string!, actor string!, object_id string!, reaction_type string!, published timestamp!"
+PUBLISHERS = (
+    T.StructType()
+    .add("source", "string", False)
+    .add("name", "string", False)
+    .add("url", "string")
 )
-CONFIG = _schema("key string!, value string!, updated_at timestamp!, updated_by string")
-FEEDS = _schema("name string!, url string!, autodiscover boolean")
-LEXICON = _schema("token string!, baseform string!, class string")
-PUBLISHERS = _schema("source string!, name string!, url string")
-REQUESTS = _schema(
-    "request_id string!, type string, actor string!, object_id string, object_json string, received_at timestamp!"
+REQUESTS = (
+    T.StructType()
+    .add("request_id", "string", False)
+    .add("type", "string")
+    .add("actor", "string", False)
+    .add("object_id", "string")
+    .add("object_json", "string")
+    .add("received_at", "timestamp", False)
 )
 
 TABLES = {

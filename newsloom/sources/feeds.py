@@ -11,11 +11,17 @@ from newsloom.functions.times import parse_any, parse_rfc2822, rfc3339
 from newsloom.functions.urls import BASE, article_id
 from newsloom.schemas import PUBLISHERS
 
+# every element may be repeated, and the first counts; thumbnails may stand inside media:content or media:group
+_THUMBNAILS = "array<struct<_url:string>>"
+_CONTENT = f"array<struct<`media:thumbnail`:{_THUMBNAILS}>>"
 _ITEM = (
-    "struct<title:string,link:string,description:string,pubDate:string,`atom:updated`:string,"
-    "`media:thumbnail`:struct<_url:string>,thumbnail:struct<_url:string>,"
+    "struct<title:array<string>,link:array<string>,description:array<string>,pubDate:array<string>,`atom:updated`:array<string>,"
+    f"`media:thumbnail`:{_THUMBNAILS},thumbnail:{_THUMBNAILS},`media:content`:{_CONTENT},"
+    f"`media:group`:array<struct<`media:thumbnail`:{_THUMBNAILS},`media:content`:{_CONTENT}>>,"
     "enclosure:array<struct<_url:string,_type:string>>>"
 )
+# an ampersand that begins none of the references XML itself knows
+_STRAY = "&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)"
 _IMAGE = "image struct<url:string>"
 # items stand inside the channel (RSS 2.0) or next to it (RSS 1.0)
 FEED_SCHEMA = f"channel struct<{_IMAGE.replace(' ', ':', 1)},item:array<{_ITEM}>>, {_IMAGE}, item array<{_ITEM}>"
@@ -56,16 +62,47 @@ def _image_enclosure(item: Column) -> Column:
     return F.try_element_at(images, F.lit(1))["_url"]
 
 
+def _first(values: Column) -> Column:
+    return F.try_element_at(values, F.lit(1))
+
+
+def _thumbnails(item: Column) -> list[Column]:
+    group = item["media:group"]
+    return [
+        item["media:thumbnail"]["_url"], F.flatten(item["media:content"]["media:thumbnail"])["_url"],
+        F.flatten(group["media:thumbnail"])["_url"], F.flatten(F.flatten(group["media:content"])["media:thumbnail"])["_url"],
+        item["thumbnail"]["_url"],
+    ]
+
+
 def image_url(item: Column, channel_image: Column) -> Column:
-    """Thumbnail of the item, else its first image enclosure, else the channel's image."""
+    """First thumbnail of the item, else its first image enclosure, else the channel's image."""
     return F.coalesce(
-        F.nullif(item["media:thumbnail"]["_url"], F.lit("")),
-        F.nullif(item["thumbnail"]["_url"], F.lit("")),
+        *[_first(F.filter(urls, lambda url: url.isNotNull() & (url != ""))) for urls in _thumbnails(item)],
         _image_enclosure(item),
         strip(channel_image),
     )
 
 
+def _read(feeds: DataFrame, xml: str) -> DataFrame:
+    """Feeds with ``feed``, the parsed document; NULL when it cannot be read.
+
+    A document that is not well-formed is read again with its stray ampersands and unknown entities escaped.
+    """
+    once = pinned(feeds.withColumn("feed", F.from_xml(F.col(xml), FEED_SCHEMA)), "feed")
+    unread = F.coalesce(F.col("feed.channel").isNull() & F.col("feed.item").isNull(), F.lit(True))
+    again = F.from_xml(F.when(unread, F.regexp_replace(xml, _STRAY, "&amp;")), FEED_SCHEMA)
+    feed = F.when(unread, again).otherwise(F.col("feed"))
+    read = pinned(once.withColumn("feed", feed), "feed")
+    return read.withColumn("feed", F.when(F.col("feed.channel").isNotNull() | F.col("feed.item").isNotNull(), F.col("feed")))
+
+
+def rejected_feeds(feeds: DataFrame, xml: str = "xml") -> DataFrame:
+    """Feeds of which nothing can be read, with the reason."""
+    blank = F.coalesce(strip(F.col(xml)), F.lit("")) == ""
+    return _read(feeds, xml).filter("feed is null").withColumn("reason", F.when(blank, "empty document").otherwise("not readable as a feed")).drop("feed")
+
+
 def feed_items(feeds: DataFrame, xml: str = "xml", atom_dates: bool = False) -> DataFrame:
     """Every item of every feed document, dated or not; other input columns are carried along.
 
@@ -73,7 +110,7 @@ def feed_items(feeds: DataFrame, xml: str = "xml", atom_dates: bool = False) ->
     the update time.
     """
     carried = [name for name in feeds.columns if name != xml]
-    parsed = feeds.select(*carried, F.from_xml(F.col(xml), FEED_SCHEMA).alias("feed"))
+    parsed = _read(feeds, xml).select(*carried, "feed")
     items = F.concat(
         F.coalesce("feed.channel.item", F.array().cast(f"array<{_ITEM}>")),
         F.coalesce("feed.item", F.array().cast(f"array<{_ITEM}>")),
@@ -84,17 +121,18 @@ def feed_items(feeds: DataFrame, xml: str = "xml", atom_dates: bool = False) ->
         "item is not null"
     )
     item = F.col("item")
-    published = parse_rfc2822(strip(item["pubDate"]))
+    date = strip(_first(item["pubDate"]))
+    published = parse_rfc2822(date)
     updated = published
     if atom_dates:
-        atom = parse_any(strip(item["atom:updated"]))
-        published = F.coalesce(published, parse_any(strip(item["pubDate"])), atom)
+        atom = parse_any(strip(_first(item["atom:updated"])))
+        published = F.coalesce(published, parse_any(date), atom)
         updated = F.coalesce(atom, published)
     fields = rows.select(
         *carried,
-        bare_text(item["title"]).alias("title"),
-        F.coalesce(strip(item["link"]), F.lit("")).alias("link"),
-        bare_text(item["description"]).alias("summary"),
+        bare_text(_first(item["title"])).alias("title"),
+        F.coalesce(strip(_first(item["link"])), F.lit("")).alias("link"),
+        bare_text(_first(item["description"])).alias("summary"),
         published.alias("published"),
         updated.alias("updated"),
         image_url(item, F.col("channel_image")).alias("image_url"),
@@ -113,6 +151,13 @@ def undated_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     return feed_items(feeds, xml).filter(F.col("published").isNull() & (F.col("link") != ""))
 
 
+def rejected_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
+    """Items that parse_feeds leaves out, with the reason."""
+    items = feed_items(feeds, xml)
+    reason = F.when(F.col("link") == "", "no link").when(F.col("published").isNull(), "no readable date")
+    return items.withColumn("reason", reason).filter("reason is not null")
+
+
 def publishers(spark: SparkSession) -> DataFrame:
     """The fixed publisher dimension (six rows)."""
     return spark.createDataFrame(KNOWN_PUBLISHERS, PUBLISHERS)

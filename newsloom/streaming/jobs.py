@@ -14,6 +14,7 @@ from newsloom.operators.activities import reaction_state
 from newsloom.operators.merge import latest_per_key
 from newsloom.operators.objects import upsert_articles
 from newsloom.operators.ordered import with_previous
+from newsloom.operators.reactions import event_time
 from newsloom.streaming.versions import read_versions, write_version
 
 COUNTS = "day timestamp, object_id string, like_count bigint, dislike_count bigint"
@@ -32,8 +33,11 @@ def _schema(ddl: str) -> StructType:
 
 
 def daily_counts(activities: DataFrame) -> DataFrame:
-    """Likes and dislikes per object and UTC day of a stream; rows later than LATENESS are dropped."""
-    reactions = activities.filter(F.col("type").isin("Like", "Dislike")).withColumn(
+    """Likes and dislikes per object and UTC day of a stream; rows later than LATENESS are dropped.
+
+    The day is that of :func:`event_time`, so a row dated ahead cannot move the watermark past what others send.
+    """
+    reactions = event_time(activities).filter(F.col("type").isin("Like", "Dislike")).withColumn(
         "published", F.col("published").cast("timestamp")
     )
     return (
