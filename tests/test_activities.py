@@ -205,3 +205,22 @@ def test_threads(spark):
         "A": (201, "A", 1), "gone": (404, None, None), "n1": (201, "A", 2), "n2": (400, None, None), "n3": (201, "gone", 2),
         "n5": (201, "missing", 2), "n6": (400, None, None), "odd": (400, None, None), "nope": (404, None, None),
     }
+
+
+def test_repeated_and_replayed_requests(spark):
+    """A request delivered twice acts once; a stored note is not made again, so an edit after it stays."""
+    objects = _objects(spark, stored(spark))
+    likes = spark.createDataFrame([], "activity_id string, actor string, object_id string, reaction_type string, published timestamp")
+    made = urls.BASE + "/objects/comments/" + key("Create", "u7", "r1")
+    create = ("r1", "Create", "u7", None, json.dumps({"type": "Note", "inReplyTo": "A", "content": "first"}), START + timedelta(hours=1))
+    edit = ("r2", "Update", "u7", made, json.dumps({"id": made, "content": "second"}), START + timedelta(hours=2))
+    batch = spark.createDataFrame([create, create, (*create[:5], START + timedelta(hours=3)), edit, edit], REQUEST)
+    once = act.apply_activities(batch, objects, likes)
+    assert sorted(r.status for r in once.decided.collect()) == [200, 201]
+    assert once.activities.count() == 2 and once.activities.select("id").distinct().count() == 2
+    first = once.objects.filter(F.col("id") == made).collect()
+    assert len(first) == 1 and json.loads(first[0].object_json)["content"] == "second"
+    again = act.apply_activities(spark.createDataFrame([create], REQUEST), once.objects, once.likes)
+    assert [(r.status, r.reason, r.accepted) for r in again.decided.collect()] == [(200, "already_created", False)]
+    assert again.activities.count() == 0
+    assert again.objects.filter(F.col("id") == made).collect() == first

@@ -122,3 +122,19 @@ def test_counters_and_recency_rules(spark):
         reactions.last_activity(log),
     )
     assert {r["id"]: (r["like_count"], r["dislike_count"], r["updated"]) for r in separate.collect()} == got
+
+
+def test_one_row_per_key_whatever_the_source_repeats(spark):
+    from datetime import datetime
+
+    early, late = datetime(2026, 1, 1), datetime(2026, 1, 2)
+    target = _objects(spark, [dict(id="A", source="hs", updated=early), dict(id="S", source="scraped", updated=early)])
+    versions = [("A", "hs", early, late, "new"), ("A", "hs", early, early, "old"), ("A", "hs", early, late, "new"), ("B", "hs", early, late, "b2"), ("B", "hs", early, None, "b1")]
+    source = spark.createDataFrame(versions, "id string, source string, published timestamp, updated timestamp, object_json string")
+    merged = ob.upsert_articles(target, source)
+    assert sorted((r.id, r.object_json) for r in merged.filter("id in ('A', 'B')").collect()) == [("A", "new"), ("B", "b2")]
+    pages = source.withColumn("id", F.when(F.col("id") == "A", "S").otherwise("T"))
+    for result in (ob.upsert_scraped(target, pages), ob.upsert_notes(target, pages)):
+        assert sorted(r.id for r in result.collect()) == ["A", "S", "T"]
+    deleted = ob.soft_delete(target, spark.createDataFrame([("A", late), ("A", early)], "id string, updated timestamp"))
+    assert deleted.count() == 2

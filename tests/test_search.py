@@ -80,3 +80,18 @@ def test_plans_read_narrow_rows_and_prune_the_second_scan(spark, objects, tmp_pa
     many = search.outbox_many(stored, spark.createDataFrame([("a", ["x"])], "search_id string, tags array<string>"))
     plan = many._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "WindowGroupLimit" in plan
+
+
+def test_searches_that_cannot_be_answered_say_why(spark, objects):
+    """Bounds and blank tags have a status; tabs, line feeds and repeats mean what they mean for a single search."""
+    rows = [("ok", ["\tX\n", "x", " "], 2), ("default", ["y"], None), ("many", ["x"], 501), ("zero", ["x"], 0), ("blank", [" ", "\n"], 5), ("none", None, 5)]
+    searches = spark.createDataFrame(rows, "search_id string, tags array<string>, n int")
+    checked = {r.search_id: (r.status, r.reason) for r in search.checked_searches(searches).collect()}
+    assert checked == {
+        "ok": (200, None), "default": (200, None), "many": (400, "n must be between 1 and 500"), "zero": (400, "n must be between 1 and 500"),
+        "blank": (400, "at least one tag is required"), "none": (400, "at least one tag is required"),
+    }
+    found = search.outbox_many(objects, searches).orderBy("place").collect()
+    assert [r.id for r in found if r.search_id == "ok"] == [r.id for r in search.outbox(objects, ["\tX\n", "x"], 2).collect()]
+    url = search.normalised_searches(searches).filter("search_id = 'ok'").select(search.search_url(F.col("tags"), F.col("n"))).first()[0]
+    assert url == search.self_url(search.normalise_tags(["\tX\n", "x", " "]), 2)

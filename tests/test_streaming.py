@@ -83,3 +83,15 @@ def test_replayed_requests_make_the_same_ids(spark):
     log = views.requests(spark, SF)
     ids = act.decide(log, views.board(spark, SF), views.likes(spark, SF)).select("request_id", "activity_id", "result_id")
     assert rows(ids) == rows(act.decide(log, views.board(spark, SF), views.likes(spark, SF)).select("request_id", "activity_id", "result_id"))
+
+
+def test_a_row_dated_ahead_does_not_move_the_watermark(spark, tmp_path):
+    day = datetime(2026, 1, 1)
+    schema = "type string, object_id string, published timestamp, received_at timestamp"
+    folder, out = str(tmp_path / "log"), str(tmp_path / "out")
+    for batch in ([("Like", "a", day + timedelta(days=900), day)], [("Like", "b", day, day)], [("Like", "b", day, day + timedelta(hours=1))]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(folder)
+    jobs.stream_reaction_counts(stream(spark, folder, schema), out, str(tmp_path / "mark")).awaitTermination(120)
+    expected = [("a", 1, 0), ("b", 2, 0)]
+    assert rows(jobs.current_reaction_counts(spark, out, F.lit("2026-01-02").cast("date"))) == expected
+    assert rows(reactions.reaction_counts(spark.read.parquet(folder), F.lit("2026-01-02").cast("date"))) == expected
