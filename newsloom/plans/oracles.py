@@ -49,8 +49,8 @@ select 'act/' || event_id id,
   'users/' || user_id actor,
   case event_type when 'signup' then 'comments/' || event_id
     when 'purchase' then 'comments/' || (event_id - 1 - event_id % 7)
-    else 'doc/' || ((user_id * 100 + {K}) % 200) end object_id,
-  case when event_type = 'signup' then 'doc/' || ((user_id * 100 + {K}) % 200) end thread_root,
+    else 'doc/' || ((user_id * 1009 + {K} * 31 + event_id) % (select max(doc_id) + 1 from documents)) end object_id,
+  case when event_type = 'signup' then 'doc/' || ((user_id * 1009 + {K} * 31 + event_id) % (select max(doc_id) + 1 from documents)) end thread_root,
   ts published, ts + interval 2 seconds received_at
 from events""",
     "likes": """
@@ -79,7 +79,7 @@ select 'conv/' || conv_id || '/' || turn id, case when turn = 0 then 'forum' els
   (conv_id + turn) % 13 = 0 deleted,
   case when turn = 0 then 'Article' else 'Note' end kind,
   case when turn = 0 then text end as name, case when turn > 0 then text end as content,
-  case when turn > 0 then 'users/' || ((conv_id + turn) % 5) end as owner,
+  case when turn > 0 then 'users/' || ((conv_id + turn) % (select max(user_id) + 1 from events)) end as owner,
   case when turn > 0 then 'conv/' || conv_id || '/' || (turn - 1) end in_reply_to,
   case when turn > 1 then 'conv/' || conv_id || '/0' end thread_root
 from conversations""",
@@ -102,14 +102,14 @@ select 'conv/' || conv_id || '/' || turn || case when turn % 2 = 0 then '' else
 from conversations""",
     "feed": f"""
 select *, doc_id % 13 <> 0 has_link, doc_id % 11 <> 0 has_date, case when doc_id % 13 <> 0 then 'https://news.example/' || doc_id else '' end link,
-  {_strip("regexp_replace(plain || ' & more', '[ ]+', ' ', 'g')")} title,
-  {_strip("regexp_replace(' ' || plain || '    x ', '[ ]+', ' ', 'g')")} summary,
+  {_clean("plain || ' &amp; more'")} title,
+  {_clean("'<p>' || plain || '</p>  <b>x</b>'")} summary,
   {_at("doc_id*37%43200")} - case when doc_id % 2 = 0 then interval 2 hours else interval 0 hours end published,
   case when doc_id % 3 = 0 then 'https://img.example/t' || doc_id || '.jpg'
     when doc_id % 3 = 1 then 'https://img.example/e' || doc_id || '.jpg'
     when doc_id % 2 = 0 then 'https://img.example/channel.png' end image_url
 from (select doc_id, case doc_id % 4 when 0 then 'hs' when 1 then 'is' else source end source,
-  regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g') plain from documents)""",
+  coalesce(text, '') plain from documents)""",
     "publishers": """
 select * from (values ('hs', 'Helsingin Sanomat', 'https://www.hs.fi'), ('iltalehti', 'Iltalehti', 'https://www.iltalehti.fi'),
   ('is', 'Ilta-Sanomat', 'https://www.is.fi'), ('kauppalehti', 'Kauppalehti', 'https://www.kauppalehti.fi'),
@@ -123,7 +123,7 @@ select doc_id, source, 'https://' || source || '.example/doc/' || doc_id page_ur
   case when doc_id % 3 = 0 then 'Site "X"' end site_name,
   case doc_id % 5 when 1 then '2024-01-05T10:00:00Z' when 2 then 'yesterday' end published_time,
   case when doc_id % 6 = 1 then '2024-01-06T10:00:00+02:00' end modified_time
-from (select doc_id, source, regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g') plain from documents)""",
+from (select doc_id, source, coalesce(text, '') plain from documents)""",
     "scraped": f"""
 select doc_id, '{BASE}/objects/scraped/' || sha256(page_url) id, {_strip("title")} as name, {_strip("description")} summary, url,
   case when published_time like '2024%' then timestamp '2024-01-05 10:00:00' else {NOW} end published,
@@ -144,13 +144,13 @@ from (select 'b' || item_id search_id, case when item_id % 7 = 0 then 50 else ca
   case when item_id % 11 = 0 then [] else list_transform(regexp_extract_all(text, '{WORD}'), lambda w: lower(upper(w))) end typed from benchmark)""",
     # ---- requests: pieces of the payloads as columns
     "ev": f"""
-select event_id e, user_id u, event_type et, {K} k, user_id * 100 + {K} spread, ts,
-  'users/' || (user_id % 5) actor, event_id - 1 - event_id % 7 earlier from events""",
+select event_id e, user_id u, event_type et, {K} k, user_id * 1009 + {K} * 31 + event_id spread, ts,
+  'users/' || user_id actor, event_id - 1 - event_id % 7 earlier from events""",
     "made": f"""
 select e earlier, '{BASE}/objects/comments/' || sha256('Create|' || actor || '|r' || e) made_id from ev where et = 'signup'""",
     "aimed": """
-select ev.*, case when e % 4 = 0 then 'doc/' || (spread % 200) when e % 4 = 3 then coalesce(made_id, 'comments/none')
-  else 'conv/' || (spread % 150) || '/' || case when e % 4 = 1 then k % 4 else 0 end end target
+select ev.*, case when e % 4 = 0 then 'doc/' || (spread % (select max(doc_id) + 1 from documents)) when e % 4 = 3 then coalesce(made_id, 'comments/none')
+  else 'conv/' || (spread % (select max(conv_id) + 1 from conversations)) || '/' || case when e % 4 = 1 then k % (select max(turn) + 1 from conversations) else 0 end end target
 from ev left join made using (earlier)""",
     "req": """
 select 'r' || e request_id, e,

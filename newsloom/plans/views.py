@@ -37,6 +37,11 @@ def minutes_after_origin(minutes: Column) -> Column:
     return F.expr(ORIGIN) + F.make_dt_interval(mins=minutes.cast("int"))
 
 
+def _size(spark: SparkSession, sf_dir: str, name: str, column: str) -> int:
+    """One more than the largest value, so that what points into a table reaches all of it at every scale."""
+    return (table(spark, sf_dir, name).agg(F.max(column)).first()[0] or 0) + 1
+
+
 def _doc(number: Column) -> Column:
     return F.concat(F.lit("doc/"), number.cast("string"))
 
@@ -55,7 +60,7 @@ def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("Delete")
     )
     event = F.col("event_id")
-    article = _doc((F.col("user_id") * 100 + _k()) % 200)
+    article = _doc((F.col("user_id") * 1009 + _k() * 31 + event) % _size(spark, sf_dir, "documents", "doc_id"))
     target = (
         F.when(F.col("event_type") == "signup", F.concat(F.lit("comments/"), event.cast("string")))
         .when(F.col("event_type") == "purchase", F.concat(F.lit("comments/"), (event - 1 - event % 7).cast("string")))
@@ -142,7 +147,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     def at(number: Column) -> Column:
         return F.concat(F.lit("conv/"), conv, F.lit("/"), number.cast("string"))
 
-    author = F.concat(F.lit("users/"), ((F.col("conv_id") + turn) % 5).cast("string"))
+    author = F.concat(F.lit("users/"), ((F.col("conv_id") + turn) % _size(spark, sf_dir, "events", "user_id")).cast("string"))
     article = F.to_json(
         F.struct(
             F.lit("Article").alias("type"),
@@ -195,11 +200,13 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     seven before the last multiple of seven may have made. A few requests are malformed.
     """
     event = F.col("event_id")
-    spread = F.col("user_id") * 100 + _k()
+    spread = F.col("user_id") * 1009 + _k() * 31 + event
+    conversations, turns = (_size(spark, sf_dir, "conversations", c) for c in ("conv_id", "turn"))
     earlier = event - 1 - event % 7
-    actor = F.concat(F.lit("users/"), (F.col("user_id") % 5).cast("string"))
+    actor = F.concat(F.lit("users/"), F.col("user_id").cast("string"))
     turn = F.concat(
-        F.lit("conv/"), (spread % 150).cast("string"), F.lit("/"), F.when(event % 4 == 1, _k() % 4).otherwise(0).cast("string")
+        F.lit("conv/"), (spread % conversations).cast("string"), F.lit("/"),
+        F.when(event % 4 == 1, _k() % turns).otherwise(0).cast("string"),
     )
     # the earlier event's actor is only known to the earlier event, so the comment id is looked up by join
     made = table(spark, sf_dir, "events").filter(F.col("event_type") == "signup").select(
@@ -211,7 +218,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     joined = table(spark, sf_dir, "events").withColumn("earlier", earlier).join(made, "earlier", "left")
     target = (
-        F.when(event % 4 == 0, _doc(spread % 200))
+        F.when(event % 4 == 0, _doc(spread % _size(spark, sf_dir, "documents", "doc_id")))
         .when(event % 4 == 3, F.coalesce("made_id", F.lit("comments/none")))
         .otherwise(turn)
     )
@@ -266,15 +273,18 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _plain(text: Column) -> Column:
-    return F.regexp_replace(text, "[^A-Za-z0-9 ]", "")
+def _escaped(text: Column) -> Column:
+    """A whole text as it stands in XML or in a quoted attribute."""
+    for character, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(character), F.lit(entity))
+    return text
 
 
 def feed_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, xml): one feed document per article, in the shapes feeds come in."""
     number = F.col("doc_id")
     published = minutes_after_origin(number * 37 % 43200)
-    title = _plain(F.col("text"))
+    title = _escaped(F.coalesce("text", F.lit("")))
     body = F.concat(
         F.lit("<title>"), title, F.lit(" &amp;amp; more</title>"),
         F.when(number % 13 != 0, F.concat(F.lit("<link> https://news.example/"), number.cast("string"), F.lit("</link>"))).otherwise(""),
@@ -297,7 +307,7 @@ def og_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(url, html): the given pages' bodies do not carry page metadata, so heads are made from documents."""
     number = F.col("doc_id")
     n = number.cast("string")
-    title = _plain(F.col("text"))
+    title = _escaped(F.coalesce("text", F.lit("")))
     head = F.concat(
         F.lit("<!DOCTYPE html><html><head><!-- <meta property='og:title' content='hidden'> --><title>Page "), n, F.lit(" &amp; more</title>"),
         F.when(number % 4 != 0, F.concat(F.lit('<meta property="og:title" content="First"><META content="'), title, F.lit('" property="OG:Title" />'))).otherwise(""),
