@@ -491,4 +491,6 @@ where has_link and not has_date and (doc_id % 5 = 1 or {_at("doc_id*60%43200")}
     "allowed_pages": "select page_id, url page_url from pages where regexp_extract(url, '://([^/?#]*)', 1) like '%.org'",
 }
 
+BODIES["rewrite_touched"] = BODIES["upsert_articles"]
+
 ORACLES = {name: _sql(body) for name, body in BODIES.items()}

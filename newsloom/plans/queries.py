@@ -6,6 +6,7 @@ state the same result; see oracles.py.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,7 +15,7 @@ from newsloom.functions import documents as docs, text as tx, times, urls
 from newsloom.operators import activities as act, enrichment, objects as ob, quality, reactions, search, state, tagging, threads, variants
 from newsloom.operators.merge import latest_per_key
 from newsloom.plans import views
-from newsloom.session import configure, stage
+from newsloom.session import configure, shared_folder, stage
 from newsloom.sources import feeds, pages, tables
 
 SEARCH = ["the", "les", "der"]
@@ -206,6 +207,18 @@ def upsert_articles(spark, sf_dir):
     )
 
 
+@query
+def rewrite_touched(spark, sf_dir):
+    """The article upsert on a stored table, of which only the touched dates are read and written."""
+    root = f"{shared_folder(spark)}/merge-{uuid.uuid4().hex}"
+    tables.write_table(views.objects(spark, sf_dir), root, "objects")
+    tables.rewrite_touched(spark, root, "objects", views.edits(spark, sf_dir), ob.upsert_articles)
+    return tables.read_table(spark, root, "objects").select(
+        "id", "source", "published", "updated", "like_count", "dislike_count", "tags_enriched", "og_enriched", "deleted",
+        _field("name").alias("name"),
+    )
+
+
 @query
 def upsert_scraped(spark, sf_dir):
     scraped = stage(enrichment.scraped_articles(_page_metadata(spark, sf_dir), views.now()))

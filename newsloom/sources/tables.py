@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsloom.schemas import CLUSTERING, OBJECTS_CONTRACT, TABLES
+from newsloom.session import stage
 
 
 def read_table(spark: SparkSession, root: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -28,7 +29,7 @@ def laid_out(df: DataFrame, name: str) -> DataFrame:
     """
     if name not in CLUSTERING:
         return df
-    dated = with_published_date(df)
+    dated = df if "published_date" in df.columns else with_published_date(df)
     return dated.hint("rebalance", "published_date").sortWithinPartitions("published_date", *CLUSTERING[name])
 
 
@@ -47,11 +48,33 @@ def append_activities(df: DataFrame, root: str) -> None:
 
 def touched_dates(target: DataFrame, source: DataFrame, key: str = "id") -> DataFrame:
     """Distinct publication dates a merge can change: those of matched target rows and of the source rows."""
-    matched = target.join(source.select(key), key, "left_semi").select("published_date")
+    matched = target.select(key, "published_date").join(source.select(key), key, "left_semi").select("published_date")
     dates = matched.union(with_published_date(source).select("published_date")) if "published" in source.columns else matched
     return dates.distinct()
 
 
+def rewrite_touched(
+    spark: SparkSession, root: str, name: str, source: DataFrame, update: Callable[[DataFrame, DataFrame], DataFrame], key: str = "id"
+) -> None:
+    """Merge ``source`` into a stored table and write the partitions the merge can change, no others.
+
+    ``update(rows, source)`` gets the rows of the touched dates and returns them merged. The result is written out to
+    the shared folder first and then replaces those partitions, so a run that fails before leaves the table as it was,
+    and one that fails while replacing is repeated with the same result. The table has one writer at a time.
+    """
+    source = stage(source, "merge-source")
+    stored = read_table(spark, root, name)
+    dates = stage(touched_dates(stored, source, key), "merge-dates")
+    # a row per date: a table has as many partitions as it has days, and the join prunes the scan by them
+    rows = stored.join(F.broadcast(dates), "published_date", "left_semi").drop("published_date")
+    merged = stage(with_published_date(update(rows, source)), "merge-result")
+    laid_out(merged, name).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("published_date").parquet(f"{root}/{name}")
+    emptied = dates.join(merged.select("published_date").distinct(), "published_date", "left_anti").filter("published_date IS NOT NULL")
+    for date in [row[0] for row in emptied.collect()]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/published_date={date}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Columns of a table's fixed schema, cast to its types; missing nullable columns become NULL."""
     fields = TABLES[name]

@@ -138,3 +138,33 @@ def test_one_row_per_key_whatever_the_source_repeats(spark):
         assert sorted(r.id for r in result.collect()) == ["A", "S", "T"]
     deleted = ob.soft_delete(target, spark.createDataFrame([("A", late), ("A", early)], "id string, updated timestamp"))
     assert deleted.count() == 2
+
+
+def test_only_touched_partitions_are_written(spark, tmp_path):
+    """Files of other dates stay as they are; a date whose last row moves away goes."""
+    import hashlib
+    from datetime import datetime
+    from pathlib import Path
+
+    from newsloom.sources import tables
+
+    days = [datetime(2026, 1, d) for d in range(1, 6)]
+    root = str(tmp_path)
+    tables.write_table(_objects(spark, [dict(id=f"{d.day}{x}", published=d, updated=d) for d in days for x in ("a", "b")] + [
+        dict(id="lone", published=datetime(2026, 2, 1), updated=days[0])]), root, "objects")
+
+    def files():
+        return {str(f.relative_to(root)): hashlib.md5(f.read_bytes()).hexdigest() for f in Path(root).rglob("*.parquet")}
+
+    before = files()
+    source = spark.createDataFrame(
+        [("2a", "hs", days[1], days[4], "new"), ("new", "hs", days[3], days[3], "n"), ("lone", "hs", days[3], days[4], "moved")],
+        "id string, source string, published timestamp, updated timestamp, object_json string")
+    for _ in range(2):
+        tables.rewrite_touched(spark, root, "objects", source, ob.upsert_articles)
+        after = files()
+        changed = {n.split("/")[1] for n in before.keys() ^ after.keys()} | {n.split("/")[1] for n in before.keys() & after.keys() if before[n] != after[n]}
+        assert changed == {"published_date=2026-01-02", "published_date=2026-01-04", "published_date=2026-02-01"}
+        found = {r.id: r.object_json for r in tables.read_table(spark, root, "objects").collect()}
+        assert len(found) == 12 and (found["2a"], found["new"], found["lone"]) == ("new", "n", "moved")
+        assert tables.read_table(spark, root, "objects").count() == 12
