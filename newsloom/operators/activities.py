@@ -169,7 +169,7 @@ def decide(
     ok = F.col("malformed").isNull()
     reaction = F.coalesce(F.col("type").isin(*REACTIONS), F.lit(False))
     attempt = ok & reaction & _alive("known")
-    flagged = seen.withColumn("attempt", F.coalesce(attempt, F.lit(False)))
+    flagged = keep(seen.withColumn("attempt", F.coalesce(attempt, F.lit(False))))
     decided = _previous_reactions(flagged.filter("attempt"), likes).unionByName(
         flagged.filter("not attempt"), allowMissingColumns=True
     )

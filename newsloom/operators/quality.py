@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.functions.documents import keys, text_field
+from newsloom.functions.rows import pinned
 from newsloom.schemas import DOCUMENT_CONTRACTS
 
 
-def missing_keys(document: Column) -> Column:
-    """Keys the document's type requires and the document lacks, in the contract's order."""
-    present, kind = keys(document), text_field(document, "type")
+def missing_keys(present: Column, kind: Column) -> Column:
+    """Keys a type of document requires and that are not present, in the contract's order."""
     result = F.lit(None).cast("array<string>")
     for name, required in DOCUMENT_CONTRACTS.items():
         wanted = F.array(*[F.lit(key) for key in required])
@@ -20,13 +20,15 @@ def missing_keys(document: Column) -> Column:
 
 def validate_documents(objects: DataFrame) -> DataFrame:
     """(id, kind, problem, missing) for every object whose document breaks its contract."""
-    kind = text_field(F.col("object_json"), "type")
-    checked = objects.select(
-        "id", kind.alias("kind"), "object_json", missing_keys(F.col("object_json")).alias("missing")
+    read = objects.select(
+        "id", F.col("object_json").isNull().alias("absent"), text_field(F.col("object_json"), "type").alias("kind"),
+        keys(F.col("object_json")).alias("present"),
     )
+    once = pinned(read, "kind", "present")
+    checked = once.withColumn("missing", missing_keys(F.col("present"), F.col("kind")))
     problem = (
-        F.when(F.col("object_json").isNull(), "no document")
-        .when(F.size(keys(F.col("object_json"))) == 0, "not a JSON object")
+        F.when(F.col("absent"), "no document")
+        .when(F.size("present") == 0, "not a JSON object")
         .when(F.col("kind").isNull(), "no type")
         .when(F.col("missing").isNull(), "unknown type")
         .when(F.size("missing") > 0, "missing keys")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from newsloom.functions.documents import CONTEXT, text_field, with_fields
 from newsloom.functions.times import parse_iso
 from newsloom.functions.urls import BASE
+from newsloom.operators.merge import S, merge
 
 # Fixed value: what readers see of a deleted comment.
 PLACEHOLDER = "[kommentti poistettu]"
@@ -105,13 +106,14 @@ def state_from_log(activities: DataFrame) -> DataFrame:
 
 
 def with_placeholders(objects: DataFrame) -> DataFrame:
-    """Deleted notes that have replies keep their place with a placeholder text."""
+    """Deleted notes that have replies keep their place with a placeholder text.
+
+    Only the documents of those notes are rewritten; they are merged into the others by id.
+    """
     parents = objects.select(text_field(F.col("object_json"), "inReplyTo").alias("id")).filter("id is not null").distinct()
-    marked = objects.join(parents.withColumn("_answered", F.lit(True)), "id", "left")
-    shown = F.col("deleted") & F.coalesce("_answered", F.lit(False)) & (text_field(F.col("object_json"), "type") == "Note")
-    return with_fields(marked, "object_json", {"content": F.when(shown, F.lit(PLACEHOLDER))}, "_document").withColumn(
-        "object_json", F.when(shown, F.col("_document")).otherwise(F.col("object_json"))
-    ).drop("_answered", "_document")
+    gone = objects.filter(F.col("deleted") & (text_field(F.col("object_json"), "type") == "Note")).select("id", "object_json")
+    shown = with_fields(gone.join(parents, "id", "left_semi"), "object_json", {"content": F.lit(PLACEHOLDER)})
+    return merge(objects, shown, {"object_json": S("object_json")}, order=[F.desc("object_json")])
 
 
 def apply_tag_edits(objects: DataFrame, edits: DataFrame) -> DataFrame:

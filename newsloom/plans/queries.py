@@ -469,7 +469,8 @@ def clean_text_tagging(spark, sf_dir):
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return act.decide(views.requests(spark, sf_dir), views.board(spark, sf_dir), views.likes(spark, sf_dir))
+    """Decisions as apply_activities keeps them: what follows reads them more than once."""
+    return stage(act.decide(views.requests(spark, sf_dir), views.board(spark, sf_dir), views.likes(spark, sf_dir)))
 
 
 @query
@@ -486,7 +487,8 @@ def activity_dispatch(spark, sf_dir):
 
 @query
 def activity_decisions(spark, sf_dir):
-    return _decided(spark, sf_dir).select("request_id", "type", "status", "reason", "thread_root")
+    decided = act.decide(views.requests(spark, sf_dir), views.board(spark, sf_dir), views.likes(spark, sf_dir))
+    return decided.select("request_id", "type", "status", "reason", "thread_root")
 
 
 @query
