@@ -19,11 +19,6 @@ def keys(document: Column) -> Column:
     return F.coalesce(F.json_object_keys(document), F.array().cast("array<string>"))
 
 
-def is_owner(document: Column, actor: Column) -> Column:
-    """The document names the actor as its author. An author given as an object never equals an actor."""
-    return F.coalesce(text_field(document, "attributedTo") == actor, F.lit(False))
-
-
 def parsed(document: Column) -> Column:
     """Top-level keys with values of any type, NULL when the text is not a JSON object."""
     return F.from_json(document, "map<string,variant>")

@@ -56,7 +56,3 @@ def activity_id(kind: Column, actor: Column, request_id: Column, base: str = BAS
     return F.concat(
         F.lit(f"{base}/activities/"), F.lower(kind), F.lit("s/"), request_key(kind, actor, request_id)
     )
-
-
-def user_id(subject: Column, base: str = BASE) -> Column:
-    return F.concat(F.lit(f"{base}/users/"), subject)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.operators.merge import S, latest_per_key, merge
+from newsloom.sources.pages import feed_page
 
 
 def config_put(config: DataFrame, rows: DataFrame, now: Column, by: str) -> DataFrame:
@@ -38,28 +39,37 @@ def last_fetched_key(source: Column) -> Column:
 
 def resolved_feeds(feeds: DataFrame, config: DataFrame, discovered: DataFrame) -> DataFrame:
     """(name, feed_url): fixed address, or for autodiscovered feeds the stored one, else the one just found on
-    the feed's page (page_url, feed_url). Feeds without any address drop out."""
+    the feed's page (page_url, feed_url; see feed_page). :func:`unresolved_feeds` has those without any address."""
+    return _addresses(feeds, config, discovered).filter(F.col("feed_url").isNotNull())
+
+
+def unresolved_feeds(feeds: DataFrame, config: DataFrame, discovered: DataFrame) -> DataFrame:
+    """(name): feeds for which there is no address."""
+    return _addresses(feeds, config, discovered).filter(F.col("feed_url").isNull()).select("name")
+
+
+def _addresses(feeds: DataFrame, config: DataFrame, discovered: DataFrame) -> DataFrame:
     stored = config.select(F.col("key").alias("config_key"), F.col("value").alias("stored_url"))
     found = latest_per_key(discovered, "page_url", [F.col("feed_url")])
     return (
         feeds.withColumn("config_key", feed_url_key(F.col("name")))
         .join(stored, "config_key", "left")
-        .join(found.select(F.col("page_url").alias("url"), F.col("feed_url").alias("found_url")), "url", "left")
+        .withColumn("page_url", feed_page(F.col("url")))
+        .join(found.select("page_url", F.col("feed_url").alias("found_url")), "page_url", "left")
         .select(
             "name",
             F.when(F.col("autodiscover"), F.coalesce("stored_url", "found_url")).otherwise(F.col("url")).alias("feed_url"),
         )
-        .filter(F.col("feed_url").isNotNull())
     )
 
 
 def discovered_config(feeds: DataFrame, config: DataFrame, discovered: DataFrame) -> DataFrame:
     """(key, value) rows for config_put: addresses found for autodiscovered feeds that had none stored."""
-    fresh = feeds.filter("autodiscover").select("url", feed_url_key(F.col("name")).alias("key"))
+    fresh = feeds.filter("autodiscover").select(feed_page(F.col("url")).alias("page_url"), feed_url_key(F.col("name")).alias("key"))
     found = latest_per_key(discovered, "page_url", [F.col("feed_url")]).filter(F.col("feed_url").isNotNull())
     return (
         fresh.join(config.select("key"), "key", "left_anti")
-        .join(found.select(F.col("page_url").alias("url"), F.col("feed_url").alias("value")), "url")
+        .join(found.select("page_url", F.col("feed_url").alias("value")), "page_url")
         .select("key", "value")
     )
 

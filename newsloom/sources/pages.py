@@ -9,7 +9,7 @@ from newsloom.functions.text import unescape
 from newsloom.functions.urls import absolute_url, site
 
 _INVISIBLE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-_ATTRIBUTE = r"""([^\s"'<>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+_ATTRIBUTE = r"""([^\s"'<>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
 _TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 
 # Which property fills which column.
@@ -25,8 +25,8 @@ PROPERTIES = {
 
 
 def _tags(html: Column, name: str) -> Column:
-    """Opening tags of one element; quoted attribute values may contain '>'."""
-    return F.regexp_extract_all(html, F.lit(rf"""(?is)<{name}\b(?:[^>"']|"[^"]*"|'[^']*')*+>"""), F.lit(0))
+    """Opening tags of one element; quoted values may contain '>', and a quote anywhere else is a character."""
+    return F.regexp_extract_all(html, F.lit(rf"""(?is)<{name}\b(?:=\s*+(?:"[^"]*"|'[^']*')|[^>])*+>"""), F.lit(0))
 
 
 def _attributes(tag: Column) -> Column:

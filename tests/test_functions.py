@@ -98,8 +98,3 @@ def test_with_fields_keeps_other_keys_and_values(spark):
     assert got[1] == '{"a":{"b":[1,"x"]},"n":null,"name":"new","z":1}'
     assert got[2] == '{"name":"old","z":1}'
     assert got[3] is None and got[4] is None
-
-
-def test_owner(spark):
-    docs = ['{"attributedTo":"u1"}', '{"attributedTo":{"name":"u1"}}', "{}", None]
-    assert values(spark, docs, lambda c: documents.is_owner(c, F.lit("u1"))) == [True, False, False, False]

@@ -138,6 +138,22 @@ def test_page_metadata_fallbacks_and_precedence(spark):
     assert row.title == 'a "b" > c property=x'
 
 
+def test_an_unpaired_quote_is_a_character(spark):
+    row = metadata(spark, """<meta property=og:title content=Don't><meta property="og:description" content='a "b" > c'>""")
+    assert (row.title, row.description) == ("Don't", 'a "b" > c')
+
+
+def test_feeds_of_a_page_of_their_own(spark):
+    from newsloom.operators import state
+
+    feeds_ = spark.createDataFrame([("valtioneuvosto", "https://valtioneuvosto.fi/a", True), ("x", "https://x.example", True)], "name string, url string, autodiscover boolean")
+    config = spark.createDataFrame([], "key string, value string, updated_at timestamp, updated_by string")
+    found = spark.createDataFrame([("https://valtioneuvosto.fi/rss-syotteet", "https://valtioneuvosto.fi/r.xml")], "page_url string, feed_url string")
+    assert [tuple(r) for r in state.resolved_feeds(feeds_, config, found).collect()] == [("valtioneuvosto", "https://valtioneuvosto.fi/r.xml")]
+    assert [r.name for r in state.unresolved_feeds(feeds_, config, found).collect()] == ["x"]
+    assert [tuple(r) for r in state.discovered_config(feeds_, config, found).collect()] == [("valtioneuvosto.rss_url", "https://valtioneuvosto.fi/r.xml")]
+
+
 def test_feed_links(spark):
     cases = {
         '<link rel="stylesheet" href="/a.css"><link type="application/rss+xml" rel="alternate" href="/rss.xml">': "https://e.com/rss.xml",
