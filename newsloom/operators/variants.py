@@ -85,13 +85,34 @@ def without_actor_data(activities: DataFrame, actors: DataFrame) -> DataFrame:
     return activities.join(actors.select("actor").distinct(), "actor", "left_anti")
 
 
-def anonymised(df: DataFrame, actors: DataFrame, base: str = BASE) -> DataFrame:
-    """Rows of the given actors under a hashed name; everything else as it is."""
-    leaving = actors.select("actor", F.lit(True).alias("_leaving")).distinct()
-    hidden = F.concat(F.lit(f"{base}/users/"), F.sha2("actor", 256))
-    return df.join(leaving, "actor", "left").withColumn(
-        "actor", F.when(F.col("_leaving"), hidden).otherwise(F.col("actor"))
-    ).drop("_leaving")
+def hidden_name(actor: Column, salt: str, base: str = BASE) -> Column:
+    """The name an actor who leaves gets. Ids are few and guessable, so without the caller's secret salt the hash
+    could be undone by trying them."""
+    return F.concat(F.lit(f"{base}/users/"), F.sha2(F.concat(F.lit(salt), actor), 256))
+
+
+def anonymised(df: DataFrame, actors: DataFrame, salt: str, base: str = BASE) -> DataFrame:
+    """Rows with the given actors under a hashed name, in the actor column and in every document that names them.
+
+    Documents need an ``id`` column to be found again; a document is compared with the actors by the ids it holds.
+    """
+    leaving = actors.select("actor").distinct()
+    if "actor" in df.columns:
+        marked = df.join(leaving.withColumn("_leaving", F.lit(True)), "actor", "left")
+        name = F.when(F.col("_leaving"), hidden_name(F.col("actor"), salt, base)).otherwise(F.col("actor"))
+        df = marked.withColumn("actor", name).select(df.columns)
+    if "object_json" not in df.columns:
+        return df
+    quoted = F.regexp_extract_all("object_json", F.lit('"([^"]+)"'), F.lit(1))
+    named = df.select("id", F.explode(F.array_distinct(quoted)).alias("actor")).join(leaving, "actor").groupBy("id").agg(
+        F.collect_set(F.struct("actor", hidden_name(F.col("actor"), salt, base).alias("hidden"))).alias("_named"))
+
+    def renamed(document: Column, one: Column) -> Column:
+        return F.replace(document, F.concat(F.lit('"'), one["actor"], F.lit('"')), F.concat(F.lit('"'), one["hidden"], F.lit('"')))
+
+    return df.join(named, "id", "left").withColumn(
+        "object_json", F.when(F.col("_named").isNull(), F.col("object_json")).otherwise(F.aggregate("_named", F.col("object_json"), renamed))
+    ).select(df.columns)
 
 
 def state_from_log(activities: DataFrame) -> DataFrame:

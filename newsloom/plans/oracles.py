@@ -467,7 +467,7 @@ where o.published > case when c.key is not null then timestamp '2024-01-02 00:00
   case when kind = 'Article' then '@context,url,published' when kind = 'Note' then '@context,published' end missing
 from (select id, kind from board where id like 'conv/%' or kind is null)""",
     "anonymised": f"""select id, type, case when actor in (select actor from activities where type = 'Delete')
-  then '{BASE}/users/' || sha256(actor) else actor end actor from activities""",
+  then '{BASE}/users/' || sha256('pepper' || actor) else actor end actor from activities""",
     "without_actor_data": """select id, type, actor, object_id from activities
 where actor not in (select actor from activities where type = 'Delete' and object_id like '%7')""",
     "state_from_log": """select object_id, arg_max(type, row(received_at, id)) last_type, max(received_at) last_at, bool_or(type = 'Delete') deleted,

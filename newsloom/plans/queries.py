@@ -587,7 +587,7 @@ def validate_documents(spark, sf_dir):
 @query
 def anonymised(spark, sf_dir):
     log = views.activities(spark, sf_dir).select("id", "type", "actor")
-    return variants.anonymised(log, log.filter("type = 'Delete'"))
+    return variants.anonymised(log, log.filter("type = 'Delete'"), salt="pepper")
 
 
 @query

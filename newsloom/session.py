@@ -63,6 +63,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_staged: list[str] = []
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a table in the shared folder and continue from there.
 
@@ -71,10 +74,18 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _staged.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Delete the tables staged so far. Call it when the results that read them are written."""
+    while _staged:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def ship_package(spark: SparkSession) -> SparkSession:
     """Give this package to the Python workers, once per Spark context; they import the functions they run from it.
 

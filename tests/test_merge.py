@@ -168,3 +168,23 @@ def test_only_touched_partitions_are_written(spark, tmp_path):
         found = {r.id: r.object_json for r in tables.read_table(spark, root, "objects").collect()}
         assert len(found) == 12 and (found["2a"], found["new"], found["lone"]) == ("new", "n", "moved")
         assert tables.read_table(spark, root, "objects").count() == 12
+
+
+def test_no_id_of_a_leaving_actor_is_left(spark):
+    """Neither in the actor column nor in any document, nested or not, whoever wrote it; other ids stay."""
+    import json
+
+    from newsloom.operators import variants
+
+    rows_ = [
+        ("1", "users/1", json.dumps({"attributedTo": "users/1", "to": [{"id": "users/2"}, "users/11"]})),
+        ("2", "users/2", json.dumps({"object": {"actor": "users/1", "text": "users/1 said"}})),
+        ("3", "users/3", "{bad users/1"), ("4", None, None), ("1", "users/11", '"users/1"'),
+    ]
+    log = spark.createDataFrame(rows_, "id string, actor string, object_json string")
+    out = variants.anonymised(log, spark.createDataFrame([("users/1",), ("users/1",)], "actor string"), salt="s").collect()
+    assert len(out) == 5
+    assert not any('"users/1"' in (r.object_json or "") or r.actor == "users/1" for r in out)
+    assert sum('"users/2"' in (r.object_json or "") and '"users/11"' in r.object_json for r in out) == 1
+    other = variants.anonymised(log, spark.createDataFrame([("users/1",)], "actor string"), salt="t").collect()
+    assert {r.actor for r in out} != {r.actor for r in other}
