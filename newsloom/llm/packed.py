@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 PACKED = "part int, kind int, data binary"
 NO_ID = np.iinfo(np.int64).max
 """Stands for a missing document id: after every other id."""

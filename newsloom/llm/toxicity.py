@@ -20,6 +20,9 @@ MAX_FEATURES = 10_000
 """Columns of the fitted model, which travels with every task."""
 FOLDS = 5
 
+SLICE = 1 << 20
+"""Bytes of text that a task scores at once; an n-gram takes several times the bytes of a character."""
+
 _STEPS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1, 0xD3A2646D, 0xFD7046C5, 0xB55A4F09)
 _BITS = 22
 
@@ -36,7 +39,6 @@ def _grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     points = np.frombuffer("".join(lowered).encode("utf-32-le"), np.uint32)
     points = np.where((points >= 9) & (points <= 13), np.uint32(32), points)
     doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    left = np.cumsum(sizes)[doc] - np.arange(len(points)) if len(points) else np.zeros(0, np.int64)
     total = np.zeros(len(points), np.uint32)
     for n in range(1, max(ORDERS) + 1):
         if n > len(points):
@@ -48,7 +50,7 @@ def _grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             h ^= h >> np.uint32(12)
             h *= np.uint32(0x297A2D39)
             h ^= h >> np.uint32(15)
-            whole = left[: len(h)] >= n
+            whole = doc[: len(h)] == doc[n - 1:]
             yield h[whole], doc[: len(h)][whole]
 
 
@@ -157,7 +159,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
-        for batch in slices(batches, f"c{at}"):
+        for batch in slices(batches, f"c{at}", SLICE):
             score = model.scores(batch[f"c{at}"].to_pylist(), table)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(score), pa.array((score >= 0.5).astype(np.int32)), *batch.columns],
