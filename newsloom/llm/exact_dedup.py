@@ -72,9 +72,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
 def kept_documents(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The rows that stay, with all their columns; repeated rows of an id with one text are one row."""
     decided = exact_dedup(docs, index).filter("kept").select("doc_id", "text_sha256").distinct()
-    digest = F.sha2(normalised(F.col("text")), 256)
-    ids = [c for c in docs.columns if c != "doc_id"]
-    joined = docs.alias("d").join(
-        decided.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (digest == F.col("k.text_sha256")), "left_semi"
-    )
-    return joined.dropDuplicates(["doc_id"]).select(docs.columns) if ids else joined
+    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_sha256": F.sha2(normalised(F.col("text")), 256)})
+    same = F.col("_id").eqNullSafe(F.col("k.doc_id")) & (F.col("_sha256") == F.col("k.text_sha256"))
+    kept = keyed.join(decided.alias("k"), same, "left_semi")
+    return kept.dropDuplicates(["_id", "_sha256"]).select(docs.columns)

@@ -109,6 +109,9 @@ def test_exact_batches(spark):
     assert got(exact_dedup(frame(spark, [(None, "z"), (9, "z"), (None, None)]), DigestIndex(spark)), "doc_id", "keep_id", "kept") == [
         (None, None, True), (None, 9, False), (9, 9, True)]
     index.drop()
+    rows = [(None, "p"), (None, "q"), (None, "q"), (4, "r"), (4, "s"), (4, "r"), (5, "r")]
+    kept = kept_documents(frame(spark, rows), DigestIndex(spark))
+    assert got(kept, "doc_id", "text") == [(None, "p"), (None, "q"), (4, "r"), (4, "s")]
 
 
 def test_similar(spark, texts):
