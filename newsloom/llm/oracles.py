@@ -30,4 +30,71 @@ ORACLES: dict[str, str] = {
             doc_id = min(doc_id) OVER same AS kept, text_sha256
         FROM n WINDOW same AS (PARTITION BY text_sha256)
     """,
+    "op2_embedding_near_dedup": r"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), u AS (
+            SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM v WHERE list_inner_product(e, e) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id
+            WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.9
+        ), reach(vec_id, other) AS (
+            SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other
+        ), n AS (
+            SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a
+        )
+        SELECT r.vec_id, CAST(coalesce(any_value(n.n_links), 0) AS BIGINT) AS n_links, min(other) AS component_id,
+            r.vec_id = min(other) AS kept
+        FROM reach r LEFT JOIN n ON n.vec_id = r.vec_id GROUP BY r.vec_id
+    """,
+    "op5_lm_scores": r"""
+        WITH d AS (
+            SELECT doc_id, ['', ''] || regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), g AS (
+            SELECT doc_id, w[p] || ' ' || w[p + 1] AS context, w[p + 2] AS word
+            FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS p FROM d)
+        ), c AS (
+            SELECT doc_id, ln(count(*) OVER (PARTITION BY context, word)) - ln(count(*) OVER (PARTITION BY context)) AS score FROM g
+        ), s AS (
+            SELECT doc_id, round(sum(score), 6) AS log_score FROM c GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(w) - 2 AS BIGINT) AS n_words, log_score FROM d LEFT JOIN s ON s.doc_id = d.doc_id
+    """,
+    "op8_ngram_jaccard_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS shingle
+            FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS p FROM d WHERE len(w) > 0)
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), shared AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+            GROUP BY x.doc_id, y.doc_id
+        ), links AS (
+            SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 75 * (na.n + nb.n - k)
+        ), reach(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+        )
+        SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id
+        FROM reach r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+    """,
+    "op10_warc": r"""
+        WITH p AS (
+            SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+        ), h AS (
+            SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex, max(page_id) OVER (PARTITION BY body) AS latest FROM p
+        ), groups AS (
+            SELECT *, list_transform(range(8), lambda g: list_sum(list_transform(range(5), lambda i:
+                (instr('0123456789abcdef', substring(hex, CAST(5 * g + i + 1 AS BIGINT), 1)) - 1) << CAST(16 - 4 * i AS BIGINT)))) AS twenty FROM h
+        )
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+            array_to_string(list_transform(twenty, lambda t: array_to_string(list_transform([15, 10, 5, 0], lambda b:
+                substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST(t AS BIGINT) >> b) & 31) + 1 AS BIGINT), 1)), '')), '') AS payload_digest,
+            CASE WHEN page_id < latest THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id < latest THEN latest END AS refers_to
+        FROM groups
+    """,
 }

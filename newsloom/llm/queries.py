@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsloom.llm.backoff import backoff_scores
 from newsloom.llm.exact_dedup import DigestIndex, exact_dedup
@@ -43,7 +43,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_scores(_table(spark, sf_dir, "documents"))
+    scores = backoff_scores(_table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
