@@ -169,6 +169,11 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, ar
     return stage(judged.mapInArrow(run, _MANIFEST), "warc-written")
 
 
+def _one_by_one(archives: DataFrame) -> DataFrame:
+    """A partition per archive. The number is given, because by their few bytes the rows would all go to one task."""
+    return archives.repartition(max(1, archives.count()))
+
+
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
     """Rewrite monolithic archives (a manifest with ``path``) under ``folder``, a gzip member per record, with an index.
 
@@ -196,7 +201,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                         at, count = at + len(member), count + 1
                 yield _manifest([(f"{target}.warc.gz", f"{target}.index", count)])
 
-    return stage(archives.select("path").repartition(F.col("path")).mapInArrow(run, _MANIFEST), "warc-normalised")
+    return stage(_one_by_one(archives.select("path")).mapInArrow(run, _MANIFEST), "warc-normalised")
 
 
 _RECORDS = "page_id long, record_type string, refers_to long, url string, digest string, payload_bytes long, payload_digest string, payload binary"
@@ -234,7 +239,7 @@ def read_records(archives: DataFrame, folder: str, with_payload: bool = False) -
                             [pa.array(c, t) for c, t in zip(found, kinds, strict=True)], [f.split()[0] for f in _RECORDS.split(", ")])
 
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-    return archives.select("path", "index").repartition(F.col("path")).mapInArrow(run, _RECORDS)
+    return _one_by_one(archives.select("path", "index")).mapInArrow(run, _RECORDS)
 
 
 def archived_pages(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN_BYTES) -> DataFrame:
