@@ -97,11 +97,11 @@ def fitted(sets: list[np.ndarray], labels: np.ndarray, odds: float) -> Model:
     empty = Model(np.zeros(1, np.uint32), np.zeros(1), float(np.log(odds)))
     if not len(labels) or labels.min() == labels.max():
         return empty
-    grams, columns = np.unique(np.concatenate(sets), return_inverse=True)
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     n1, n0 = int(labels.sum()), int((1 - labels).sum())
-    one = np.bincount(columns, labels[rows], len(grams))
-    both = np.bincount(columns, minlength=len(grams))
+    grams, both = np.unique(np.concatenate(sets), return_counts=True)
+    some, count = np.unique(np.concatenate([s for s, y in zip(sets, labels, strict=True) if y]), return_counts=True)
+    one = np.zeros(len(grams), np.int64)
+    one[np.searchsorted(grams, some)] = count
     p, q = (one + 1) / (n1 + 2), (both - one + 1) / (n0 + 2)
     ratio = np.log(p / q)
     strength = np.abs(p - q) / np.sqrt(p * (1 - p) / n1 + q * (1 - q) / n0)
@@ -109,10 +109,9 @@ def fitted(sets: list[np.ndarray], labels: np.ndarray, odds: float) -> Model:
     chosen = np.sort(chosen[np.argsort(-strength[chosen], kind="stable")[:MAX_FEATURES]])
     if not len(chosen):
         return empty
-    renamed = np.full(len(grams), -1)
-    renamed[chosen] = np.arange(len(chosen))
-    inside = renamed[columns] >= 0
-    rows, columns, ratio = rows[inside], renamed[columns[inside]], ratio[chosen]
+    grams, ratio = grams[chosen], ratio[chosen]
+    found = [np.flatnonzero(np.isin(grams, s, assume_unique=True)) for s in sets]
+    rows, columns = np.repeat(np.arange(len(sets)), [len(f) for f in found]), np.concatenate(found)
     values = ratio[columns]
     # Accelerated gradient descent. A step of 1 / L, with L bounded by a power iteration on the squared matrix.
     v = np.ones(len(chosen))
@@ -130,7 +129,7 @@ def fitted(sets: list[np.ndarray], labels: np.ndarray, odds: float) -> Model:
         before, bias_before = w, bias
         w = ahead - step * (np.bincount(columns, values * error[rows], len(chosen)) + ridge * ahead)
         bias = bias_ahead - min(step, 4.0) * error.sum()
-    return Model(grams[chosen], w * ratio, float(bias + np.log(odds) - np.log(n1 / n0)))
+    return Model(grams, w * ratio, float(bias + np.log(odds) - np.log(n1 / n0)))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
