@@ -152,22 +152,14 @@ def search_url(tags: Column, n: Column, base: str = BASE) -> Column:
 def outbox_many(objects: DataFrame, searches: DataFrame) -> DataFrame:
     """The outbox for a whole table of searches (search_id, tags array, optional n).
 
-    An object meets a search once, at the first of its tags that the search contains, so no aggregation is
-    needed to remove repeats; the ranking window keeps at most MAX_N rows per search and map task before
-    the shuffle. A small table of searches is broadcast by size; a large one is joined on the tag, where
-    AQE splits hot tags.
+    Shared tags are counted per search and object, before the shuffle as far as a task holds them; the ranking window
+    keeps at most MAX_N rows per search and task before the next one. A small table of searches is broadcast by
+    size; a large one is joined on the tag, where AQE splits hot tags.
     """
-    wanted = normalised_searches(searches).drop("tags").withColumn("tag", F.explode("search"))
-    candidates = live(objects).select(
-        "id", "published", "updated", "like_count", "tags", F.explode(F.array_distinct("tags")).alias("tag")
-    )
-    matched = F.filter("tags", lambda tag: F.array_contains(F.col("search"), tag))
-    scored = (
-        candidates.join(wanted, "tag")
-        .withColumn("matched", matched)
-        .filter(F.col("tag") == F.col("matched")[0])
-        .withColumn("relevance", F.size("matched").cast("bigint"))
-    )
+    wanted = normalised_searches(searches).select("search_id", "n", F.explode("search").alias("tag"))
+    columns = ["id", "published", "updated", "like_count"]
+    candidates = live(objects).select(*columns, F.explode("tags").alias("tag"))
+    scored = candidates.join(wanted, "tag").groupBy("search_id", "n", *columns).agg(F.count("*").alias("relevance"))
     place = F.row_number().over(Window.partitionBy("search_id").orderBy(*ranking()))
     return (
         scored.select("search_id", "n", "id", "published", "updated", "like_count", "relevance")
