@@ -1,10 +1,11 @@
-"""Exact similarity join of shingle sets with set-relation skipping.
+"""Exact similarity join of shingle sets with block skipping.
 
 Sets are ordered by rarity of their shingles, so two similar sets share one among the first few (prefix filter), and each
-shingle's index list is walked only where sizes and positions still allow the threshold (block skipping). Answers are
-derived from a leader, the most central set of a list: what is verified as similar to its leader takes over the leader's
-component, and only what is not is compared further, first inside the leader's group and then across components. No
-link between two components is skipped, and links inside one are not needed for it.
+shingle's index list is walked only where sizes and positions still allow the threshold. Sets are cut into blocks: those
+that follow one leader, the most central set of their lists, and have about one size, at most BLOCK of them. A list compares
+each set with what it knows of a whole block (smallest size, largest partner still allowed) and skips the block or sends the
+set there. Every pair of blocks that is left is verified by itself, all sets that were sent against all others, so no
+task holds more than two blocks, and copies of sets grow with the number of blocks met, not with the sets in them.
 """
 
 from __future__ import annotations
@@ -283,106 +284,152 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each set the leaders of its lists, with how many of this partition's lists say so."""
+    """For each set the leaders of its lists, itself included, with how many of this partition's lists say so."""
     for c in _lists(batches, "id", "n", "central"):
         first = c["first"]
         group = np.repeat(np.arange(len(first) - 1), np.diff(first))
         best = np.lexsort((c["id"], -c["central"], group))[first[:-1]][group]
         x, leader = c["id"], c["id"][best]
         low, high = np.minimum(c["n"], c["n"][best]), np.maximum(c["n"], c["n"][best])
-        use = (x != leader) & (4 * low >= 3 * high)
+        use = 4 * low >= 3 * high
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in _pairs(x[use], leader[use])], ["id", "leader", "lists"])
 
 
-def _shared(a: bytes, b: bytes) -> int:
-    x, y = np.frombuffer(a, _U), np.frombuffer(b, _U)
-    if len(x) > len(y):
-        x, y = y, x
-    if not len(y):
-        return 0
-    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+_MET = "low long, high long, id long, left boolean"
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) with both sets: whether they are linked."""
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each set the blocks that may hold a partner of it, as far as one list's sizes and positions tell.
+
+    From its place on, a set of size n can still share n - place shingles, which allows partners up to the size
+    (7 * (n - place) - 3 * n) / 3. Two sets are compared only if each allows the other's size.
+    """
+    for c in _lists(batches, "block", "id", "n", "place"):
+        block, ids, n, first = c["block"], c["id"], c["n"].astype(np.int64), c["first"]
+        most = (7 * (n - c["place"]) - 3 * n) // 3
+        new = np.zeros(len(n), bool)
+        new[first[:-1]] = True
+        new[1:] |= block[1:] != block[:-1]
+        at = np.flatnonzero(new)
+        least, widest, held = np.minimum.reduceat(n, at), np.maximum.reduceat(most, at), np.diff(np.concatenate([at, [len(n)]]))
+        mine = np.cumsum(new) - 1
+        bounds = np.searchsorted(at, first)
+        which = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        begin, count = bounds[:-1][which], np.diff(bounds)[which]
+        total = np.concatenate([[0], np.cumsum(count)])
+        found, size, i = [], 0, 0
+        while i < len(n):
+            to = max(i + 1, int(np.searchsorted(total, total[i] + (1 << 20), "right")) - 1)
+            e = np.repeat(np.arange(i, to), count[i:to])
+            other = begin[e] + np.arange(total[i], total[to]) - total[e]
+            good = (least[other] <= most[e]) & (widest[other] >= n[e]) & ((other != mine[e]) | (held[other] > 1))
+            e, other = e[good], other[good]
+            found.append((ids[e], block[e], block[at[other]]))
+            size += len(e)
+            i = to
+            if size > 1 << 20 or i == len(n):
+                x, own, far = (np.concatenate(f) for f in zip(*found, strict=True))
+                order = np.lexsort((far, x))
+                x, own, far = x[order], own[order], far[order]
+                keep = np.ones(len(x), bool)
+                keep[1:] = (x[1:] != x[:-1]) | (far[1:] != far[:-1])
+                found = [(x[keep], own[keep], far[keep])]
+                size = 0
+        x, own, far = found[0]
+        for i in range(0, len(x), 65_536):
+            u, v = own[i:i + 65_536], far[i:i + 65_536]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(x[i:i + 65_536]), pa.array(u <= v)], ["low", "high", "id", "left"])
+
+
+def _shared(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """How many shingles each set of ``a`` shares with each of ``b``."""
+    width = len(b)
+    owner, shingle = [], []
+    for some in (a, b):
+        owner.append(np.repeat(np.arange(len(some)), [len(x) // 8 for x in some]))
+        shingle.append(np.frombuffer(b"".join(some), _U))
+    both = [np.unique(x, return_inverse=True, return_counts=True) for x in shingle]
+    _, *at = np.intersect1d(both[0][0], both[1][0], assume_unique=True, return_indices=True)
+    column, many = [], []
+    for side in (0, 1):
+        known, inverse, count = both[side]
+        name = np.full(len(known), -1)
+        name[at[side]] = np.arange(len(at[side]))
+        column.append(name[inverse])
+        many.append(count[at[side]].astype(np.int64))
+    out = np.zeros((len(a), width), np.float32)
+    # Shingles of many sets on both sides are multiplied, others listed pair by pair.
+    dense = many[0] * many[1] * 512 > len(a) * width
+    for i in range(0, int(dense.sum()), 1024):
+        chosen = np.flatnonzero(dense)[i:i + 1024]
+        place = np.full(len(dense) + 1, -1)
+        place[chosen] = np.arange(len(chosen))
+        tables = []
+        for side, height in ((0, len(a)), (1, width)):
+            here = np.flatnonzero(place[column[side]] >= 0)
+            table = np.zeros((height, len(chosen)), np.float32)
+            table[owner[side][here], place[column[side][here]]] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    sparse = np.append(~dense, False)
+    mine, other = (np.flatnonzero(sparse[column[side]]) for side in (0, 1))
+    other = other[np.argsort(column[1][other], kind="stable")]
+    low = np.searchsorted(column[1][other], column[0][mine])
+    count = many[1][column[0][mine]]
+    total = np.concatenate([[0], np.cumsum(count)])
+    i = 0
+    while i < len(mine):
+        to = max(i + 1, int(np.searchsorted(total, total[i] + (1 << 20), "right")) - 1)
+        near = np.repeat(low[i:to] - (total[i:to] - total[i]), count[i:to]) + np.arange(total[to] - total[i])
+        pair = np.repeat(owner[0][mine[i:to]], count[i:to]) * width + owner[1][other[near]]
+        out += np.bincount(pair, minlength=out.size).reshape(out.shape)
+        i = to
+    return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of rows of one (low, high), from rows sorted by them."""
+    rest: list[pa.RecordBatch] = []
     for batch in batches:
-        shared = [_shared(x, y) for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)]
-        n = [(len(x.as_py()) + len(y.as_py())) // 8 for x, y in zip(batch["x"], batch["y"], strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [batch["a"], batch["b"], pa.array([bool(linked(s, m, 0)) for s, m in zip(shared, n, strict=True)], pa.bool_())], ["a", "b", "linked"])
-
-
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(
-        _compared, "a long, b long, linked boolean")
-
-
-def _in_group(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Links of a leader's unlinked followers with one block of its group: one link for each component met."""
-    ids, role = table["id"].to_numpy(), table["role"].to_pylist()
-    binary = table["shingles"].to_pylist()
-    fringe = {int(i): b for i, r, b in zip(ids, role, binary, strict=True) if r == "fringe"}
-    member = {int(i): b for i, r, b in zip(ids, role, binary, strict=True) if r != "fringe"}
-    core = {int(i) for i, r in zip(ids, role, strict=True) if r == "core"}
-    names = np.array(list(member), np.int64)
-    n = np.array([len(b) // 8 for b in member.values()], np.int64)
-    shingle = np.frombuffer(b"".join(member.values()), _U)
-    owner = np.repeat(np.arange(len(n)), n)
-    order = np.argsort(shingle, kind="stable")
-    shingle, owner = shingle[order], owner[order]
-    a, b, parent = [], [], {}
-
-    def root(x: int) -> int:
-        while x in parent:
-            x = parent[x]
-        return x
-
-    inside = np.array([int(x) in core for x in names], bool)
-    for x, body in fringe.items():
-        s = np.frombuffer(body, _U)
-        low, high = np.searchsorted(shingle, s, "left"), np.searchsorted(shingle, s, "right")
-        count = high - low
-        at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        good = linked(np.bincount(owner[at], minlength=len(n)), n, len(s)) & (names != x)
-        # All core members are one component already, and what this block has linked is too.
-        for y in [*np.flatnonzero(good & inside)[:1], *np.flatnonzero(good & ~inside)]:
-            p, q = root(x), root(int(names[y]))
-            if p != q:
-                parent[p] = q
-                a.append(x)
-                b.append(int(names[y]))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one list that sizes and positions allow and that lie in different components and groups."""
-    for c in _lists(batches, "n", "id", "place", "component", "leader"):
-        first, found, held = c["first"], [], 0
-        comp = c["component"]
-        many = np.flatnonzero(np.maximum.reduceat(comp, first[:-1]) != np.minimum.reduceat(comp, first[:-1]))
-        for k in many:
-            a, b = first[k], first[k + 1]
-            n, place, component, leader, ids = (c[x][a:b].astype(np.int64) for x in ("n", "place", "component", "leader", "id"))
-            names, size = np.unique(component, return_counts=True)
-            # Every pair across components has a side outside the largest one.
-            outside = component != names[np.argmax(size)]
-            start, stop = np.searchsorted(n, (3 * n + 3) // 4, "left"), np.searchsorted(n, (4 * n) // 3, "right")
-            for i in np.flatnonzero(outside):
-                j = np.arange(start[i], stop[i])
-                left = 1 + np.minimum(n[i] - place[i] - 1, n[j] - place[j] - 1)
-                j = j[((j > i) | ~outside[j]) & (component[j] != component[i]) & (leader[j] != leader[i]) & linked(left, n[i], n[j])]
-                if len(j):
-                    found.append((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])))
-                    held += len(j)
-            if held > 1 << 20:
-                found = [_pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))[:2]]
-                held = len(found[0][0])
-        if found:
-            pair = _pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))
-            for i in range(0, len(pair[0]), 65_536):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i:i + 65_536]) for x in pair[:2]], ["a", "b"])
+        if not batch.num_rows:
+            continue
+        low, high = batch["low"].to_numpy(), batch["high"].to_numpy()
+        cut = [0, *(np.flatnonzero((low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1).tolist(), batch.num_rows]
+        if rest and (rest[0]["low"][0].as_py(), rest[0]["high"][0].as_py()) != (int(low[0]), int(high[0])):
+            yield pa.Table.from_batches(rest)
+            rest = []
+        for i, to in zip(cut[:-1], cut[1:], strict=True):
+            if i:
+                yield pa.Table.from_batches(rest)
+                rest = []
+            rest.append(batch.slice(i, to - i))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between the sets of two blocks, as many as connect what is linked."""
+    a, b = [], []
+    for table in _groups(batches):
+        ids, left, sets = table["id"].to_numpy(), table["left"].to_numpy(), table["shingles"].to_pylist()
+        one = table["low"][0] == table["high"][0]
+        x, y = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(left), np.flatnonzero(~left))
+        if not len(x) or not len(y) or len(ids) < 2:
+            continue
+        n = np.array([len(s) // 8 for s in sets], np.int64)
+        hit = linked(_shared([sets[i] for i in x], [sets[i] for i in y]), n[x][:, None], n[y]) & (ids[x][:, None] != ids[y])
+        root = np.arange(len(y))
+        for row in np.flatnonzero(hit.any(1)):
+            met = np.unique(root[hit[row]])
+            if len(met) > 1:
+                root[np.isin(root, met)] = met[0]
+            a += [int(ids[x[row]])] * len(met)
+            b += ids[y[met]].tolist()
+        if len(a) >= 65_536:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a, b = [], []
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -420,25 +467,14 @@ def _links(sets: DataFrame, parts: int) -> DataFrame:
     votes = prefixes.repartitionById(parts, F.col("part")).mapInArrow(_leaders, "id long, leader long, lists long")
     best = votes.groupBy("id", "leader").agg(F.sum("lists").alias("lists")).groupBy("id").agg(
         F.max_by("leader", F.struct("lists", -F.col("leader"))).alias("leader"))
-    led = stage(_compare(best.select(F.col("id").alias("a"), F.col("leader").alias("b")), sets), "jaccard-led")
-    # Followers that are not linked with their leader are compared with blocks of its group.
-    sizes = led.groupBy("b").agg(F.count("*").alias("size"), F.count_if(~F.col("linked")).alias("loose")).filter("loose > 0 AND size > 1")
-    members = led.join(sizes, "b")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = members.select(F.col("b").alias("leader"), F.pmod(F.xxhash64("a"), blocks).cast("int").alias("block"), F.col("a").alias("id"),
-                            F.when(F.col("linked"), "core").otherwise("loose").alias("role"))
-    copies = members.filter("NOT linked").select(
-        F.col("b").alias("leader"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("a").alias("id"), F.lit("fringe").alias("role"))
-    grouped = placed.unionByName(copies).join(sets.select("id", "shingles"), "id").groupBy("leader", "block").applyInArrow(
-        _in_group, "a long, b long")
-    near = stage(led.filter("linked").select("a", "b").unionByName(grouped), "jaccard-near")
-    labels = components(near).select(F.col("node").alias("id"), "component")
-    labelled = prefixes.select("part", "h", "id", "n", "place").join(labels, "id", "left").join(
-        led.select(F.col("a").alias("id"), F.col("b").alias("leader")), "id", "left").select(
-        "part", "h", "id", "n", "place", F.coalesce("component", "id").alias("component"), F.coalesce("leader", "id").alias("leader"))
-    pairs = labelled.repartitionById(parts, F.col("part")).mapInArrow(_crossing, "a long, b long").distinct()
-    far = _compare(pairs, sets).filter("linked").select("a", "b")
-    return stage(near.unionByName(far), "jaccard-links")
+    # Sizes of one block differ by at most 3 %, so what a list knows of the block is nearly true of each of its sets.
+    led = stage(sets.select("id", "n").join(best, "id").select("id", "leader", F.floor(F.log("n") * 33).alias("step")), "jaccard-led")
+    cut = led.groupBy("leader", "step").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = led.join(cut, ["leader", "step"]).select(
+        "id", F.xxhash64("leader", "step", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("block"))
+    met = prefixes.select("part", "h", "id", "n", "place").join(placed, "id").repartitionById(parts, F.col("part")).mapInArrow(_met, _MET).distinct()
+    pairs = met.join(sets.select("id", "shingles"), "id").repartition(parts, "low", "high").sortWithinPartitions("low", "high")
+    return stage(pairs.mapInArrow(_verified, "a long, b long"), "jaccard-links")
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:

@@ -6,10 +6,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.llm import queries
+from newsloom.llm import jaccard, queries
 from newsloom.llm.backoff import backoff_scores
 from newsloom.llm.components import components
 from newsloom.llm.exact_dedup import DigestIndex, exact_dedup, kept_documents
@@ -123,6 +124,32 @@ def test_similar(spark, texts):
         (None, None), (None, 3), (3, 3), (3, 3)]
 
 
+def test_similar_blocks(spark, monkeypatch):
+    """A source whose texts share most of a template: few sets are sent anywhere, and no task holds more than two blocks."""
+    r = random.Random(9)
+    template = [f"t{i}" for i in range(100)]
+    rows = [(i, " ".join(template[:r.randint(80, 100)] + [f"u{i}_{k}" for k in range(22)])) for i in range(400)]
+    rows += [(1000 + i, " ".join(template + [f"v{i}_{k}" for k in range(r.randint(4, 24))])) for i in range(60)]
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    docs = frame(spark, rows)
+    assert got(similar_documents(docs), "doc_id", "n_shingles", "component_id") == brute.similar(rows)
+    # The lists of one shingle of all texts, in one block of 400 and in two of a narrow size each.
+    for place, sent in ((22, 0), (2, 400)):
+        batch = pa.RecordBatch.from_pydict({
+            "h": np.zeros(400, np.int64), "block": np.arange(400) // 200, "id": np.arange(400), "n": np.full(400, 110), "place": np.full(400, place)})
+        assert sum(b.num_rows for b in jaccard._met(iter([batch]))) == 2 * sent
+    batches = [pa.RecordBatch.from_pydict({"low": [1, 1, 2], "high": [5, 5, 5]}), pa.RecordBatch.from_pydict({"low": [2, 3], "high": [5, 5]})]
+    assert [t.num_rows for t in jaccard._groups(iter(batches))] == [2, 2, 1]
+
+
+def test_shared_counts():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 40 + 60 * (i % 9), 60)).astype(np.uint64) for i in range(90)]
+    a, b = sets[:40], sets[40:]
+    found = jaccard._shared([x.tobytes() for x in a], [x.tobytes() for x in b])
+    assert (found == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 201)]
     found = dict(got(components(spark.createDataFrame(edges, "a long, b long")), "node", "component"))
