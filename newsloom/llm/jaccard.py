@@ -25,7 +25,7 @@ from newsloom.session import stage
 SHINGLE = 5
 BLOCK = 1024
 _POSTINGS, _DOCS, _COUNTS = 0, 1, 2
-_SETS = "id long, n int, shingles binary"
+_SETS = "id long, n int, size long, shingles binary"
 _U = np.uint64
 
 
@@ -167,9 +167,9 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good = np.flatnonzero((sets.key == batch["key"].to_numpy()) & (sets.key2 == batch["key2"].to_numpy()))
         if len(good):
             yield pa.RecordBatch.from_arrays([
-                batch["doc_id"].take(pa.array(good)), pa.array(sets.n[good].astype(np.int32)),
+                batch["doc_id"].take(pa.array(good)), pa.array(sets.n[good].astype(np.int32)), batch["size"].take(pa.array(good)),
                 pa.array([sets.shingles[sets.first[i]:sets.first[i + 1]].tobytes() for i in good], pa.binary()),
-            ], ["id", "n", "shingles"])
+            ], ["id", "n", "size", "shingles"])
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -408,59 +408,108 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between the sets of two blocks, as many as connect what is linked."""
-    a, b = [], []
-    for table in _groups(batches):
-        ids, left, sets = table["id"].to_numpy(), table["left"].to_numpy(), table["shingles"].to_pylist()
-        one = table["low"][0] == table["high"][0]
-        x, y = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(left), np.flatnonzero(~left))
-        if not len(x) or not len(y) or len(ids) < 2:
-            continue
-        n = np.array([len(s) // 8 for s in sets], np.int64)
-        hit = linked(_shared([sets[i] for i in x], [sets[i] for i in y]), n[x][:, None], n[y]) & (ids[x][:, None] != ids[y])
-        root = np.arange(len(y))
-        for row in np.flatnonzero(hit.any(1)):
-            met = np.unique(root[hit[row]])
-            if len(met) > 1:
-                root[np.isin(root, met)] = met[0]
-            a += [int(ids[x[row]])] * len(met)
-            b += ids[y[met]].tolist()
-        if len(a) >= 65_536:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-            a, b = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+_LINKS = "a long, b long, links long"
 
 
-def similar_documents(docs: DataFrame) -> DataFrame:
-    """Per row of (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable by links).
+def _verifier(every: bool):
+    """Links between the sets of two blocks: with ``every`` all of them (a < b), else how many documents each set is
+    linked with (b is NULL) and as many links as connect what is linked."""
 
-    A set holds the distinct runs of five lower-cased (A-Z) words; shorter texts are one shingle; texts without words
-    and NULL have none and link with nothing. Equal sets are one set, named by its smallest id. A row without an id
-    shares the component of an equal set that has one, and is NULL otherwise; it links with nothing else. Repeated
-    rows each come back. Other columns are ignored.
-    """
-    spark, parts = docs.sparkSession, part_count(docs.sparkSession)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[], [], []]
+
+        def flushed() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b", "links"])
+            for c in out:
+                c.clear()
+            return batch
+
+        for table in _groups(batches):
+            ids, left, size = (table[c].to_numpy() for c in ("id", "left", "size"))
+            sets = table["shingles"].to_pylist()
+            one = table["low"][0] == table["high"][0]
+            once = np.array(list({(i, s): k for k, (i, s) in enumerate(zip(ids.tolist(), sets, strict=True))}.values()))  # repeated rows
+            x, y = (once, once) if one else (once[left[once]], once[~left[once]])
+            if not len(x) or not len(y) or len(once) < 2:
+                continue
+            n = np.array([len(s) // 8 for s in sets], np.int64)
+            hit = linked(_shared([sets[i] for i in x], [sets[i] for i in y]), n[x][:, None], n[y]) & (ids[x][:, None] != ids[y])
+            if every:
+                for row in np.flatnonzero(hit.any(1)):
+                    mine, other = ids[x[row]], ids[y[hit[row] & ((ids[y] > ids[x[row]]) | (not one))]]
+                    out[0] += np.minimum(mine, other).tolist()
+                    out[1] += np.maximum(mine, other).tolist()
+                    out[2] += [1] * len(other)
+                    if len(out[0]) >= 65_536:
+                        yield flushed()
+                continue
+            root = np.arange(len(y))
+            for row in np.flatnonzero(hit.any(1)):
+                met = np.unique(root[hit[row]])
+                if len(met) > 1:
+                    root[np.isin(root, met)] = met[0]
+                out[0] += [int(ids[x[row]])] * len(met)
+                out[1] += ids[y[met]].tolist()
+                out[2] += [0] * len(met)
+            for side, links in ((x, hit @ size[y]), (y, [] if one else size[x] @ hit)):
+                some = np.flatnonzero(links)
+                out[0] += ids[side[some]].tolist()
+                out[1] += [None] * len(some)
+                out[2] += np.asarray(links)[some].tolist()
+            if len(out[0]) >= 65_536:
+                yield flushed()
+        yield flushed()
+
+    return run
+
+
+def _scanned(docs: DataFrame, parts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents' sizes and set keys; distinct sets with their smallest id and number of ids; sets that may be linked."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scan = stage(exchanged(docs.mapInArrow(_scan(parts), PACKED), parts).mapInArrow(_partnered(parts), PACKED), "jaccard-scan")
     table = stage(scan.filter(F.col("kind") == _DOCS).mapInArrow(_unpacked_docs, "doc_id long, n long, key long, key2 long"), "jaccard-docs")
     counts = exchanged(scan.filter(F.col("kind") == _COUNTS), parts).mapInArrow(_summed, "key long, shared long")
-    groups = table.filter("n > 0").groupBy("key", "key2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"))
+    groups = table.filter("n > 0").groupBy("key", "key2").agg(
+        F.min("doc_id").alias("id"), F.first("n").alias("n"), F.count_distinct("doc_id").alias("size"))
     needed = F.greatest(F.lit(1), F.floor((F.col("n") - 1) / 20))
     hopeful = groups.filter("id IS NOT NULL").join(counts, "key").filter(F.col("shared") >= needed).select(
-        F.col("id").alias("doc_id"), "key", "key2")
-    sets = stage(docs.join(hopeful, "doc_id").select("doc_id", "key", "key2", "text").mapInArrow(_whole_sets, _SETS), "jaccard-sets")
-    edges = _links(sets, parts)
-    found = components(edges).select(F.col("node").alias("id"), "component")
-    named = groups.select("key", "key2", "id").join(found, "id", "left").select(
-        "key", "key2", F.coalesce("component", "id").alias("component"))
-    empty = table.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        F.col("id").alias("doc_id"), "key", "key2", "size")
+    sets = stage(docs.join(hopeful, "doc_id").select(
+        "doc_id", "key", "key2", "size", "text").mapInArrow(_whole_sets, _SETS), "jaccard-sets")
+    return table, groups, sets
+
+
+def similar_documents(docs: DataFrame) -> DataFrame:
+    """Per row of (doc_id, text): doc_id, n_shingles, n_links, component_id (smallest doc_id reachable by links).
+
+    A set holds the distinct runs of five lower-cased (A-Z) words; shorter texts are one shingle; texts without words
+    and NULL have none and link with nothing. Equal sets are one set, named by its smallest id. A row without an id
+    shares the component of an equal set that has one, and is NULL otherwise; it links with nothing else. Repeated
+    rows each come back. ``n_links`` counts the other ids whose sets are linked, equal ones too; a row without an id has
+    none and is counted nowhere. Other columns are ignored.
+    """
+    parts = part_count(docs.sparkSession)
+    table, groups, sets = _scanned(docs, parts)
+    links = _links(sets, parts)
+    found = components(links.filter("b IS NOT NULL").select("a", "b")).select(F.col("node").alias("id"), "component")
+    total = links.filter("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
+    named = groups.select("key", "key2", "id", "size").join(found, "id", "left").join(total, "id", "left").select(
+        "key", "key2", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"))
+    empty = table.filter("n = 0").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
     return table.filter("n > 0").join(named, ["key", "key2"]).select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).unionByName(empty)
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("links")).alias("n_links"),
+        F.col("component").alias("component_id")).unionByName(empty)
+
+
+def similar_pairs(docs: DataFrame) -> DataFrame:
+    """All links between distinct sets, (a, b) with a < b; a set is named by the smallest doc_id that has it."""
+    parts = part_count(docs.sparkSession)
+    return _links(_scanned(docs, parts)[2], parts, every=True).select("a", "b")
 
 
-def _links(sets: DataFrame, parts: int) -> DataFrame:
-    """Verified links (a, b) of (id, n, shingles) that connect everything that links connect."""
+def _links(sets: DataFrame, parts: int, every: bool = False) -> DataFrame:
+    """Verified links of (id, n, size, shingles), as :func:`_verifier` gives them."""
     back = exchanged(sets.mapInArrow(_posted(parts), PACKED), parts).mapInArrow(_frequencies(parts), PACKED)
     sizes = sets.select("id", "n").mapInArrow(_sized(parts), PACKED)
     prefixes = stage(exchanged(back.unionByName(sizes), parts).mapInArrow(_prefixes(parts), _PREFIXES), "jaccard-prefixes")
@@ -473,8 +522,8 @@ def _links(sets: DataFrame, parts: int) -> DataFrame:
     placed = led.join(cut, ["leader", "step"]).select(
         "id", F.xxhash64("leader", "step", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("block"))
     met = prefixes.select("part", "h", "id", "n", "place").join(placed, "id").repartitionById(parts, F.col("part")).mapInArrow(_met, _MET).distinct()
-    pairs = met.join(sets.select("id", "shingles"), "id").repartition(parts, "low", "high").sortWithinPartitions("low", "high")
-    return stage(pairs.mapInArrow(_verified, "a long, b long"), "jaccard-links")
+    pairs = met.join(sets.select("id", "size", "shingles"), "id").repartition(parts, "low", "high").sortWithinPartitions("low", "high")
+    return stage(pairs.mapInArrow(_verifier(every), _LINKS), "jaccard-links")
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_documents(_table(spark, sf_dir, "documents"))
+    return similar_documents(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from newsloom.llm import jaccard, queries
 from newsloom.llm.backoff import backoff_scores
 from newsloom.llm.components import components
 from newsloom.llm.exact_dedup import DigestIndex, exact_dedup, kept_documents
-from newsloom.llm.jaccard import similar_documents, without_near_copies
+from newsloom.llm.jaccard import similar_documents, similar_pairs, without_near_copies
 from newsloom.llm.multi_index import near_vectors
 from newsloom.llm.packing import packed_sequences
 from newsloom.llm.pieces import decoded, encoded, piece_counts
@@ -124,6 +124,21 @@ def test_similar(spark, texts):
         (None, None), (None, 3), (3, 3), (3, 3)]
 
 
+def test_similar_links(spark, texts, monkeypatch):
+    """Every link counts and comes back, also inside a component, within a block and between blocks."""
+    sets = {i: frozenset(tuple(w[k:k + 5]) for k in range(max(len(w) - 4, min(len(w), 1))))
+            for i, t in texts for w in [brute.WORD.findall((t or "").translate(brute.LOWER))]}
+    linked = {(a, b) for a in sets for b in sets if a != b and sets[a] and jaccard.linked(len(sets[a] & sets[b]), len(sets[a]), len(sets[b]))}
+    names = {s: min(i for i in sets if sets[i] == s) for s in sets.values()}
+    expected = sorted({(names[sets[a]], names[sets[b]]) for a, b in linked if names[sets[a]] < names[sets[b]]})
+    docs = frame(spark, [*texts, *texts[:90], (None, texts[0][1])])
+    for block in (1024, 8):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        assert got(similar_pairs(docs), "a", "b") == expected
+        assert {r["doc_id"]: r["n_links"] for r in similar_documents(docs).collect()} == {
+            None: 0} | {i: sum(a == i for a, _ in linked) for i in sets}
+
+
 def test_similar_blocks(spark, monkeypatch):
     """A source whose texts share most of a template: few sets are sent anywhere, and no task holds more than two blocks."""
     r = random.Random(9)
