@@ -1,9 +1,13 @@
-"""Language-model scores by stupid backoff, with n-gram counts of the whole corpus.
+"""Language-model scores by stupid backoff, with n-gram counts of a corpus.
 
 The score of a word w after u, v is c(uvw) / c(uv). A document begins with two start marks, so every word has a context.
-The documents that are scored are those that are counted: each n-gram of a document is in the table, and backing off
-with its factor, to c(vw) / c(v), is never reached. So the logarithm of a document's score is a sum of logarithms of
-trigram counts less a sum of logarithms of context counts, and both tables are handled alike: n-grams are dealt out by
+Where the counted corpus does not have uvw, the score is FACTOR * c(vw) / c(v), and where it does not have vw either,
+FACTOR ** 2 * c(w) / (all words). n-grams of a corpus of its own are counted in all orders and joined with the n-grams of the
+documents.
+
+Where the documents that are scored are those that are counted, each n-gram of a document is in the table, and backing off
+is never reached. So the logarithm of a document's score is a sum of logarithms of trigram counts less a sum of
+logarithms of context counts, and both tables are handled alike: n-grams are dealt out by
 hash, counted where they meet, and what they add to a document goes back to the slice of documents it came from.
 
 An n-gram that many documents of a slice have leaves it once, with its total, and its answer is spread over the documents
@@ -12,6 +16,7 @@ when it is back. So no n-gram costs more than one record a slice, whatever share
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +24,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from newsloom.llm.packed import PACKED, Words, exchanged, grams, ids_of, pack, part_count, rows, slices, unpack
+from newsloom.llm.packed import PACKED, Words, exchanged, grams, ids_of, mix, pack, part_count, rows, slices, unpack
 
 HOT = 32
 """Documents of a slice from which on an n-gram is sent once for all of them."""
 ORDER = 3
+FACTOR = 0.4
 _START = np.uint64(0x243F6A8885A308D3)
 _GRAMS, _DOCS, _HOT, _SUMS, _ANSWERS = 0, 1, 2, 3, 4
 _U = np.uint64
@@ -165,15 +171,105 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(ids, mask=absent.astype(bool)), pa.array(n), pa.array(total, mask=n == 0)], ["doc_id", "n_words", "log_score"])
 
 
-def backoff_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
+def _keys(words: Words, order: int) -> list[np.ndarray]:
+    """For each word a key of its n-gram and one of that n-gram's context, from ``order`` down; the last is the word alone."""
+    padded, begin, _ = _padded(words, order)
+    keys = []
+    for size in range(order, 0, -1):
+        at = begin + order - size
+        keys.append(mix(grams(padded, size)[at] + _U(2 * size)))
+        if size > 1:
+            keys.append(mix(grams(padded, size - 1)[at] + _U(2 * size + 1)))
+    return keys
+
+
+def _table(order: int):
+    """(key, count) of every order, summed per slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words = Words(batch["text"])
+            if len(words.starts):
+                for keys in _keys(words, order):
+                    key, count = np.unique(keys, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], ["key", "count"])
+
+    return run
+
+
+_ASKED = "row long, doc_id long, n_words long, gram long, times long, keys array<long>"
+
+
+def _asked(order: int):
+    """A row for each distinct n-gram of a document, with how often it occurs and its keys; a text without words has one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, past = TaskContext.get().partitionId(), 0
+        for batch in slices(batches):
+            words = Words(batch["text"])
+            doc, keys = words.doc, np.zeros((0, 2 * order - 1), np.int64)
+            if len(words.starts):
+                keys = np.stack(_keys(words, order), axis=1).view(np.int64)
+            by = np.lexsort((keys[:, 0], doc))
+            doc, keys = doc[by], keys[by]
+            at = np.flatnonzero(np.concatenate([np.ones(min(len(doc), 1), bool), (doc[1:] != doc[:-1]) | (keys[1:, 0] != keys[:-1, 0])]))
+            times = np.diff(np.concatenate([at, [len(doc)]]))
+            none = np.flatnonzero(words.counts == 0)
+            owner = np.concatenate([doc[at], none])
+            flat = np.concatenate([keys[at], np.zeros((len(none), keys.shape[1]), np.int64)])
+            absent = np.arange(len(owner)) >= len(at)
+            times = np.concatenate([times, np.zeros(len(none), np.int64)])
+            ids = batch["doc_id"].cast(pa.int64()).take(pa.array(owner))
+            for i in range(0, len(owner), 16_384):
+                o = slice(i, i + 16_384)
+                body = flat[o]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(body) + 1) * body.shape[1], pa.int32()), pa.array(body.ravel()))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array((task << 40) + past + owner[o]), ids[o], pa.array(words.counts[owner[o]].astype(np.int64)),
+                    pa.array(body[:, 0], mask=absent[o]), pa.array(times[o].astype(np.int64)), lists,
+                ], ["row", "doc_id", "n_words", "gram", "times", "keys"])
+            past += len(words.counts)
+
+    return run
+
+
+def _scored(docs: DataFrame, counted: DataFrame, order: int, factor: float) -> DataFrame:
+    table = counted.mapInArrow(_table(order), "key long, count long").groupBy("key").agg(F.sum("count").alias("count"))
+    words = counted.mapInArrow(_word_count, "words long").agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
+    asked = docs.mapInArrow(_asked(order), _ASKED).select("row", "doc_id", "n_words", "gram", "times", F.posexplode("keys").alias("level", "key"))
+    last = 2 * order - 2
+    met = asked.join(table, "key", "left").groupBy("row", "gram").agg(
+        *[F.first(c).alias(c) for c in ("doc_id", "n_words", "times")],
+        *[F.max(F.when(F.col("level") == k, F.col("count"))).alias(f"c{k}") for k in range(last + 1)]).crossJoin(F.broadcast(words))
+    # A word that the corpus does not have stands as if it occurred once.
+    score = F.log(F.coalesce(f"c{last}", F.lit(1))) - F.log(F.greatest("words", F.lit(1))) + F.lit((order - 1) * math.log(factor))
+    for k in range(last - 2, -1, -2):
+        score = F.when(F.col(f"c{k}").isNotNull(), F.log(f"c{k}") - F.log(f"c{k + 1}") + F.lit(k // 2 * math.log(factor))).otherwise(score)
+    return met.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
+        F.sum(F.when(F.col("gram").isNotNull(), score * F.col("times"))).alias("log_score")).drop("row")
+
+
+def _word_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([len(Words(batch["text"]).starts)], pa.int64())], ["words"])
+
+
+def backoff_scores(docs: DataFrame, order: int = ORDER, counted: DataFrame | None = None, factor: float = FACTOR) -> DataFrame:
     """Per row of (doc_id, text): doc_id, n_words, log_score (sum of natural logarithms) and mean_log_score (per word).
 
     Words are ``[^\\x20\\x09-\\x0D]+``. Every whole text counts, repeated rows as often as they occur. NULL and empty
     texts have no words and NULL scores. A hash has 40 bits and those of its partition, so a few in a million n-grams of
     a very large corpus share a count. Other columns are ignored.
+
+    ``counted`` is the corpus (text) whose n-grams are counted, ``docs`` unless given. An n-gram that it doesn't have backs off
+    to shorter ones, each step times ``factor``; a word that it doesn't have stands as if it occurred once.
     """
     parts = part_count(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if counted is not None:
+        return _scored(docs, counted.select(F.col("text").cast("string").alias("text")), order, factor).withColumn(
+            "mean_log_score", F.col("log_score") / F.col("n_words"))
     sent = exchanged(docs.mapInArrow(_sent(parts, order), PACKED), parts)
     back = exchanged(sent.mapInArrow(_counted(parts, order), PACKED), parts)
     return back.mapInArrow(_gathered, _SCORES).withColumn("mean_log_score", F.col("log_score") / F.col("n_words"))

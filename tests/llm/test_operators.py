@@ -258,6 +258,38 @@ def test_scores(spark, texts):
     assert [r[2] for r in found] == pytest.approx([r[2] for r in expected])
 
 
+def test_scores_back_off(spark, texts):
+    """Against counts of another corpus: three words, else two, else one, else a word never seen; the same corpus as before."""
+    rows = [*texts, (None, "a b"), (1205, "one"), (3000, "same text as never before"), (3001, "zz zz zz")]
+    corpus = [*texts[::3], (1, "same text as before"), (None, "b c a b")]
+    count, n = {}, 0
+    padded = lambda t: ["<s>", "<s>", *brute.WORD.findall(t or "")]
+    for _, t in corpus:
+        w = padded(t)
+        n += len(w) - 2
+        for k in range(2, len(w)):
+            for size in (1, 2, 3):
+                for key in ((size, *w[k - size + 1:k + 1]), ("after", *w[k - size + 1:k])):
+                    count[key] = count.get(key, 0) + 1
+    expected = []
+    for i, t in rows:
+        w, total = padded(t), 0
+        for k in range(2, len(w)):
+            for size in (3, 2):
+                if (size, *w[k - size + 1:k + 1]) in count:
+                    total += np.log(0.4 ** (3 - size) * count[size, *w[k - size + 1:k + 1]] / count["after", *w[k - size + 1:k]])
+                    break
+            else:
+                total += np.log(0.4 ** 2 * count.get((1, w[k]), 1) / n)
+        expected.append((i, len(w) - 2, total if len(w) > 2 else None))
+    expected.sort(key=lambda t: [(x is not None, x) for x in t])
+    found = got(backoff_scores(frame(spark, rows), counted=frame(spark, corpus)), "doc_id", "n_words", "log_score")
+    assert [r[:2] for r in found] == [r[:2] for r in expected]
+    assert [r[2] for r in found] == pytest.approx([r[2] for r in expected])
+    same = got(backoff_scores(frame(spark, rows), counted=frame(spark, rows)), "doc_id", "n_words", "log_score")
+    assert [r[2] for r in same] == pytest.approx([r[2] for r in got(backoff_scores(frame(spark, rows)), "doc_id", "n_words", "log_score")])
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
