@@ -4,8 +4,9 @@ An edge is a window of WINDOW consecutive words, its nodes are the WINDOW - 1 wo
 by the smallest hash among their short k-mers (a minimizer), so that neighbouring edges of a document mostly travel and
 meet their copies together. Each distinct edge keeps its first coordinate (smallest document, then smallest start); all
 other places of it are repeats. Repeats that follow one another and whose sources follow one another form a path without
-branches and are compacted into one span, first inside a partition, then in a join by document. Applying a span hashes
-its words again and compares, so that a span acts only where its content is really there.
+branches and are compacted into one span, first inside a partition, then in a join by document. A span is then sent to
+its source, where the source's words are hashed with an independent hash of 64 bits. The answer goes back to the document,
+which compares it with its own words, so that a span acts only where both texts really have the same words.
 """
 
 from __future__ import annotations
@@ -239,12 +240,89 @@ def span_table(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> D
         run, "doc_id long, start long, n_words long, source_id long, source_start long")
 
 
+_ASKS_A_ROW = 1 << 16
+
+
+def _wide(words: Words, window: int) -> np.ndarray:
+    """Running sums of a hash of each window that has nothing in common with the one that found the repeats."""
+    return np.concatenate([[np.uint64(0)], np.cumsum(mix(grams(mix(words.hashes() ^ np.uint64(0x6A09E667F3BCC909)), window)))])
+
+
+def _asked(parts: int):
+    """Spans sent to the documents they name as sources."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                spans = [unpack(s.as_py()) for s in batch["spans"]]
+                doc = np.repeat(batch["doc_id"].to_numpy(), [len(s[0]) for s in spans])
+                start, count, _, source, source_start = (np.concatenate([s[k] for s in spans]) for k in range(5))
+                yield from scattered(_parts_of(source, parts), parts, _SPANS, source, source_start, count, doc, start)
+
+    return run
+
+
+def _grouped(most: int):
+    """Spans of one partition in rows of one document (the first column), at most ``most`` in a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(gathered(batches, _SPANS))
+        if not found:
+            return
+        columns = [np.concatenate([f[k] for f in found]) for k in range(len(found[0]))]
+        found.clear()
+        order = np.argsort(columns[0], kind="stable")
+        of, *columns = (c[order] for c in columns)
+        nth = np.arange(len(of))
+        first = np.concatenate([[True], of[1:] != of[:-1]])
+        nth -= np.maximum.accumulate(np.where(first, nth, 0))
+        bounds = np.concatenate([np.flatnonzero(nth % most == 0), [len(of)]])
+        for i in range(0, len(bounds) - 1, 256):
+            some = bounds[i:i + 257]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(of[some[:-1]], pa.int64()),
+                pa.array([pack(*(c[a:b] for c in columns)) for a, b in zip(some[:-1], some[1:], strict=True)], pa.binary()),
+            ], ["doc_id", "spans"])
+
+    return run
+
+
+def _answered(window: int, parts: int):
+    """The source's hash of each span, sent back to the document that has the span."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words = Words(batch["text"])
+            wide, out = _wide(words, window), []
+            for d, (of, packed) in enumerate(zip(batch["_of"].to_pylist(), batch["spans"], strict=True)):
+                source_start, count, doc, start = unpack(packed.as_py())
+                fits = source_start + count + window - 1 <= words.counts[d]
+                source_start, count, doc, start = source_start[fits], count[fits], doc[fits], start[fits]
+                at = source_start + words.first[d]
+                out.append((doc, start, count, wide[at + count] - wide[at], np.full(len(doc), of, np.int64), source_start))
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+            yield from scattered(_parts_of(columns[0], parts), parts, _SPANS, *columns)
+
+    return run
+
+
+def verified_spans(keyed: DataFrame, spans: DataFrame, window: int) -> DataFrame:
+    """The spans with their sources' hash as check. ``keyed`` has _key and text; a span whose source is too short is left out.
+
+    Where several rows share the source's id, each answers.
+    """
+    parts = part_count(keyed.sparkSession)
+    asks = exchanged(spans.mapInArrow(_asked(parts), PACKED), parts).mapInArrow(_grouped(_ASKS_A_ROW), SPANS).withColumnRenamed("doc_id", "_of")
+    met = keyed.select("_key", "text").join(asks, F.col("_key") == F.col("_of")).select("_of", "text", "spans")
+    return exchanged(met.mapInArrow(_answered(window, parts), PACKED), parts).mapInArrow(_grouped(NO_ID), SPANS)
+
+
 def _removed(words: Words, spans: list[bytes | None], window: int) -> np.ndarray:
-    """Which words the documents' spans cover, as far as the spans' content is really there."""
+    """Which words the documents' spans cover, as far as the sources really have the same words."""
     n = len(words.starts)
     change = np.zeros(n + 1, np.int32)
     if any(s is not None for s in spans):
-        check = np.concatenate([[np.uint64(0)], np.cumsum(grams(words.hashes(), window) & _HASH40)])
+        check = _wide(words, window)
         for d, packed in enumerate(spans):
             if packed is None:
                 continue
@@ -294,8 +372,8 @@ def _applied(window: int, with_text: bool):
 
 
 def _with_spans(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    spans = repeated_spans(docs, window, anchor).withColumnRenamed("doc_id", "_of")
     keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    spans = verified_spans(keyed, repeated_spans(docs, window, anchor), window).withColumnRenamed("doc_id", "_of")
     return keyed.join(spans, F.col("_key") == F.col("_of"), "left").drop("_key", "_of")
 
 

@@ -10,12 +10,13 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.llm import jaccard, queries
+from newsloom.llm import jaccard, queries, substring
 from newsloom.llm.backoff import backoff_scores
 from newsloom.llm.components import components
 from newsloom.llm.exact_dedup import DigestIndex, exact_dedup, kept_documents
 from newsloom.llm.jaccard import similar_documents, similar_pairs, without_near_copies
 from newsloom.llm.multi_index import near_vectors
+from newsloom.llm.packed import pack
 from newsloom.llm.packing import packed_sequences
 from newsloom.llm.pieces import decoded, encoded, piece_counts
 from newsloom.llm.substring import span_table, substring_dedup, without_repeats
@@ -86,6 +87,16 @@ def test_substring_ids(spark):
     assert rows == [(None, 25), (4, 0), (4, 0), (7, 0)]
 
 
+def test_substring_false_sources(spark, monkeypatch):
+    """Windows that the graph takes for equal but whose words differ are not removed; those that are equal are."""
+    one, two = " ".join(f"a{i}" for i in range(25)), " ".join(f"b{i}" for i in range(25))
+    docs = frame(spark, [(1, one), (2, two), (3, one)])
+    spans = [np.array(x, t) for x, t in (([0], "i8"), ([6], "i8"), ([0], "u8"), ([1], "i8"), ([0], "i8"))]
+    claimed = spark.createDataFrame([(2, bytearray(pack(*spans))), (3, bytearray(pack(*spans)))], substring.SPANS)
+    monkeypatch.setattr(substring, "repeated_spans", lambda *_: claimed)
+    assert got(substring_dedup(docs), "doc_id", "n_removed") == [(1, 0), (2, 0), (3, 25)]
+
+
 def test_exact(spark, texts):
     docs = frame(spark, texts)
     normal = {i: __import__("re").sub(r"[\x20\x09-\x0D]+", " ", t or "") for i, t in texts}
