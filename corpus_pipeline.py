@@ -43,9 +43,9 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of powers of two of tokens, each a sequence."""
+    """Pieces of powers of two of tokens, each a sequence with its token ids."""
     ship_package(spark)
-    return packed_sequences(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packed_sequences(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

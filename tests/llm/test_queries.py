@@ -1,5 +1,7 @@
 """The registered queries against their SQL or a model, and the pipeline as its stages one by one."""
 
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,3 +51,10 @@ def test_pipeline(spark):
     assert {i for i, t in rows if after[i][0] != t} <= removed and all(n == len(t) for t, n in after.values())
     whole = tables["packing"].groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all"))
     assert whole.filter("n <> all").count() == 0 and whole.count() == len(rows)
+
+
+def test_pipeline_ids(spark):
+    """The packing stage returns the token ids that its checksums are of."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    found = dict(corpus_pipeline.STAGES)["packing"](spark, docs, SF).select("length", "ids_crc32", "ids").collect()
+    assert found and all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] for r in found)
