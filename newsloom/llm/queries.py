@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsloom.llm.backoff import backoff_scores
 from newsloom.llm.exact_dedup import DigestIndex, exact_dedup
+from newsloom.llm.hard_negatives import hard_negatives, relabelled
 from newsloom.llm.jaccard import similar_documents
+from newsloom.llm.licenses import license_scan
+from newsloom.llm.merkle import lower_ascii, merkle_manifest
 from newsloom.llm.multi_index import near_vectors
 from newsloom.llm.packing import packed_sequences
 from newsloom.llm.pieces import piece_counts
@@ -67,6 +70,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(_table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, lower_ascii(text)).otherwise(text)
+    return merkle_manifest(_table(spark, sf_dir, "documents"), tampered).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id = F.col("vec_id")
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), relabelled(vec_id, F.col("label")), vec_id % 100 == 0)
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents")).drop("n_fuzzy")
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -78,4 +97,7 @@ QUERIES: dict[str, Query] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_warc": op10_warc,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_license_scan": op13_license_scan,
 }
