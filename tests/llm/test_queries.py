@@ -27,7 +27,7 @@ def test_jaccard_query(spark):
 
 def test_all_registered():
     names = registry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
 
 
 def test_pipeline(spark):
