@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from newsloom.llm.packed import part_count
 from newsloom.session import stage
 
 BLANK = r"[\x20\x09-\x0D]+"
-BUCKETS = 32
 
 
 def normalised(text: Column) -> Column:
@@ -25,17 +25,29 @@ class DigestIndex:
     side, so a text with any share of all rows costs one row per task.
 
     Adding the same batch again changes nothing, and appends are committed as a whole, so a failed batch is added
-    again. Batches are added one after the other: the table has one writer.
+    again. Batches are added one after the other: the table has one writer. A new index has ``buckets``, by default as many
+    as a shuffle has partitions; one that has become too large for them is dealt out again by :meth:`rebuild`.
     """
 
-    def __init__(self, spark: SparkSession, table: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, table: str | None = None, buckets: int | None = None):
+        self.spark = spark
         self.table = table or f"digest_index_{uuid.uuid4().hex}"
-        if not spark.catalog.tableExists(self.table):
-            self._append(spark.createDataFrame([], "digest binary, keep_id long"))
-
-    def _append(self, df: DataFrame) -> None:
-        df.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
+        if spark.catalog.tableExists(self.table):
+            described = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {self.table}").collect()}
+            self.buckets = int(described["Num Buckets"])
+        else:
+            self.buckets = buckets or part_count(spark)
+            self._write(spark.createDataFrame([], "digest binary, keep_id long"), self.table)
+
+    def _write(self, df: DataFrame, table: str) -> None:
+        df.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(table)
+
+    def rebuild(self, buckets: int) -> None:
+        """The same digests in another number of buckets; the old table goes when the new one is whole."""
+        self.buckets, new = buckets, f"{self.table}_{uuid.uuid4().hex}"
+        self._write(self.read().repartition(buckets, "digest"), new)
+        self.drop()
+        self.spark.sql(f"ALTER TABLE {new} RENAME TO {self.table}")
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
@@ -43,7 +55,7 @@ class DigestIndex:
     def add(self, digests: DataFrame) -> None:
         """Append the digests of (digest, doc_id) that the index lacks, each with its smallest id."""
         new = digests.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
-        self._append(new.join(self.read().hint("merge"), "digest", "left_anti"))
+        self._write(new.join(self.read().hint("merge"), "digest", "left_anti"), self.table)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
@@ -70,9 +82,15 @@ def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """The rows that stay, with all their columns; repeated rows of an id with one text are one row."""
-    decided = exact_dedup(docs, index).filter("kept").select("doc_id", "text_sha256").distinct()
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_sha256": F.sha2(normalised(F.col("text")), 256)})
-    same = F.col("_id").eqNullSafe(F.col("k.doc_id")) & (F.col("_sha256") == F.col("k.text_sha256"))
-    kept = keyed.join(decided.alias("k"), same, "left_semi")
-    return kept.dropDuplicates(["_id", "_sha256"]).select(docs.columns)
+    """The rows that stay, with all their columns; repeated rows of an id with one text are one row.
+
+    The decisions are written out, so the index is not needed any more when this returns.
+    """
+    decided = stage(exact_dedup(docs, index).filter("kept").select(
+        F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest")).distinct(), "kept")
+    # the input's own columns go by number meanwhile, so none of them can clash
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    doc_id, text = (F.col(f"c{docs.columns.index(name)}") for name in ("doc_id", "text"))
+    keyed = numbered.withColumns({"own_id": doc_id.cast("long"), "own_digest": F.sha2(normalised(text), 256)})
+    kept = keyed.join(decided, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_digest") == F.col("digest")), "left_semi")
+    return kept.dropDuplicates(["own_id", "own_digest"]).drop("own_id", "own_digest").toDF(*docs.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from newsloom.llm.components import components
 from newsloom.llm.packed import (
-    PACKED, Words, exchanged, gathered, grams, ids_of, mix, pack, part_count, rows, scattered, slices,
+    PACKED, Words, exchanged, gathered, grams, ids_of, lean, mix, pack, part_count, rows, scattered, slices,
 )
 from newsloom.session import stage
 
@@ -96,10 +96,11 @@ def _scan(parts: int):
     """Every document's size and set keys, and the postings that can show whether its set may have a partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch in enumerate(slices(batches)):
+        for batch in slices(batches):
             sets = Sets(batch["text"])
             absent = batch["doc_id"].is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
-            yield rows([number % parts], [_DOCS], [pack(ids_of(batch), absent, sets.n.astype(np.int64), sets.key, sets.key2)])
+            home = int(mix(np.bitwise_xor.reduce(sets.key, keepdims=True).view(_U))[0] % _U(parts))  # any part: all alike
+            yield rows([home], [_DOCS], [pack(ids_of(batch), absent, sets.n.astype(np.int64), sets.key, sets.key2)])
             length = prefix_length(sets.n) - 1 + _least_shared(sets.n)
             _, once = np.unique(sets.key, return_index=True)
             first = np.zeros(len(sets.n), bool)
@@ -466,16 +467,16 @@ def _verifier(every: bool):
 def _scanned(docs: DataFrame, parts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The documents' sizes and set keys; distinct sets with their smallest id and number of ids; sets that may be linked."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scan = stage(exchanged(docs.mapInArrow(_scan(parts), PACKED), parts).mapInArrow(_partnered(parts), PACKED), "jaccard-scan")
-    table = stage(scan.filter(F.col("kind") == _DOCS).mapInArrow(_unpacked_docs, "doc_id long, n long, key long, key2 long"), "jaccard-docs")
-    counts = exchanged(scan.filter(F.col("kind") == _COUNTS), parts).mapInArrow(_summed, "key long, shared long")
+    scan = stage(exchanged(docs.mapInArrow(lean(_scan(parts)), PACKED), parts).mapInArrow(lean(_partnered(parts)), PACKED), "jaccard-scan")
+    table = stage(scan.filter(F.col("kind") == _DOCS).mapInArrow(lean(_unpacked_docs), "doc_id long, n long, key long, key2 long"), "jaccard-docs")
+    counts = exchanged(scan.filter(F.col("kind") == _COUNTS), parts).mapInArrow(lean(_summed), "key long, shared long")
     groups = table.filter("n > 0").groupBy("key", "key2").agg(
         F.min("doc_id").alias("id"), F.first("n").alias("n"), F.count_distinct("doc_id").alias("size"))
     needed = F.greatest(F.lit(1), F.floor((F.col("n") - 1) / 20))
     hopeful = groups.filter("id IS NOT NULL").join(counts, "key").filter(F.col("shared") >= needed).select(
         F.col("id").alias("doc_id"), "key", "key2", "size")
     sets = stage(docs.join(hopeful, "doc_id").select(
-        "doc_id", "key", "key2", "size", "text").mapInArrow(_whole_sets, _SETS), "jaccard-sets")
+        "doc_id", "key", "key2", "size", "text").mapInArrow(lean(_whole_sets), _SETS), "jaccard-sets")
     return table, groups, sets
 
 
@@ -510,10 +511,10 @@ def similar_pairs(docs: DataFrame) -> DataFrame:
 
 def _links(sets: DataFrame, parts: int, every: bool = False) -> DataFrame:
     """Verified links of (id, n, size, shingles), as :func:`_verifier` gives them."""
-    back = exchanged(sets.mapInArrow(_posted(parts), PACKED), parts).mapInArrow(_frequencies(parts), PACKED)
-    sizes = sets.select("id", "n").mapInArrow(_sized(parts), PACKED)
-    prefixes = stage(exchanged(back.unionByName(sizes), parts).mapInArrow(_prefixes(parts), _PREFIXES), "jaccard-prefixes")
-    votes = prefixes.repartitionById(parts, F.col("part")).mapInArrow(_leaders, "id long, leader long, lists long")
+    back = exchanged(sets.mapInArrow(lean(_posted(parts)), PACKED), parts).mapInArrow(lean(_frequencies(parts)), PACKED)
+    sizes = sets.select("id", "n").mapInArrow(lean(_sized(parts)), PACKED)
+    prefixes = stage(exchanged(back.unionByName(sizes), parts).mapInArrow(lean(_prefixes(parts)), _PREFIXES), "jaccard-prefixes")
+    votes = prefixes.repartitionById(parts, F.col("part")).mapInArrow(lean(_leaders), "id long, leader long, lists long")
     best = votes.groupBy("id", "leader").agg(F.sum("lists").alias("lists")).groupBy("id").agg(
         F.max_by("leader", F.struct("lists", -F.col("leader"))).alias("leader"))
     # Sizes of one block differ by at most 3 %, so what a list knows of the block is nearly true of each of its sets.
@@ -521,9 +522,9 @@ def _links(sets: DataFrame, parts: int, every: bool = False) -> DataFrame:
     cut = led.groupBy("leader", "step").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = led.join(cut, ["leader", "step"]).select(
         "id", F.xxhash64("leader", "step", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("block"))
-    met = prefixes.select("part", "h", "id", "n", "place").join(placed, "id").repartitionById(parts, F.col("part")).mapInArrow(_met, _MET).distinct()
+    met = prefixes.select("part", "h", "id", "n", "place").join(placed, "id").repartitionById(parts, F.col("part")).mapInArrow(lean(_met), _MET).distinct()
     pairs = met.join(sets.select("id", "size", "shingles"), "id").repartition(parts, "low", "high").sortWithinPartitions("low", "high")
-    return stage(pairs.mapInArrow(_verifier(every), _LINKS), "jaccard-links")
+    return stage(pairs.mapInArrow(lean(_verifier(every)), _LINKS), "jaccard-links")
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:

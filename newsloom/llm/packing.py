@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from newsloom.llm.packed import Words, part_count, slices
+from newsloom.llm.packed import Words, lean, part_count, slices
 from newsloom.llm.tokens import WordTokens
 from newsloom.session import stage
 
@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, tokenizer: str, longest: int = SEQUENCE, end_id: int
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def packed_sequences(docs: DataFrame, tokenizer: str, longest: int = SEQUENCE, end_id: int = END, with_ids: bool = False) -> DataFrame:

@@ -20,7 +20,7 @@ from newsloom.llm.substring import substring_dedup
 from newsloom.llm.tokens import token_counts
 from newsloom.llm.toxicity import toxicity
 from newsloom.llm.warc import archived_pages
-from newsloom.session import ship_package
+from newsloom.session import ship_package, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,7 +63,11 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(_table(spark, sf_dir, "documents"), DigestIndex(spark))
+    docs = _table(spark, sf_dir, "documents")
+    index = DigestIndex(spark)
+    decided = stage(exact_dedup(docs, index), "decided")
+    index.drop()
+    return decided
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

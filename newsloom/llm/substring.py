@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from newsloom.llm.packed import (
-    NO_ID, PACKED, Words, exchanged, gathered, grams, ids_of, mix, pack, part_count, rows, scattered, slices, unpack,
+    NO_ID, PACKED, Words, exchanged, gathered, grams, ids_of, lean, mix, pack, part_count, rows, scattered, slices, unpack,
 )
 
 WINDOW = 20
 ANCHOR = 8
+SLICE = 1 << 20
+"""Bytes of text whose edges a task holds at once; an edge takes some twenty arrays."""
 _EDGES, _SPANS = 0, 1
 _INDEX_BITS = np.uint64(26)
 _INDEX = np.uint64((1 << 26) - 1)
@@ -78,7 +80,7 @@ def _compact(doc, start, source, source_start, check) -> list[np.ndarray]:
 
 def _edges_of(window: int, anchor: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             ids = ids_of(batch)
             order = np.argsort(ids, kind="stable")
             batch, ids = batch.take(pa.array(order)), ids[order]
@@ -141,6 +143,19 @@ def _edges_of(window: int, anchor: int, parts: int):
     return run
 
 
+def _repeated(key: np.ndarray) -> np.ndarray:
+    """Places of the values that occur more than once, sorted range by range to hold little at a time."""
+    out = []
+    for top in range(8):
+        some = np.flatnonzero(key >> np.uint64(61) == np.uint64(top))
+        own = key[some]
+        order = np.argsort(own)
+        own = own[order]
+        same = own[1:] == own[:-1]
+        out.append(some[order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]] if len(some) else some)
+    return np.concatenate(out)
+
+
 def _repeats(parts: int):
     """Edges of one partition: spans of those whose first place is elsewhere. Spans that pass through stay as they are."""
 
@@ -161,23 +176,23 @@ def _repeats(parts: int):
         start, count, label, low, high = (np.concatenate([f[k] for f in found]) for k in range(2, 7))
         found.clear()
         check = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+        del low, high
         count = count.astype(np.int64)
-        group = np.repeat(np.arange(len(count)), count)
+        group = np.repeat(np.arange(len(count), dtype=np.int32), count)
         key = mix(check ^ mix(label.astype(np.uint64))[group])
-        order = np.argsort(key)
-        same = key[order][1:] == key[order][:-1]
-        again = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        order = order[again]
+        order = _repeated(key)
         if not len(order):
             return
-        place = start.astype(np.int64)[group] + np.arange(len(group)) - np.repeat(np.cumsum(count) - count, count)
-        order = order[np.lexsort((place[order], owner[group[order]], key[order]))]
-        doc, begin, key = owner[group[order]], place[order], key[order]
+        begin = start.astype(np.int64) - np.cumsum(count) + count
+        owner, place, key, check = owner[group[order]], begin[group[order]] + order, key[order], check[order]
+        del group
+        order = np.lexsort((place, owner, key))
+        doc, begin, key, check = owner[order], place[order], key[order], check[order]
         first = np.concatenate([[True], key[1:] != key[:-1]])
         source = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
         repeat = np.flatnonzero((doc[source] != doc) | (begin[source] != begin))
         doc, begin, src, src_begin, check = (
-            doc[repeat], begin[repeat], doc[source[repeat]], begin[source[repeat]], check[order[repeat]])
+            doc[repeat], begin[repeat], doc[source[repeat]], begin[source[repeat]], check[repeat])
         back = np.lexsort((begin, doc))
         yield from _span_rows(_compact(doc[back], begin[back], src[back], src_begin[back], check[back]), parts)
 
@@ -219,8 +234,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     """
     parts = part_count(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    edges = exchanged(texts.mapInArrow(_edges_of(window, anchor, parts), PACKED), parts)
-    return exchanged(edges.mapInArrow(_repeats(parts), PACKED), parts).mapInArrow(_paths, SPANS)
+    edges = exchanged(texts.mapInArrow(lean(_edges_of(window, anchor, parts)), PACKED), parts)
+    return exchanged(edges.mapInArrow(lean(_repeats(parts)), PACKED), parts).mapInArrow(lean(_paths), SPANS)
 
 
 def span_table(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -237,7 +252,7 @@ def span_table(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> D
                 ], ["doc_id", "start", "n_words", "source_id", "source_start"])
 
     return repeated_spans(docs, window, anchor).mapInArrow(
-        run, "doc_id long, start long, n_words long, source_id long, source_start long")
+        lean(run), "doc_id long, start long, n_words long, source_id long, source_start long")
 
 
 _ASKS_A_ROW = 1 << 16
@@ -312,9 +327,9 @@ def verified_spans(keyed: DataFrame, spans: DataFrame, window: int) -> DataFrame
     Where several rows share the source's id, each answers.
     """
     parts = part_count(keyed.sparkSession)
-    asks = exchanged(spans.mapInArrow(_asked(parts), PACKED), parts).mapInArrow(_grouped(_ASKS_A_ROW), SPANS).withColumnRenamed("doc_id", "_of")
+    asks = exchanged(spans.mapInArrow(lean(_asked(parts)), PACKED), parts).mapInArrow(lean(_grouped(_ASKS_A_ROW)), SPANS).withColumnRenamed("doc_id", "_of")
     met = keyed.select("_key", "text").join(asks, F.col("_key") == F.col("_of")).select("_of", "text", "spans")
-    return exchanged(met.mapInArrow(_answered(window, parts), PACKED), parts).mapInArrow(_grouped(NO_ID), SPANS)
+    return exchanged(met.mapInArrow(lean(_answered(window, parts)), PACKED), parts).mapInArrow(lean(_grouped(NO_ID)), SPANS)
 
 
 def _removed(words: Words, spans: list[bytes | None], window: int) -> np.ndarray:
@@ -387,7 +402,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return _with_spans(docs, window, anchor).select("doc_id", "text", "spans").mapInArrow(
-        _applied(window, False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+        lean(_applied(window, False)), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -397,6 +412,6 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     schema = "doc_id long, n_words long, n_removed long, text string" + "".join(
         f", c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others))
     done = _with_spans(inner.withColumn("doc_id", F.col("doc_id").cast("long")), window, anchor).select(
-        "doc_id", "text", *[f"c{i}" for i in range(len(others))], "spans").mapInArrow(_applied(window, True), schema)
+        "doc_id", "text", *[f"c{i}" for i in range(len(others))], "spans").mapInArrow(lean(_applied(window, True)), schema)
     back = {c: F.col(f"c{i}").alias(c) for i, c in enumerate(others)}
     return done.select(*[back.get(c, F.col(c)) for c in docs.columns])

@@ -9,13 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newsloom.llm.packed import slices
+from newsloom.llm.packed import lean, slices
 
 ORDERS = (3, 4, 5)
 MAX_PER_CLASS = 1000
 """Bound of the training sample: labelled rows of each class, the smallest by a hash of the id."""
-MAX_CHARS = 20_000
-"""Longer texts are not trained on (they are scored whole)."""
+MAX_GRAMS = 1 << 15
+"""N-grams of a training text that reach the driver: those of the whole text, with more the smallest by their hash."""
 MAX_FEATURES = 10_000
 """Columns of the fitted model, which travels with every task."""
 FOLDS = 5
@@ -55,9 +55,9 @@ def _grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each training text as the set of its n-gram hashes."""
+    """Each training text as the set of its n-gram hashes. They are well mixed, so the smallest ones are a fair sample."""
     for batch in batches:
-        found = [np.unique(np.concatenate([h for h, _ in _grams([t])] or [np.zeros(0, np.uint32)])).tobytes()
+        found = [np.unique(np.concatenate([h for h, _ in _grams([t])] or [np.zeros(0, np.uint32)]))[:MAX_GRAMS].tobytes()
                  for t in batch["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(found, pa.binary())], ["toxic", "grams"])
 
@@ -135,8 +135,8 @@ def fitted(sets: list[np.ndarray], labels: np.ndarray, odds: float) -> Model:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on a bounded sample of labelled rows outside the held-out fold.
 
-    At most MAX_PER_CLASS rows of each class reach the driver, each as the hashes of a text of at most MAX_CHARS
-    characters. Rows without a label or id, and longer texts, are not used; of several labels the largest counts.
+    At most MAX_PER_CLASS rows of each class reach the driver, each as at most MAX_GRAMS hashes of n-grams of its whole
+    text. Rows without a label or id are not used; of several labels the largest counts.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(
         F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -144,9 +144,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     parts = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_PER_CLASS) for y in (0, 1)]
     sample = parts[0].unionByName(parts[1])
     # The broadcast side has at most 2 * MAX_PER_CLASS rows.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(
-        F.length("text") <= MAX_CHARS).join(F.broadcast(sample), "doc_id").select("toxic", "text")
-    got = texts.mapInArrow(_seen, "toxic int, grams binary").collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
+        F.broadcast(sample), "doc_id").select("toxic", "text")
+    got = texts.mapInArrow(lean(_seen), "toxic int, grams binary").collect()
     odds = (sizes.get(1, 0) + 0.5) / (sizes.get(0, 0) + 0.5)
     return fitted([np.frombuffer(r["grams"], np.uint32) for r in got], np.array([r["toxic"] for r in got], np.int64), odds)
 
@@ -165,7 +165,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 ["score", "predicted", *batch.schema.names])
 
     renamed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return renamed.mapInArrow(run, schema)
+    return renamed.mapInArrow(lean(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

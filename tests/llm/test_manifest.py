@@ -1,4 +1,4 @@
-"""The Merkle manifest, hard negatives and license scan against plain loops."""
+"""The Merkle manifest, hard negatives and license scan against plain loops; the digest index; clashing columns."""
 
 import random
 
@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.llm import hard_negatives as hn, licenses, merkle
+from newsloom.llm.exact_dedup import DigestIndex, exact_dedup, kept_documents
+from newsloom.llm.substring import without_repeats
 from tests.llm import brute
 
 CLASHING = ("n", "word", "key", "place", "size", "path", "leaf", "digest", "uid", "part", "score", "rank", "asks", "labels", "spans")
@@ -167,3 +169,31 @@ def test_bad_notices():
         licenses.Scanner(notices=[licenses.Notice("MIT  license", "mit", 1)])
     with pytest.raises(ValueError):
         licenses.Scanner(notices=[licenses.Notice("mit", "mit", 3)])
+
+
+# ---- digest index ----------------------------------------------------------------------------------
+
+
+def test_index_with_more_buckets(spark):
+    rows = [(i, f"t{i % 40}") for i in range(100)]
+    index = DigestIndex(spark, buckets=2)
+    exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), index)
+    before = sorted(map(tuple, index.read().collect()))
+    index.rebuild(8)
+    assert DigestIndex(spark, index.table).buckets == 8 and sorted(map(tuple, index.read().collect())) == before
+    later = exact_dedup(spark.createDataFrame([(500, "t3"), (501, "new")], "doc_id long, text string"), index)
+    assert sorted((r["doc_id"], r["keep_id"]) for r in later.collect()) == [(500, 3), (501, 501)]
+    index.drop()
+
+
+def test_columns_with_internal_names_stay(spark):
+    """Whatever the input calls its columns, they come back as they were."""
+    names = ("_id", "_sha256", "own_id", "id", "digest", "_key", "_of", "spans", "c0", "c1", "keep_id")
+    docs = spark.createDataFrame([(1, "a b"), (2, "a  b"), (3, None), (3, None)], "doc_id long, text string").withColumns(
+        {n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    index = DigestIndex(spark)
+    kept = kept_documents(docs, index)
+    index.drop()
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+    for result in (kept, without_repeats(docs)):
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in result.collect() for n in names)
