@@ -24,7 +24,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
-    return kept_documents(docs, DigestIndex(ship_package(spark)))
+    index = DigestIndex(ship_package(spark))
+    kept = kept_documents(docs, index)
+    index.drop()
+    return kept
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
