@@ -15,6 +15,8 @@ from newsloom.session import stage
 
 SEQUENCE = 4096
 END = 2
+SLICE = 1 << 20
+"""Bytes of text a task turns into words and ids at once."""
 
 
 def binary_pieces(tokens: np.ndarray, longest: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -35,7 +37,7 @@ def pieces(docs: DataFrame, tokenizer: str, longest: int = SEQUENCE, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordTokens.of(tokenizer)
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             words = Words(batch["text"])
             ids, bounds = tokens.ids(words)
             ids = np.insert(ids, bounds[1:], np.uint32(end_id)).astype("<u4")
