@@ -18,7 +18,7 @@ from newsloom.functions.times import rfc3339
 from newsloom.functions.urls import BASE, activity_id, comment_id
 from newsloom.operators.merge import latest_per_key
 from newsloom.operators.objects import apply_updates, soft_delete, upsert_notes
-from newsloom.operators.ordered import with_previous
+from newsloom.operators.ordered import hottest, with_previous
 from newsloom.operators.threads import NO_PARENT, thread_facts, thread_reason, thread_root, with_parent_kind
 from newsloom.session import stage
 
@@ -119,10 +119,12 @@ def _new_notes(creates: DataFrame, known: DataFrame, base: str) -> DataFrame:
     )
 
 
-def known_objects(checked: DataFrame, objects: DataFrame, base: str = BASE, keep: Stage = stage) -> DataFrame:
-    """Every object the batch refers to, stored or created by the batch itself, with creation and deletion moments.
+def known_objects(
+    checked: DataFrame, objects: DataFrame, base: str = BASE, keep: Stage = stage
+) -> tuple[DataFrame, DataFrame]:
+    """The stored objects the batch refers to; and with those the batch itself makes, all with creation and deletion moments.
 
-    Each level is written out once (``keep``), so the objects table is read once and not again per level.
+    Each level is written out once (``keep``), so the objects table is not read again per level.
     """
     valid = checked.filter("malformed is null")
     deletes, creates = valid.filter(_is("Delete")), valid.filter(_is("Create"))
@@ -138,16 +140,20 @@ def known_objects(checked: DataFrame, objects: DataFrame, base: str = BASE, keep
         made = _new_notes(creates, level, base).join(stored.select("id"), "id", "left_anti")
         level = _with_deletion(keep(made), deletes)
         known = known.unionByName(level)
-    return known
+    return stored, known
 
 
-def _previous_reactions(attempts: DataFrame, likes: DataFrame) -> DataFrame:
-    """Reaction attempts with ``previous``: the actor's reaction to the object just before."""
-    ordered = with_previous(attempts, ["actor", "lookup_id"], "received_at", "request_id", "type", "before")
-    stored = likes.select("actor", F.col("object_id").alias("lookup_id"), F.col("reaction_type").alias("stored_reaction"))
-    return ordered.join(stored, ["actor", "lookup_id"], "left").withColumn(
-        "previous", F.coalesce("before", "stored_reaction")
-    )
+def _with_previous_reaction(rows: DataFrame, likes: DataFrame, most: int) -> DataFrame:
+    """Rows with ``previous``: for a reaction attempt, the actor's reaction to the object just before.
+
+    Other rows go along under keys of their own, so one pass serves all.
+    """
+    keyed = rows.withColumns({
+        "_by": F.when(F.col("attempt"), F.col("actor")), "_on": F.when(F.col("attempt"), F.col("lookup_id")).otherwise(F.col("request_id"))})
+    ordered = with_previous(keyed, ["_by", "_on"], "received_at", "request_id", "type", "before", most)
+    stored = likes.select(F.col("actor").alias("_by"), F.col("object_id").alias("_on"), F.col("reaction_type").alias("stored_reaction"))
+    return ordered.join(stored, ["_by", "_on"], "left").withColumn(
+        "previous", F.when(F.col("attempt"), F.coalesce("before", "stored_reaction"))).drop("_by", "_on")
 
 
 def decide(
@@ -162,17 +168,15 @@ def decide(
     """
     once = latest_per_key(requests, "request_id", [F.col(c) for c in ["received_at", *sorted(set(requests.columns) - {"received_at", "request_id"})]])
     checked = keep(dispatch(once))
-    facts = keep(known_objects(checked, objects, base, keep))
-    stored = facts.filter("created_at is null").select(F.col("id").alias("made_id"), F.lit(True).alias("stored"))
+    stored, facts = known_objects(checked, objects, base, keep)
     made = F.when(F.col("malformed").isNull() & _is("Create"), _made_id(base))
-    seen = checked.join(_packed(facts), "lookup_id", "left").withColumn("made_id", made).join(stored, "made_id", "left").drop("made_id")
+    handled = stored.select(F.col("id").alias("made_id"), F.lit(True).alias("stored"))
+    seen = checked.join(_packed(facts), "lookup_id", "left").withColumn("made_id", made).join(handled, "made_id", "left").drop("made_id")
     ok = F.col("malformed").isNull()
     reaction = F.coalesce(F.col("type").isin(*REACTIONS), F.lit(False))
-    attempt = ok & reaction & _alive("known")
-    flagged = keep(seen.withColumn("attempt", F.coalesce(attempt, F.lit(False))))
-    decided = _previous_reactions(flagged.filter("attempt"), likes).unionByName(
-        flagged.filter("not attempt"), allowMissingColumns=True
-    )
+    flagged = seen.withColumn("attempt", F.coalesce(ok & reaction & _alive("known"), F.lit(False)))
+    most = hottest(checked.filter(ok & reaction), ["actor", "lookup_id"])
+    decided = _with_previous_reaction(flagged, likes, most)
     owner = F.coalesce(F.col("known.owner") == F.col("actor"), F.lit(False))
     reason = (
         F.when(~ok, F.col("malformed"))

@@ -337,9 +337,19 @@ from objects o left join object_tags t on t.id = o.id group by o.id, like_count"
     "apply_reaction_counts": f"""select o.id, case when c.object_id is not null and not deleted then c.like_count else o.like_count end like_count,
   case when c.object_id is not null and not deleted then c.dislike_count else o.dislike_count end dislike_count
 from objects o left join {_COUNTS} c on c.object_id = o.id""",
+    "streamed_counters": """select o.id, case when r.object_id is not null and not deleted then r.likes else o.like_count end like_count,
+  case when r.object_id is not null and not deleted then r.dislikes else o.dislike_count end dislike_count
+from objects o left join (select object_id, count(*) filter (type = 'Like' and published >= timestamp '2024-01-23 00:00:00') likes,
+  count(*) filter (type = 'Dislike' and published >= timestamp '2024-01-23 00:00:00') dislikes
+  from activities where type in ('Like', 'Dislike') group by object_id) r on r.object_id = o.id""",
+    "streamed_reaction_state": """select actor, object_id, id activity_id, type reaction_type, received_at published from (
+  select *, row_number() over (partition by actor, object_id order by received_at desc, id desc) nth from (
+    select *, lag(type) over (partition by actor, object_id order by received_at, id) earlier from activities where type in ('Like', 'Dislike'))
+  where earlier is distinct from type) where nth = 1""",
     "without_deleted": """select id, type, object_id from activities a
 where not exists (select 1 from activities d where d.type = 'Delete' and d.object_id = a.object_id)""",
     "last_activity": f"select * from {_LAST}",
+    "recency_incremental": f"select * from {_LAST}",
     "apply_last_activity": f"""select o.id, case when l.last_activity_at > o.updated then l.last_activity_at else o.updated end updated
 from objects o left join {_LAST} l on l.id = o.id""",
     "refresh_counters": f"""select o.id, case when c.object_id is not null and not deleted then c.like_count else o.like_count end like_count,

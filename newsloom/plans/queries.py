@@ -8,15 +8,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.functions import documents as docs, text as tx, times, urls
-from newsloom.operators import activities as act, enrichment, objects as ob, quality, reactions, search, state, tagging, threads, variants
+from newsloom.operators import activities as act, enrichment, objects as ob, quality, reactions, recency, search, state, tagging, threads, variants
 from newsloom.operators.merge import latest_per_key
 from newsloom.plans import views
 from newsloom.session import configure, shared_folder, stage
 from newsloom.sources import feeds, pages, tables
+from newsloom.streaming import jobs
 
 SEARCH = ["the", "les", "der"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,6 +191,38 @@ def actor_stats(spark, sf_dir):
     return reactions.actor_stats(views.activities(spark, sf_dir))
 
 
+@query
+def recency_incremental(spark, sf_dir):
+    """The log taken in by ten-day pieces, the middle one twice; deletions take back what earlier pieces brought."""
+    log = views.activities(spark, sf_dir)
+    kept = recency.Recency.at(spark, f"{shared_folder(spark)}/recency-{uuid.uuid4().hex}", buckets=16)
+    for first, last in ((1, 10), (11, 20), (11, 20), (21, 31)):
+        kept.advance(log.filter(F.dayofmonth("received_at").between(first, last)))
+    return kept.last_activity().withColumn("last_activity_at", _ntz("last_activity_at"))
+
+
+@query
+def streamed_counters(spark, sf_dir):
+    """The log as a stream of daily panes, then the window moved twice over the stored objects."""
+    folder = f"{shared_folder(spark)}/counters-{uuid.uuid4().hex}"
+    tables.write_table(views.objects(spark, sf_dir), folder, "objects")
+    jobs.stream_reaction_counts(views.activities(spark, sf_dir, stream=True), f"{folder}/panes", f"{folder}/mark").awaitTermination()
+    for day in (date(2024, 1, 20), date(2024, 1, 30)):
+        jobs.slide_counters(spark, folder, f"{folder}/panes", day)
+    return tables.read_table(spark, folder, "objects").select("id", "like_count", "dislike_count")
+
+
+@query
+def streamed_reaction_state(spark, sf_dir):
+    """The reactions of the log as a stream with a state per actor and object."""
+    folder = f"{shared_folder(spark)}/reactions-{uuid.uuid4().hex}"
+    attempts = views.activities(spark, sf_dir, stream=True).filter("type in ('Like', 'Dislike')").select(
+        F.col("id").alias("request_id"), F.col("id").alias("activity_id"), "type", "actor", F.col("object_id").alias("target_id"), "received_at")
+    jobs.stream_reaction_state(attempts, f"{folder}/state", f"{folder}/mark").awaitTermination()
+    state_now = jobs.current_reactions(spark, f"{folder}/state")
+    return state_now.select("actor", "object_id", "activity_id", "reaction_type", _ntz("published").alias("published"))
+
+
 # ---- merges ----------------------------------------------------------------------------------------
 
 

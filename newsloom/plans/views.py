@@ -20,6 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a stream: a folder of files, or one file of the folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(f"{sf_dir}/{name}.parquet")
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def dealt_out(df: DataFrame) -> DataFrame:
     """Rows in as many partitions as a shuffle has: the given files have one row group each, which one task reads."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
@@ -50,7 +59,7 @@ def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("bigint")
 
 
-def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
+def activities(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Event log: clicks are likes, errors dislikes, signups comments, views edits, purchases deletions."""
     kind = (
         F.when(F.col("event_type") == "click", "Like")
@@ -66,7 +75,7 @@ def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_type") == "purchase", F.concat(F.lit("comments/"), (event - 1 - event % 7).cast("string")))
         .otherwise(article)
     )
-    return table(spark, sf_dir, "events").select(
+    return (stream_table if stream else table)(spark, sf_dir, "events").select(
         F.concat(F.lit("act/"), event.cast("string")).alias("id"),
         kind.alias("type"),
         F.concat(F.lit("users/"), F.col("user_id").cast("string")).alias("actor"),

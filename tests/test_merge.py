@@ -1,7 +1,7 @@
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import Window, functions as F
 
-from newsloom.operators import objects as ob, reactions
+from newsloom.operators import objects as ob, ordered, reactions
 from newsloom.operators.merge import S, latest_per_key, merge
 from newsloom.operators.ordered import with_previous
 
@@ -51,16 +51,35 @@ def test_latest_per_key_limits_rows_before_the_shuffle(spark):
     assert plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
 
 
-def test_previous_equals_plain_lag_for_a_hot_key(spark):
-    # one key holds half of all rows
-    df = spark.range(4000).select(
-        F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"),
-        F.timestamp_seconds((F.col("id") * 7919) % 90000).alias("t"),
-        F.format_string("%05d", "id").alias("r"),
-        F.xxhash64("id").alias("v"),
+def _hot_hour(spark):
+    """One key has a third of all rows in one hour, many of them at one instant; some rows have no key or value."""
+    n = F.col("id")
+    return spark.range(6000).select(
+        F.when(n % 3 == 0, F.lit("hot")).when(n % 100 == 1, F.lit(None)).otherwise(F.concat(F.lit("k"), n % 50)).alias("k"),
+        F.when(n % 3 == 0, F.timestamp_seconds(7200 + n % 60)).otherwise(F.timestamp_seconds((n * 7919) % 90000)).alias("t"),
+        F.format_string("%05d", n).alias("r"),
+        F.when(n % 11 != 0, F.xxhash64(n)).alias("v"),
     )
-    plain = df.withColumn("p", F.lag("v").over(Window.partitionBy("k").orderBy("t", "r")))
-    assert rows(with_previous(df, ["k"], "t", "r", "v", "p")) == rows(plain)
+
+
+def test_previous_equals_plain_lag_for_a_hot_key(spark):
+    df = _hot_hour(spark)
+    plain = rows(df.withColumn("p", F.lag("v").over(Window.partitionBy("k").orderBy("t", "r"))))
+    assert rows(with_previous(df, ["k"], "t", "r", "v", "p")) == plain
+    for slot in (1, 7, 64, 5000):
+        assert rows(with_previous(df, ["k"], "t", "r", "v", "p", slot=slot)) == plain
+    assert with_previous(df.limit(0), ["k"], "t", "r", "v", "p", most=10, slot=5).count() == 0
+
+
+def test_a_hot_hour_is_spread(spark):
+    """The hot key's rows are in many slots and files, none of more rows than a slot holds; its key is in no exchange."""
+    placed = ordered.slotted(_hot_hour(spark), ["k", "t", "r"], 64)
+    sizes = placed.groupBy("_file", "_slot").agg(F.count("*").alias("n"), F.count_if(F.col("k") == "hot").alias("hot")).collect()
+    assert max(r["n"] for r in sizes) <= 64 and sum(r["hot"] > 0 for r in sizes) >= 2000 // 64
+    assert len({r["_file"] for r in sizes if r["hot"]}) >= 2
+    found = with_previous(_hot_hour(spark), ["k"], "t", "r", "v", "p", slot=64)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_file" in plan and "hashpartitioning(k#" not in plan
 
 
 def _objects(spark, rows):
