@@ -372,7 +372,11 @@ def apply_activities(
     requests: DataFrame, objects: DataFrame, likes: DataFrame, base: str = BASE, keep: Stage = stage
 ) -> Outcome:
     """Apply a batch of requests to objects and reactions."""
-    decided = keep(decide(requests, objects, likes, base, keep))
+    return applied(keep(decide(requests, objects, likes, base, keep)), objects, likes)
+
+
+def applied(decided: DataFrame, objects: DataFrame, likes: DataFrame) -> Outcome:
+    """The outcome of decisions that are written out."""
     with_notes = upsert_notes(objects, created_notes(decided))
     edited = apply_updates(with_notes, edited_documents(decided, with_notes))
     return Outcome(decided, activity_rows(decided), soft_delete(edited, deleted_ids(decided)), reaction_state(decided, likes))

@@ -501,6 +501,10 @@ where has_link and not has_date and (doc_id % 5 = 1 or {_at("doc_id*60%43200")}
     "allowed_pages": "select page_id, url page_url from pages where regexp_extract(url, '://([^/?#]*)', 1) like '%.org'",
 }
 
+BODIES["replayed_requests"] = f"""select s.actor, s.object_id,
+  case when not b.deleted then case s.reaction_type when 'Like' then 'Dislike' else 'Like' end else s.reaction_type end reaction_type,
+  case when not b.deleted then timestamp '2024-03-01 00:00:00' else s.published end published, 0::bigint n_twice
+from ({BODIES["reaction_state"]}) s left join ({BODIES["board_after_requests"]}) b on b.id = s.object_id"""
 BODIES["rewrite_touched"] = BODIES["upsert_articles"]
 
 ORACLES = {name: _sql(body) for name, body in BODIES.items()}

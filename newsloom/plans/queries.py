@@ -13,7 +13,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.functions import documents as docs, text as tx, times, urls
-from newsloom.operators import activities as act, enrichment, objects as ob, quality, reactions, recency, search, state, tagging, threads, variants
+from newsloom.operators import activities as act, enrichment, objects as ob, quality, reactions, recency, replay, search, state, tagging, threads, variants
 from newsloom.operators.merge import latest_per_key
 from newsloom.plans import views
 from newsloom.session import configure, shared_folder, stage
@@ -195,7 +195,7 @@ def actor_stats(spark, sf_dir):
 def recency_incremental(spark, sf_dir):
     """The log taken in by ten-day pieces, the middle one twice; deletions take back what earlier pieces brought."""
     log = views.activities(spark, sf_dir)
-    kept = recency.Recency.at(spark, f"{shared_folder(spark)}/recency-{uuid.uuid4().hex}", buckets=16)
+    kept = recency.Recency.at(spark, f"{shared_folder(spark)}/recency-{uuid.uuid4().hex}", buckets=4)
     for first, last in ((1, 10), (11, 20), (11, 20), (21, 31)):
         kept.advance(log.filter(F.dayofmonth("received_at").between(first, last)))
     return kept.last_activity().withColumn("last_activity_at", _ntz("last_activity_at"))
@@ -555,6 +555,31 @@ def reaction_state(spark, sf_dir):
     return state_after.select("actor", "object_id", "activity_id", "reaction_type", "published")
 
 
+@query
+def replayed_requests(spark, sf_dir):
+    """A batch, then the opposite of every reaction it left, then the batch again: the second one's state stays, and no id
+    is logged twice (``n_twice`` counts the rows the three deliveries logged for the pair, less their distinct ids)."""
+    index = replay.RequestIndex.at(spark, f"{shared_folder(spark)}/requests-{uuid.uuid4().hex}", buckets=4, blocks=64)
+    batch = views.requests(spark, sf_dir)
+    first, _ = replay.apply_once(batch, views.board(spark, sf_dir), views.likes(spark, sf_dir), index)
+    index.add(first.decided)
+    objects, likes = stage(first.objects.select("id", "deleted", "object_json")), stage(first.likes)
+    opposite = likes.select(
+        F.concat(F.lit("o/"), "actor", F.lit("/"), "object_id").alias("request_id"),
+        F.when(F.col("reaction_type") == "Like", "Dislike").otherwise("Like").alias("type"), "actor", "object_id",
+        F.lit(None).cast("string").alias("object_json"), F.expr("timestamp_ntz'2024-03-01 00:00:00'").alias("received_at"))
+    logs = [first.activities]
+    for delivery in (opposite, batch):
+        done = replay.decide_once(delivery, objects, likes, index)
+        index.add(done.decided)
+        likes = stage(act.reaction_state(done.decided, likes))
+        logs.append(act.activity_rows(done.decided))
+    logged = logs[0].unionByName(logs[1]).unionByName(logs[2]).filter("type in ('Like', 'Dislike')")
+    twice = logged.groupBy("actor", "object_id").agg((F.count("*") - F.countDistinct("id")).alias("n_twice"))
+    return likes.join(twice, ["actor", "object_id"], "left").select(
+        "actor", "object_id", "reaction_type", "published", F.coalesce("n_twice", F.lit(0).cast("long")).alias("n_twice"))
+
+
 @query
 def remove_reactions(spark, sf_dir):
     removals = views.activities(spark, sf_dir).filter("type = 'Update'").select("actor", "object_id")

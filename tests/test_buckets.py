@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import reactions
 from newsloom.operators.recency import Recency
+from newsloom.operators.replay import RequestIndex, apply_once
 from newsloom.plans import views
+from newsloom.session import stage
 from newsloom.sources.buckets import BucketTable
 
 SF = "/root/testdata/sf0.001"
@@ -105,3 +107,54 @@ def test_recency_of_the_given_log(spark, tmp_path):
     kept.advance(log.filter("received_at < timestamp'2024-01-15 00:00:00'"))
     expected = reactions.last_activity(log).select("id", F.col("last_activity_at").cast("timestamp"))
     assert rows(kept.last_activity()) == rows(expected)
+
+
+# ---- answered requests -----------------------------------------------------------------------------
+
+
+def answers(spark, first, last, status=201):
+    return spark.range(first, last).select(
+        F.concat(F.lit("r"), "id").alias("request_id"), F.lit(status).alias("status"), F.lit(None).cast("string").alias("reason"),
+        F.concat(F.lit("a"), "id").alias("activity_id"), F.lit(None).cast("string").alias("result_id"))
+
+
+def test_the_filter_denies_no_known_id(spark, tmp_path):
+    index = RequestIndex.at(spark, str(tmp_path / "i"), buckets=4, blocks=16)
+    assert index.answered(answers(spark, 0, 5)).count() == 0
+    index.add(answers(spark, 0, 3000))
+    index.add(answers(spark, 2000, 5000, 200))
+    assert rows(index.answers.read().groupBy("status").count()) == [(200, 2000), (201, 3000)]
+    assert index.maybe_known(answers(spark, 0, 5000)).count() == 5000
+    assert index.maybe_known(answers(spark, 10_000, 30_000)).count() < 400
+    assert [r[0] for r in rows(index.answered(answers(spark, 4995, 5005)))] == [f"r{n}" for n in range(4995, 5000)]
+    index.add(answers(spark, 0, 5000))
+    assert index.answers.read().count() == 5000
+
+
+def test_new_ids_open_no_answers(spark, tmp_path):
+    index = RequestIndex.at(spark, str(tmp_path / "i"), buckets=8, blocks=64)
+    index.add(answers(spark, 0, 500))
+    assert index.answers.touched(index.maybe_known(answers(spark, 1000, 1020))) == []
+
+
+def test_a_batch_delivered_again_changes_nothing(spark, tmp_path):
+    """Also after a later opposite reaction, and mixed with new requests."""
+    objects = spark.createDataFrame(
+        [("o", "hs", DAY, DAY, False, '{"type":"Article","id":"o"}')], "id string, source string, published timestamp, updated timestamp, deleted boolean, object_json string"
+    ).withColumns({"like_count": F.lit(0).cast("long"), "dislike_count": F.lit(0).cast("long"), "tags": F.array().cast("array<string>"),
+                   "tags_enriched": F.lit(False), "og_enriched": F.lit(False), "og_enriched_error": F.lit(None).cast("string")})
+    likes = spark.createDataFrame([], "activity_id string, actor string, object_id string, reaction_type string, published timestamp")
+    schema = "request_id string, type string, actor string, object_id string, object_json string, received_at timestamp"
+    index = RequestIndex.at(spark, str(tmp_path / "i"), buckets=2, blocks=4)
+    like, dislike, other = ((i, t, u, "o", None, DAY + timedelta(hours=h)) for i, t, u, h in (
+        ("r1", "Like", "u", 1), ("r2", "Dislike", "u", 2), ("r3", "Like", "v", 3)))
+    seen, logged = [], []
+    for batch in ([like], [dislike], [like, dislike, other, like]):
+        outcome, replayed = apply_once(spark.createDataFrame(batch, schema), objects, likes, index)
+        logged += [r["id"] for r in outcome.activities.collect()]
+        seen.append((rows(outcome.decided.select("request_id", "status")), rows(replayed.select("request_id", "status"))))
+        likes = stage(outcome.likes)
+        index.add(outcome.decided)
+    assert seen == [([("r1", 201)], []), ([("r2", 201)], []), ([("r3", 201)], [("r1", 201), ("r2", 201)])]
+    assert len(logged) == len(set(logged)) == 3
+    assert rows(likes.select("actor", "reaction_type")) == [("u", "Dislike"), ("v", "Like")]
