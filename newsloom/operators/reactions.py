@@ -87,24 +87,20 @@ def apply_last_activity(objects: DataFrame, last: DataFrame) -> DataFrame:
     )
 
 
-def refresh_counters(objects: DataFrame, activities: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
-    """Counters and recency together.
+def counter_changes(counts: DataFrame, last: DataFrame) -> DataFrame:
+    """Counters (object_id, ...) and recency (id, last_activity_at) as one row per object."""
+    both = counts.withColumnRenamed("object_id", "id").unionByName(last, allowMissingColumns=True)
+    return both.filter(F.col("id").isNotNull()).groupBy("id").agg(
+        *[F.max(name).alias(name) for name in ["like_count", "dislike_count", "last_activity_at"]])
 
-    The two results share the object key, so they are folded into one row per object and the objects table
-    is joined and rewritten once instead of twice.
-    """
-    counts = reaction_counts(activities, as_of, days).withColumnRenamed("object_id", "id")
-    both = counts.unionByName(last_activity(activities), allowMissingColumns=True)
-    source = (
-        both.filter(F.col("id").isNotNull())
-        .groupBy("id")
-        .agg(*[F.max(name).alias(name) for name in ["like_count", "dislike_count", "last_activity_at"]])
-    )
+
+def apply_counter_changes(objects: DataFrame, changes: DataFrame) -> DataFrame:
+    """apply_reaction_counts and apply_last_activity in one merge."""
     counted = S("like_count").isNotNull() & ~F.col("deleted")
     newer = F.coalesce(S("last_activity_at") > F.col("updated"), F.lit(False))
     return merge(
         objects,
-        source,
+        changes,
         {
             "like_count": F.when(counted, S("like_count")).otherwise(F.col("like_count")),
             "dislike_count": F.when(counted, S("dislike_count")).otherwise(F.col("dislike_count")),
@@ -113,6 +109,15 @@ def refresh_counters(objects: DataFrame, activities: DataFrame, as_of: Column, d
     )
 
 
+def refresh_counters(objects: DataFrame, activities: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
+    """Counters and recency together.
+
+    The two results share the object key, so they are folded into one row per object and the objects table
+    is joined and rewritten once instead of twice.
+    """
+    return apply_counter_changes(objects, counter_changes(reaction_counts(activities, as_of, days), last_activity(activities)))
+
+
 def actor_stats(activities: DataFrame) -> DataFrame:
     """Likes, dislikes and comments of every actor."""
     return activities.groupBy("actor").agg(

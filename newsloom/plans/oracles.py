@@ -501,6 +501,17 @@ where has_link and not has_date and (doc_id % 5 = 1 or {_at("doc_id*60%43200")}
     "allowed_pages": "select page_id, url page_url from pages where regexp_extract(url, '://([^/?#]*)', 1) like '%.org'",
 }
 
+BODIES["refresh_pipeline"] = f"""select o.id, o.source,
+  case when not og_enriched and not deleted and has_doc then {_longer('o.name', 'g.title')} else o.name end as name,
+  o.og_enriched or (not deleted and has_doc) og_enriched, null::varchar og_enriched_error, o.tags_enriched or not deleted tags_enriched,
+  case when c.object_id is not null and not deleted then c.like_count else o.like_count end like_count,
+  case when c.object_id is not null and not deleted then c.dislike_count else o.dislike_count end dislike_count,
+  case when l.last_activity_at > o.updated then l.last_activity_at else o.updated end updated
+from objects o left join og g on g.page_url = o.url left join {_COUNTS} c on c.object_id = o.id left join {_LAST} l on l.id = o.id
+union all
+select '{BASE}/objects/articles/' || f.source || '/' || sha256(f.link), f.source, f.title, true, 'Fetch/Parse error: no page', true, 0, 0, f.published
+from feed f left join config c on c.key = 'rss.' || f.source || '.last_fetched_at'
+where has_link and has_date and f.published > case when c.key is not null then timestamp '2024-01-02 00:00:00' else timestamp '2024-01-31 00:00:00' end"""
 BODIES["replayed_requests"] = f"""select s.actor, s.object_id,
   case when not b.deleted then case s.reaction_type when 'Like' then 'Dislike' else 'Like' end else s.reaction_type end reaction_type,
   case when not b.deleted then timestamp '2024-03-01 00:00:00' else s.published end published, 0::bigint n_twice

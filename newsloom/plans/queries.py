@@ -12,12 +12,13 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from newsloom import schemas
 from newsloom.functions import documents as docs, text as tx, times, urls
 from newsloom.operators import activities as act, enrichment, objects as ob, quality, reactions, recency, replay, search, state, tagging, threads, variants
 from newsloom.operators.merge import latest_per_key
-from newsloom.plans import views
+from newsloom.plans import refresh, views
 from newsloom.session import configure, shared_folder, stage
-from newsloom.sources import feeds, pages, tables
+from newsloom.sources import feeds, manifest, pages, tables
 from newsloom.streaming import jobs
 
 SEARCH = ["the", "les", "der"]
@@ -476,6 +477,24 @@ def og_field_merge(spark, sf_dir):
     )
 
 
+@query
+def refresh_pipeline(spark, sf_dir):
+    """All jobs as one committed run over stored tables: new feed items, page metadata, tags, counters, recency, markers."""
+    root = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    stored = manifest.Store(spark, root, {name: schemas.TABLES[name] for name in ("objects", "activities", "config")})
+    first = stored.begin()
+    for name, rows in (("objects", views.objects(spark, sf_dir)), ("activities", views.activities(spark, sf_dir))):
+        first.rewrite(name, tables.conform(rows, name), [])
+    first.replace("config", tables.conform(views.config_seed(spark, sf_dir), "config"))
+    first.commit()
+    refresh.run_refresh(
+        stored, recency.Recency.at(spark, f"{root}/recency", buckets=4), feeds=views.feed_xml(spark, sf_dir),
+        pages=views.og_pages(spark, sf_dir), as_of=views.as_of(), now=views.now(), run_time=F.lit("2024-02-01T00:00:00Z"))
+    return stored.read("objects").select(
+        "id", "source", _field("name").alias("name"), "og_enriched", "og_enriched_error", "tags_enriched", "like_count", "dislike_count",
+        _ntz("updated").alias("updated"))
+
+
 # ---- text ------------------------------------------------------------------------------------------
 
 

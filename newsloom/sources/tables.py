@@ -82,7 +82,7 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     if missing:
         raise ValueError(f"{name}: required columns missing: {missing}")
     return df.select(
-        *[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+        *[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType.simpleString()).alias(f.name) for f in fields]
     )
 
 

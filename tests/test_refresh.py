@@ -1,10 +1,15 @@
 import json
+from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from newsloom import schemas
 from newsloom.operators import quality, state
+from newsloom.operators.recency import Recency
 from newsloom.plans import refresh, views
 from newsloom.session import configure, stage
+from newsloom.sources import manifest, tables
 from newsloom.sources.feeds import parse_feeds
 from tests.test_merge import _objects, rows
 
@@ -44,6 +49,87 @@ def test_only_newer_items_are_taken_and_markers_move_after_success(spark):
     assert moved.count() == feeds.select("source").distinct().count()
 
 
+FEED = "<rss><channel>{}</channel></rss>"
+ITEM = "<item><title>{0}</title><link>https://n/{0}</link><pubDate>{1}</pubDate></item>"
+
+
+def small_store(spark, root):
+    """Three objects, a log of a like, a comment and a deletion, and two feeds."""
+    day = datetime(2024, 1, 28)
+    stored = manifest.Store(spark, root, {name: schemas.TABLES[name] for name in ("objects", "activities", "config")})
+    run = stored.begin()
+    objects = [dict(id=i, source="hs", published=day - timedelta(days=n), updated=day, like_count=9, dislike_count=0, og_enriched=True, tags_enriched=i != "b",
+                    object_json=json.dumps({"type": "Article", "id": i, "name": f"uutinen {i}"})) for n, i in enumerate("abc")]
+    run.rewrite("objects", _objects(spark, objects), [])
+    log = [("1", "Like", "a", 1), ("2", "Create", "n1", 2), ("3", "Create", "n2", 3), ("4", "Delete", "n2", 4)]
+    run.rewrite("activities", tables.conform(spark.createDataFrame(
+        [(i, t, "u", o, "c" if t == "Create" else None, day + timedelta(hours=h), day + timedelta(hours=h)) for i, t, o, h in log],
+        "id string, type string, actor string, object_id string, thread_root string, published timestamp, received_at timestamp"), "activities"), [])
+    run.replace("config", tables.conform(spark.createDataFrame([], schemas.CONFIG), "config"))
+    run.commit()
+    feeds = spark.createDataFrame([("hs", FEED.format(ITEM.format("x", "Wed, 31 Jan 2024 12:00:00 GMT") + ITEM.format("old", "Mon, 01 Jan 2024 12:00:00 GMT")))], "source string, xml string")
+    pages = spark.createDataFrame([("https://n/x", "<title>pitempi otsikko</title>")], "url string, html string")
+    return stored, dict(feeds=feeds, pages=pages, as_of=F.lit("2024-01-30").cast("date"), now=F.lit("2024-02-01 00:00:00").cast("timestamp"),
+                        run_time=F.lit("2024-02-01T00:00:00Z"))
+
+
+def content(stored):
+    return {name: rows(stored.read(name)) for name in ("objects", "config")}
+
+
+def test_a_run_is_all_or_nothing(spark, tmp_path, monkeypatch):
+    """Stopped at any step, a run shows nothing; done again, it gives what an undisturbed one gives."""
+    stored, inputs = small_store(spark, str(tmp_path / "calm"))
+    refresh.run_refresh(stored, Recency.at(spark, str(tmp_path / "calm-recency"), 2), **inputs)
+    expected = content(stored)
+    made = {r["id"].rsplit("/", 1)[-1][:8]: r for r in stored.read("objects").collect()}
+    assert len(made) == 4 and made["a"]["like_count"] == 1 and made["c"]["updated"] == datetime(2024, 1, 28, 2) and made["b"]["tags_enriched"]
+    new = next(r for r in made.values() if r["id"] not in "abc")
+    assert json.loads(new["object_json"])["name"] == "pitempi otsikko" and new["og_enriched"] and new["tags_enriched"]
+    assert stored.manifest().dated["objects"]["2024-01-28"] == 1 and stored.manifest().run == 1
+
+    stored, inputs = small_store(spark, str(tmp_path / "rough"))
+    before = content(stored)
+    kept = Recency.at(spark, str(tmp_path / "rough-recency"), 2)
+    for owner, step in ((Recency, "advance"), (manifest.Run, "rewrite"), (manifest.Run, "replace"), (manifest.Run, "commit")):
+        real = getattr(owner, step)
+        for late in (False, True):
+            if late and step == "commit":
+                continue
+
+            def stopped(*args, real=real, late=late):
+                if late:
+                    real(*args)
+                raise RuntimeError("lost")
+
+            with monkeypatch.context() as patch:
+                patch.setattr(owner, step, stopped)
+                with pytest.raises(RuntimeError):
+                    refresh.run_refresh(stored, kept, **inputs)
+            assert content(stored) == before
+    refresh.run_refresh(stored, kept, **inputs)
+    assert content(stored) == expected
+    # again: nothing new, nothing changes, and what no manifest names can go
+    refresh.run_refresh(stored, kept, **inputs)
+    refresh.run_refresh(stored, kept, **inputs)
+    stored.vacuum()
+    assert rows(stored.read("objects")) == expected["objects"]
+    assert {p.name for p in (tmp_path / "rough" / "config").iterdir()} == {"run=2", "run=3"}
+
+
+def test_a_run_reads_and_writes_its_dates_only(spark, tmp_path):
+    stored, inputs = small_store(spark, str(tmp_path / "s"))
+    untouched = tmp_path / "s" / "objects" / "run=0" / "published_date=2024-01-26"
+    refresh.run_refresh(stored, Recency.at(spark, str(tmp_path / "r"), 2), **inputs)
+    refresh.run_refresh(stored, Recency.at(spark, str(tmp_path / "r"), 2), **inputs)
+    assert untouched.exists()
+    later = stored.manifest()
+    run = stored.begin()
+    assert {p.name for p in (tmp_path / "s" / "objects").iterdir()} >= {"run=0", "run=1"} and later.run == run.before.run == 2
+    pruned = stored.read("objects").filter("published_date = '2024-01-26'")
+    assert pruned.count() == 1 and "PartitionFilters: [isnotnull(published_date" in pruned._jdf.queryExecution().executedPlan().toString()
+
+
 def test_config_put_replaces_and_adds(spark):
     config = spark.createDataFrame([("a", "1", None, "x"), ("b", "2", None, "x")], "key string, value string, updated_at timestamp, updated_by string")
     put = state.config_put(config, spark.createDataFrame([("b", "3"), ("c", "4")], "key string, value string"), F.current_timestamp(), "job")
