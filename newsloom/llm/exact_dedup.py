@@ -74,8 +74,9 @@ def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
     ), "digests")
     index.add(digests)
     groups = digests.groupBy("digest").agg(F.count("*").alias("group_size"))
-    found = groups.join(index.read(), "digest")
-    return digests.join(found.hint("merge"), "digest").select(
+    # a row per text, written out: the rows then meet it in a join of two plain exchanges, of which AQE splits the hot side
+    found = stage(groups.join(index.read(), "digest"), "groups")
+    return digests.join(found, "digest").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
