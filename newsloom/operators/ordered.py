@@ -72,3 +72,19 @@ def segmented_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     carried = F.when(all_same(lambda k: F.col(f"_carried.{k}")), F.col("_carried._value"))
     found = F.when(begins, carried).when(F.col("_same"), F.col("_near"))
     return local.join(before, ["_file", "_slot"]).withColumn(name, found).select(*df.columns, name)
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Rows with ``name``, their place from 0 in the order of the whole table.
+
+    Rows are sorted in files by range; a row's number is its place in its file and the rows of the files before, of which
+    there is one row each to add up.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stage(df.repartitionByRange(parts, *order).sortWithinPartitions(*order), "ranges")
+    rows = ranged.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = rows.groupBy("_file").agg(F.count("*").alias("_n"))
+    firsts = rows.filter("_row = 0").join(sizes, "_file")
+    earlier = Window.orderBy(*order, "_file").rowsBetween(Window.unboundedPreceding, -1)
+    before = firsts.select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return rows.join(before, "_file").select(*df.columns, (F.col("_before") + F.col("_row")).alias(name))

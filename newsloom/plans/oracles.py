@@ -501,6 +501,7 @@ where has_link and not has_date and (doc_id % 5 = 1 or {_at("doc_id*60%43200")}
     "allowed_pages": "select page_id, url page_url from pages where regexp_extract(url, '://([^/?#]*)', 1) like '%.org'",
 }
 
+BODIES["outbox_postings"] = BODIES["outbox_many"]
 BODIES["refresh_pipeline"] = f"""select o.id, o.source,
   case when not og_enriched and not deleted and has_doc then {_longer('o.name', 'g.title')} else o.name end as name,
   o.og_enriched or (not deleted and has_doc) og_enriched, null::varchar og_enriched_error, o.tags_enriched or not deleted tags_enriched,

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom import schemas
 from newsloom.functions import documents as docs, text as tx, times, urls
-from newsloom.operators import activities as act, enrichment, objects as ob, quality, reactions, recency, replay, search, state, tagging, threads, variants
+from newsloom.operators import activities as act, enrichment, objects as ob, postings, quality, reactions, recency, replay, search, state, tagging, threads, variants
 from newsloom.operators.merge import latest_per_key
 from newsloom.plans import refresh, views
 from newsloom.session import configure, shared_folder, stage
@@ -73,6 +73,13 @@ def outbox_many(spark, sf_dir):
     return search.outbox_many(views.objects(spark, sf_dir, tags=True), views.searches(spark, sf_dir))
 
 
+@query
+def outbox_postings(spark, sf_dir):
+    """outbox_many over postings in blocks."""
+    index = postings.build_postings(views.objects(spark, sf_dir, tags=True))
+    return postings.search_postings(index, views.searches(spark, sf_dir))
+
+
 @query
 def search_urls(spark, sf_dir):
     wanted = search.normalised_searches(views.searches(spark, sf_dir))

@@ -1,11 +1,15 @@
 import json
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import search
+from newsloom.operators import postings, search
 from newsloom.sources.tables import read_table, write_table
-from tests.test_merge import _objects
+from tests.test_merge import _objects, rows
+
+DAY = datetime(2026, 1, 1)
 
 
 @pytest.fixture
@@ -95,3 +99,38 @@ def test_searches_that_cannot_be_answered_say_why(spark, objects):
     assert [r.id for r in found if r.search_id == "ok"] == [r.id for r in search.outbox(objects, ["\tX\n", "x"], 2).collect()]
     url = search.normalised_searches(searches).filter("search_id = 'ok'").select(search.search_url(F.col("tags"), F.col("n"))).first()[0]
     assert url == search.self_url(search.normalise_tags(["\tX\n", "x", " "]), 2)
+
+
+def test_postings_equal_the_pairs(spark):
+    """Ties, repeated tags, deleted objects, NULL times and tags, searches without answers; blocks of any size."""
+    r = random.Random(4)
+    objects = _objects(spark, [
+        dict(id=f"o{n:03}", like_count=r.randrange(4), deleted=n % 17 == 0, updated=r.choice([None, DAY, DAY + timedelta(days=n % 5)]),
+             published=r.choice([None, DAY]), tags=[r.choice("abcdefgh") for _ in range(r.randrange(6))]) for n in range(400)])
+    searches = spark.createDataFrame([
+        ("one", ["a"], 3), ("two", ["a", "b"], 500), ("rare", ["h", "zz"], 7), ("none", ["zz"], 5), ("bad", [" "], 5), ("many", list("abcdefgh"), 20),
+        ("most", list("abc"), None), ("first", ["c", "d"], 1)], "search_id string, tags array<string>, n int")
+    expected = rows(search.outbox_many(objects, searches))
+    for block in (1, 7, 64, 1000):
+        found = postings.search_postings(postings.build_postings(objects, block), searches, opened=1)
+        assert sorted(found.columns) == sorted(search.outbox_many(objects, searches).columns)
+        assert rows(found.select(search.outbox_many(objects, searches).columns)) == expected
+    nothing = postings.search_postings(postings.build_postings(objects.limit(0)), searches)
+    assert nothing.count() == 0 and postings.search_postings(postings.build_postings(objects), searches.limit(0)).count() == 0
+
+
+def test_common_tags_do_not_form_the_product(spark):
+    """A tag that all objects have, in every search: the pairs formed stay near what is asked for."""
+    n = F.col("id")
+    objects = spark.range(20_000).select(
+        F.concat(F.lit("o"), n).alias("id"), F.lit("hs").alias("source"), F.lit(DAY).alias("published"), F.lit(DAY).alias("updated"),
+        (F.xxhash64(n) % 50).alias("like_count"), F.lit(False).alias("deleted"),
+        F.when(n % 3 == 0, F.array(F.lit("all"), F.lit("third"))).otherwise(F.array(F.lit("all"))).alias("tags"))
+    searches = spark.range(30).select(
+        F.concat(F.lit("s"), n).alias("search_id"), F.when(n % 2 == 0, F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("third"))).alias("tags"),
+        F.lit(10).alias("n"))
+    trace = []
+    found = postings.search_postings(postings.build_postings(objects), searches, trace=trace)
+    columns = ["search_id", "id", "relevance", "place"]
+    assert rows(found.select(columns)) == rows(search.outbox_many(objects, searches).select(columns))
+    assert sum(trace) <= 30 * 512 < 30 * 20_000 / 30
