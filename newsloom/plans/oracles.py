@@ -107,9 +107,11 @@ select *, doc_id % 13 <> 0 has_link, doc_id % 11 <> 0 has_date, case when doc_id
   {_at("doc_id*37%43200")} - case when doc_id % 2 = 0 then interval 2 hours else interval 0 hours end published,
   case when doc_id % 3 = 0 then 'https://img.example/t' || doc_id || '.jpg'
     when doc_id % 3 = 1 then 'https://img.example/e' || doc_id || '.jpg'
-    when doc_id % 2 = 0 then 'https://img.example/channel.png' end image_url
-from (select doc_id, case doc_id % 4 when 0 then 'hs' when 1 then 'is' else source end source,
+    when page % 2 = 0 then 'https://img.example/channel.png' end image_url
+from (select doc_id, case when doc_id % 37 = 0 then -1 - doc_id else doc_id // 40 end page, case doc_id % 4 when 0 then 'hs' when 1 then 'is' else source end source,
   coalesce(text, '') plain from documents)""",
+    "last_items": """
+select source, page, max(doc_id) doc_id, count(*) n from feed group by 1, 2 having bool_or(doc_id % 3 <= 1)""",
     "publishers": """
 select * from (values ('hs', 'Helsingin Sanomat', 'https://www.hs.fi'), ('iltalehti', 'Iltalehti', 'https://www.iltalehti.fi'),
   ('is', 'Ilta-Sanomat', 'https://www.is.fi'), ('kauppalehti', 'Kauppalehti', 'https://www.kauppalehti.fi'),
@@ -392,7 +394,11 @@ from (select distinct object_id from activities) a left join objects o on o.id =
     "undated_items": "select source, link, title from feed where has_link and not has_date",
     "rejected_items": """select source, link, title, case when has_link then 'no readable date' else 'no link' end reason
 from feed where not (has_link and has_date)""",
-    "rejected_feeds": "select source, 'not readable as a feed' reason, count(*) n from feed where doc_id % 3 <= 1 group by source",
+    "rejected_feeds": "select source, 'not readable as a feed' reason, count(*) n from last_items where n = 1 group by source",
+    "recovered_items": """select source, title, link, summary, published, image_url from feed
+where has_link and has_date and doc_id not in (select doc_id from last_items)""",
+    "damaged_items": """select f.source, 'not readable as an item' reason, case when has_link then f.doc_id end doc_id
+from feed f join last_items l on l.doc_id = f.doc_id where l.n > 1""",
     "feed_images": "select link, image_url from feed where has_link and has_date",
     "feed_pubdates": f"""select event_id, mail_date, any_date, strftime(any_date, {ISO}) printed from (
   select event_id, case when event_id % 6 <= 3 then t end mail_date, t any_date from (

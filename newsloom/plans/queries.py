@@ -335,8 +335,20 @@ def rejected_items(spark, sf_dir):
 
 @query
 def rejected_feeds(spark, sf_dir):
-    cut = views.feed_xml(spark, sf_dir).withColumn("xml", F.expr("if(xml like '%audio/mpeg%', substring(xml, 1, length(xml) - 40), xml)"))
-    return feeds.rejected_feeds(cut).groupBy("source", "reason").agg(F.count("*").alias("n"))
+    return feeds.rejected_feeds(views.cut_feeds(spark, sf_dir)).groupBy("source", "reason").agg(F.count("*").alias("n"))
+
+
+@query
+def recovered_items(spark, sf_dir):
+    """Items of feeds that are cut off in their last one."""
+    items = feeds.parse_feeds(views.cut_feeds(spark, sf_dir))
+    return items.select("source", "title", "link", "summary", _ntz("published").alias("published"), "image_url")
+
+
+@query
+def damaged_items(spark, sf_dir):
+    lost = feeds.damaged_items(views.cut_feeds(spark, sf_dir))
+    return lost.select("source", "reason", F.nullif(F.regexp_extract("fragment", "news.example/([0-9]+)", 1), F.lit("")).cast("bigint").alias("doc_id"))
 
 
 @query

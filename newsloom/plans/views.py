@@ -289,27 +289,43 @@ def _escaped(text: Column) -> Column:
     return text
 
 
+FEED_ITEMS = 40
+
+
 def feed_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source, xml): one feed document per article, in the shapes feeds come in."""
+    """(source, xml): feed documents of up to FEED_ITEMS articles with neighbouring numbers, in the shapes feeds come in.
+
+    Every 37th article is a feed of its own.
+    """
     number = F.col("doc_id")
     published = minutes_after_origin(number * 37 % 43200)
     title = _escaped(F.coalesce("text", F.lit("")))
-    body = F.concat(
-        F.lit("<title>"), title, F.lit(" &amp;amp; more</title>"),
+    item = F.concat(
+        F.lit("<item><title>"), title, F.lit(" &amp;amp; more</title>"),
         F.when(number % 13 != 0, F.concat(F.lit("<link> https://news.example/"), number.cast("string"), F.lit("</link>"))).otherwise(""),
         F.lit("<description>&lt;p&gt;"), title, F.lit("&lt;/p&gt;  &lt;b&gt;x&lt;/b&gt;</description>"),
         F.when(number % 11 != 0, F.concat(F.lit("<pubDate>"), F.date_format(published, "E, dd MMM yyyy HH:mm:ss"),
                F.when(number % 2 == 0, F.lit(" +0200")).otherwise(" GMT"), F.lit("</pubDate>"))).otherwise(""),
         F.when(number % 3 == 0, F.concat(F.lit('<media:thumbnail url="https://img.example/t'), number.cast("string"), F.lit('.jpg"/>'))).otherwise(""),
         F.when(number % 3 <= 1, F.concat(F.lit('<enclosure url="https://img.example/a.mp3" type="audio/mpeg"/><enclosure url="https://img.example/e'), number.cast("string"), F.lit('.jpg" type="image/jpeg"/>'))).otherwise(""),
+        F.lit("</item>"),
     )
+    source = F.when(number % 4 == 0, "hs").when(number % 4 == 1, "is").otherwise(F.col("source"))
+    page = F.when(number % 37 == 0, -1 - number).otherwise(F.floor(number / FEED_ITEMS))
+    items = dealt_out(table(spark, sf_dir, "documents")).select(source.alias("source"), page.alias("page"), "doc_id", item.alias("item"))
+    # at most FEED_ITEMS a group
+    documents = items.groupBy("source", "page").agg(F.array_sort(F.collect_list(F.struct("doc_id", "item"))).alias("items"))
     xml = F.concat(
         F.lit('<?xml version="1.0"?><rss version="2.0" xmlns:media="http://search.yahoo.com/mrss/"><channel><title>c</title>'),
-        F.when(number % 2 == 0, F.lit("<image><url>https://img.example/channel.png</url></image>")).otherwise(""),
-        F.lit("<item>"), body, F.lit("</item></channel></rss>"),
+        F.when(F.col("page") % 2 == 0, F.lit("<image><url>https://img.example/channel.png</url></image>")).otherwise(""),
+        F.array_join(F.col("items.item"), ""), F.lit("</channel></rss>"),
     )
-    source = F.when(number % 4 == 0, "hs").when(number % 4 == 1, "is").otherwise(F.col("source"))
-    return dealt_out(table(spark, sf_dir, "documents")).select(source.alias("source"), xml.alias("xml"))
+    return documents.select("source", xml.alias("xml"))
+
+
+def cut_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feeds, those with a sound enclosure cut off in their last item."""
+    return feed_xml(spark, sf_dir).withColumn("xml", F.expr("if(xml like '%audio/mpeg%', substring(xml, 1, length(xml) - 40), xml)"))
 
 
 def og_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

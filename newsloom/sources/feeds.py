@@ -22,6 +22,8 @@ _ITEM = (
 )
 # an ampersand that begins none of the references XML itself knows
 _STRAY = "&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)"
+# where an item begins
+_ITEM_START = r"(?=<item[\s>])"
 _IMAGE = "image struct<url:string>"
 # items stand inside the channel (RSS 2.0) or next to it (RSS 1.0)
 FEED_SCHEMA = f"channel struct<{_IMAGE.replace(' ', ':', 1)},item:array<{_ITEM}>>, {_IMAGE}, item array<{_ITEM}>"
@@ -84,38 +86,77 @@ def image_url(item: Column, channel_image: Column) -> Column:
     )
 
 
+def _parsed(xml: Column) -> Column:
+    """A feed document, NULL when it cannot be read."""
+    feed = F.from_xml(xml, FEED_SCHEMA)
+    return F.when(feed["channel"].isNotNull() | feed["item"].isNotNull(), feed)
+
+
+def _fragments(xml: Column) -> Column:
+    """What begins with an item's start tag and ends before the next one's, of a damaged document."""
+    return F.filter(F.split(xml, _ITEM_START), lambda piece: piece.rlike("^" + _ITEM_START))
+
+
+def _as_feed(fragment: Column) -> Column:
+    """A feed of the fragment's item alone, NULL where the item has no end."""
+    item = F.nullif(F.regexp_extract(fragment, r"(?s)^.*?</item\s*>", 0), F.lit(""))
+    return F.concat(F.lit("<rss><channel>"), F.regexp_replace(item, _STRAY, "&amp;"), F.lit("</channel></rss>"))
+
+
 def _read(feeds: DataFrame, xml: str) -> DataFrame:
-    """Feeds with ``feed``, the parsed document; NULL when it cannot be read.
+    """Feeds with ``feed``, the parsed document, and for documents that cannot be read as a whole ``pieces``.
 
-    A document that is not well-formed is read again with its stray ampersands and unknown entities escaped.
+    A document that is not well-formed is read again with its stray ampersands and unknown entities escaped. Where that does
+    not help, it is cut at its items, and each is read by itself: a piece has its ``fragment`` and its ``feed``, which is NULL
+    where the item itself is damaged. The channel's image is then looked for before the first item.
     """
-    once = pinned(feeds.withColumn("feed", F.from_xml(F.col(xml), FEED_SCHEMA)), "feed")
-    unread = F.coalesce(F.col("feed.channel").isNull() & F.col("feed.item").isNull(), F.lit(True))
-    again = F.from_xml(F.when(unread, F.regexp_replace(xml, _STRAY, "&amp;")), FEED_SCHEMA)
-    feed = F.when(unread, again).otherwise(F.col("feed"))
-    read = pinned(once.withColumn("feed", feed), "feed")
-    return read.withColumn("feed", F.when(F.col("feed.channel").isNotNull() | F.col("feed.item").isNotNull(), F.col("feed")))
+    once = pinned(feeds.withColumn("feed", _parsed(F.col(xml))), "feed")
+    again = _parsed(F.when(F.col("feed").isNull(), F.regexp_replace(xml, _STRAY, "&amp;")))
+    read = pinned(once.withColumn("feed", F.coalesce("feed", again)), "feed")
+    damaged = F.when(F.col("feed").isNull(), F.col(xml))
+    pieces = F.transform(_fragments(damaged), lambda f: F.struct(f.alias("fragment"), _parsed(_as_feed(f)).alias("feed")))
+    head = F.element_at(F.split(damaged, _ITEM_START, 2), 1)
+    image = F.regexp_extract(head, r"(?s)<image\s*>.*?<url\s*>(.*?)</url", 1)
+    return pinned(read.withColumns({"pieces": pieces, "head_image": F.nullif(image, F.lit(""))}), "pieces")
+
+
+def _readable(pieces: str = "pieces") -> Column:
+    return F.exists(pieces, lambda piece: piece["feed"].isNotNull())
 
 
 def rejected_feeds(feeds: DataFrame, xml: str = "xml") -> DataFrame:
-    """Feeds of which nothing can be read, with the reason."""
+    """Feeds of which nothing can be read, not one item, with the reason."""
     blank = F.coalesce(strip(F.col(xml)), F.lit("")) == ""
-    return _read(feeds, xml).filter("feed is null").withColumn("reason", F.when(blank, "empty document").otherwise("not readable as a feed")).drop("feed")
+    nothing = F.col("feed").isNull() & ~F.coalesce(_readable(), F.lit(False))
+    return _read(feeds, xml).filter(nothing).withColumn(
+        "reason", F.when(blank, "empty document").otherwise("not readable as a feed")).drop("feed", "pieces", "head_image")
+
+
+def damaged_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
+    """What is left of damaged documents when the items that can be read are taken out: a row per ``fragment``, with the reason.
+
+    Documents of which nothing can be read are in :func:`rejected_feeds` as a whole instead.
+    """
+    carried = [name for name in feeds.columns if name != xml]
+    lost = _read(feeds, xml).filter(F.col("feed").isNull() & _readable()).select(*carried, F.explode("pieces").alias("piece"))
+    return lost.filter("piece.feed is null").select(*carried, "piece.fragment", F.lit("not readable as an item").alias("reason"))
 
 
 def feed_items(feeds: DataFrame, xml: str = "xml", atom_dates: bool = False) -> DataFrame:
     """Every item of every feed document, dated or not; other input columns are carried along.
 
-    ``atom_dates`` also accepts an item's atom:updated: as the publication date when there is none, and as
-    the update time.
+    Of a damaged document these are the items that can be read by themselves. ``atom_dates`` also accepts an item's
+    atom:updated: as the publication date when there is none, and as the update time.
     """
     carried = [name for name in feeds.columns if name != xml]
-    parsed = _read(feeds, xml).select(*carried, "feed")
+    parsed = _read(feeds, xml).select(*carried, "feed", "pieces", "head_image")
+    none = F.array().cast(f"array<{_ITEM}>")
     items = F.concat(
-        F.coalesce("feed.channel.item", F.array().cast(f"array<{_ITEM}>")),
-        F.coalesce("feed.item", F.array().cast(f"array<{_ITEM}>")),
+        F.coalesce("feed.channel.item", none),
+        F.coalesce("feed.item", none),
+        F.coalesce(F.flatten(F.transform("pieces", lambda piece: F.coalesce(piece["feed"]["channel"]["item"], none))), none),
     )
-    channel_image = F.coalesce("feed.channel.image.url", "feed.image.url")
+    channel_image = F.coalesce("feed.channel.image.url", "feed.image.url", "head_image")
     # explode_outer: explode would put a filter on the array below and parse every document once more for it
     rows = parsed.select(*carried, channel_image.alias("channel_image"), F.explode_outer(items).alias("item")).filter(
         "item is not null"

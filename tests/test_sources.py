@@ -191,3 +191,55 @@ def test_table_layout_pruning_and_contract(spark, tmp_path):
     assert tables.read_table(spark, root, "activities", ["id"]).count() == 2 * log.count()
     with pytest.raises(ValueError, match="required columns"):
         tables.conform(log.drop("actor"), "activities")
+
+
+# ---- damaged feeds ---------------------------------------------------------------------------------
+
+
+def _many(n, broken=()):
+    """A feed of n items; the broken ones are not well-formed."""
+    items = [f"<item><title>t{i}</title><link>https://n/{i}</link><pubDate>Wed, 31 Jan 2024 12:00:00 GMT</pubDate>"
+             + ("<b><i></b></i>" if i in broken else "") + "</item>" for i in range(n)]
+    return "<rss><channel><title>c</title><image><url>https://n/c.png</url></image>" + "".join(items) + "</channel></rss>"
+
+
+def _read_back(spark, *documents):
+    df = spark.createDataFrame([(f"s{i}", x) for i, x in enumerate(documents)], "source string, xml string")
+    items = sorted((r["source"], int(r["title"][1:]), r["image_url"]) for r in feeds.parse_feeds(df).collect())
+    lost = sorted((r["source"], r["reason"]) for r in feeds.damaged_items(df).collect())
+    return items, lost, sorted(r["source"] for r in feeds.rejected_feeds(df).collect())
+
+
+def test_a_feed_cut_in_its_last_item_keeps_the_others(spark):
+    whole = _many(50)
+    cut = whole[:whole.rindex("</pubDate>")]
+    items, lost, rejected = _read_back(spark, cut, whole)
+    assert items == [(s, i, "https://n/c.png") for s, n in (("s0", 49), ("s1", 50)) for i in range(n)]
+    assert lost == [("s0", "not readable as an item")] and rejected == []
+
+
+def test_damaged_items_in_the_middle(spark):
+    items, lost, rejected = _read_back(spark, _many(5, {1, 3}), _many(2, {0, 1}), "", "no feed <item", None, _many(1)[:-20])
+    assert [(s, i) for s, i, _ in items] == [("s0", 0), ("s0", 2), ("s0", 4)]
+    assert lost == [("s0", "not readable as an item")] * 2
+    assert rejected == ["s1", "s2", "s3", "s4", "s5"]
+
+
+def test_an_item_without_its_end_does_not_swallow_the_next(spark):
+    text = _many(3).replace("</item><item><title>t2", "<item><title>t2")
+    items, lost, _ = _read_back(spark, text)
+    assert [i for _, i, _ in items] == [0, 2] and len(lost) == 1
+
+
+def test_items_of_damaged_feeds_with_stray_ampersands_and_namespaces(spark):
+    text = ("<rdf:RDF xmlns:rdf='r'><channel rdf:about='x'/><item rdf:about='1'><title>t1 &nbsp; R&D</title><link>https://n/1</link>"
+            "<pubDate>Wed, 31 Jan 2024 12:00:00 GMT</pubDate><media:thumbnail url='https://n/i.png'/></item><items/><item><title>t2</ti")
+    df = spark.createDataFrame([("s", text)], "source string, xml string")
+    got = feeds.parse_feeds(df).collect()
+    assert [(r["link"], r["image_url"]) for r in got] == [("https://n/1", "https://n/i.png")] and "R&D" in got[0]["title"]
+
+
+def test_a_very_long_damaged_feed(spark):
+    text = _many(2).replace("t0", "t0" + "x" * 2_000_000)[:-30]
+    df = spark.createDataFrame([("s", text)], "source string, xml string")
+    assert [len(r["title"]) for r in feeds.parse_feeds(df).collect()] == [2_000_002]
