@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.functions.documents import CONTEXT, text_field, with_fields
 from newsloom.functions.times import parse_iso
@@ -72,14 +74,24 @@ def catalogue_documents(datasets: DataFrame, column: str = "json", base: str = B
 def dated_pending(pending: DataFrame, metadata: DataFrame, now: Column, days: int = 7) -> tuple[DataFrame, DataFrame]:
     """Undated items (link, first_seen, ...) split into those a page now dates and those still waiting.
 
-    Items that stay undated for more than ``days`` days are dropped.
+    Items that stay undated for more than ``days`` days are in neither; :func:`expired_pending` has them.
     """
-    dates = metadata.groupBy(F.col("page_url").alias("link")).agg(F.max(parse_iso(F.col("published_time"))).alias("published"))
-    joined = pending.drop("published").join(dates, "link", "left")
-    fresh = F.col("first_seen") >= now - F.make_dt_interval(F.lit(days))
+    joined, fresh = _with_page_dates(pending, metadata, now, days)
     return joined.filter("published is not null"), joined.filter(F.col("published").isNull() & fresh).drop("published")
 
 
+def expired_pending(pending: DataFrame, metadata: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    """Undated items that no page has dated in ``days`` days, with the reason."""
+    joined, fresh = _with_page_dates(pending, metadata, now, days)
+    gone = joined.filter(F.col("published").isNull() & ~F.coalesce(fresh, F.lit(False))).drop("published")
+    return gone.withColumn("reason", F.when(F.col("first_seen").isNull(), "never seen").otherwise(F.lit(f"no date for {days} days")))
+
+
+def _with_page_dates(pending: DataFrame, metadata: DataFrame, now: Column, days: int) -> tuple[DataFrame, Column]:
+    dates = metadata.groupBy(F.col("page_url").alias("link")).agg(F.max(parse_iso(F.col("published_time"))).alias("published"))
+    return pending.drop("published").join(dates, "link", "left"), F.col("first_seen") >= now - F.make_dt_interval(F.lit(days))
+
+
 def without_actor_data(activities: DataFrame, actors: DataFrame) -> DataFrame:
     """The log without the rows of the given actors (column actor)."""
     return activities.join(actors.select("actor").distinct(), "actor", "left_anti")
@@ -91,41 +103,123 @@ def hidden_name(actor: Column, salt: str, base: str = BASE) -> Column:
     return F.concat(F.lit(f"{base}/users/"), F.sha2(F.concat(F.lit(salt), actor), 256))
 
 
+def _names_in(document: Column) -> Column:
+    """Whatever in a document can be an id: whole strings, and of addresses every run of whole path segments.
+
+    ``document`` is canonical JSON, so an id stands there as it is, however it was escaped.
+    """
+    strings = F.regexp_extract_all(document, F.lit(r'"([^"\\]+)"'), F.lit(1))
+    found = F.regexp_extract_all(document, F.lit(r"""[^\s"'\\<>()?#,;]*/[^\s"'\\<>()?#,;]+"""), F.lit(0))
+    addresses = F.transform(found, lambda address: F.regexp_replace(address, "[.:!]+$", ""))  # a sentence may end here
+
+    def runs(address: Column) -> Column:
+        parts = F.split(address, "/")
+        n = F.size(parts)
+        return F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
+            F.sequence(i, n), lambda j: F.array_join(F.slice(parts, i, j - i + 1), "/"))))
+
+    return F.array_distinct(F.concat(strings, F.flatten(F.transform(F.array_distinct(addresses), runs))))
+
+
 def anonymised(df: DataFrame, actors: DataFrame, salt: str, base: str = BASE) -> DataFrame:
     """Rows with the given actors under a hashed name, in the actor column and in every document that names them.
 
-    Documents need an ``id`` column to be found again; a document is compared with the actors by the ids it holds.
+    Documents need an ``id`` column to be found again. They are read as JSON, so it does not matter how an id is escaped; it is
+    found as a string of its own, in keys too, and inside longer addresses and texts, as far as it stands there in whole words.
+    Only documents that name someone are written anew, in canonical form; what is no JSON is gone through as text.
     """
-    leaving = actors.select("actor").distinct()
+    leaving = actors.select("actor").filter("actor <> ''").distinct()
     if "actor" in df.columns:
         marked = df.join(leaving.withColumn("_leaving", F.lit(True)), "actor", "left")
         name = F.when(F.col("_leaving"), hidden_name(F.col("actor"), salt, base)).otherwise(F.col("actor"))
         df = marked.withColumn("actor", name).select(df.columns)
     if "object_json" not in df.columns:
         return df
-    quoted = F.regexp_extract_all("object_json", F.lit('"([^"]+)"'), F.lit(1))
-    named = df.select("id", F.explode(F.array_distinct(quoted)).alias("actor")).join(leaving, "actor").groupBy("id").agg(
-        F.collect_set(F.struct("actor", hidden_name(F.col("actor"), salt, base).alias("hidden"))).alias("_named"))
+    canonical = F.coalesce(F.to_json(F.try_parse_json("object_json")), F.col("object_json"))
+    named = df.select("id", F.explode(_names_in(canonical)).alias("actor")).join(leaving, "actor")
+    # the longest first: an id may begin another one
+    order = F.struct((-F.length("actor")).alias("size"), "actor", hidden_name(F.col("actor"), salt, base).alias("hidden"))
+    found = named.groupBy("id").agg(F.sort_array(F.collect_set(order)).alias("_named"))
 
     def renamed(document: Column, one: Column) -> Column:
-        return F.replace(document, F.concat(F.lit('"'), one["actor"], F.lit('"')), F.concat(F.lit('"'), one["hidden"], F.lit('"')))
+        whole = F.concat(F.lit(r"(?<![\w-])\Q"), one["actor"], F.lit(r"\E(?![\w-])"))
+        return F.regexp_replace(document, whole, one["hidden"])
 
-    return df.join(named, "id", "left").withColumn(
-        "object_json", F.when(F.col("_named").isNull(), F.col("object_json")).otherwise(F.aggregate("_named", F.col("object_json"), renamed))
+    return df.join(found, "id", "left").withColumn(
+        "object_json", F.when(F.col("_named").isNull(), F.col("object_json")).otherwise(F.aggregate("_named", canonical, renamed))
     ).select(df.columns)
 
 
-def state_from_log(activities: DataFrame) -> DataFrame:
-    """Per object: last activity type and time, deletion, creator; one partial aggregation over the log."""
+def partial_state(activities: DataFrame) -> DataFrame:
+    """What a part of the log says of each object, in a form that can be merged with what other parts say."""
     order = F.struct("received_at", "id")
     return activities.filter("object_id is not null").groupBy("object_id").agg(
-        F.max_by("type", order).alias("last_type"),
-        F.max("received_at").alias("last_at"),
+        F.max(F.struct("received_at", "id", "type")).alias("last"),
         (F.count_if(F.col("type") == "Delete") > 0).alias("deleted"),
-        F.min_by("actor", F.when(F.col("type") == "Create", order)).alias("creator"),
+        F.min(F.when(F.col("type") == "Create", F.struct(order.alias("at"), F.col("actor").alias("actor")))).alias("created"),
     )
 
 
+def merged_states(*parts: DataFrame) -> DataFrame:
+    """The partial state of several parts of the log together, in whatever order they come."""
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    return both.groupBy("object_id").agg(F.max("last").alias("last"), F.max("deleted").alias("deleted"), F.min("created").alias("created"))
+
+
+def shown_state(partial: DataFrame) -> DataFrame:
+    """Per object: last activity type and time, deletion, creator."""
+    return partial.select(
+        "object_id", F.col("last.type").alias("last_type"), F.col("last.received_at").alias("last_at"), "deleted",
+        F.col("created.actor").alias("creator"))
+
+
+def state_from_log(activities: DataFrame) -> DataFrame:
+    """Per object: last activity type and time, deletion, creator; one partial aggregation over the log."""
+    return shown_state(partial_state(activities))
+
+
+class StateSnapshots:
+    """Partial states of the log up to some moment, each in a folder named after it.
+
+    The current state is the newest snapshot merged with what arrived since, so only the tail of the log is read. Rows
+    arrive in order of ``received_at``; a moment to take a snapshot at has passed for all of them.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def moments(self) -> list[datetime]:
+        """When there are snapshots of, the newest last. One that was not written to its end does not count."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath() for s in system.listStatus(folder)] if system.exists(folder) else []
+        done = [p.getName() for p in names if system.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(datetime.strptime(name, "before-%Y%m%dT%H%M%S") for name in done if name.startswith("before-"))
+
+    def _folder(self, moment: datetime) -> str:
+        return f"{self.path}/before-{moment:%Y%m%dT%H%M%S}"
+
+    def _up_to(self, activities: DataFrame, end: datetime | None) -> DataFrame:
+        start = max((m for m in self.moments() if end is None or m < end), default=None)
+        if start is not None:
+            activities = activities.filter(F.col("received_at") >= F.lit(start).cast(activities.schema["received_at"].dataType))
+        if end is not None:
+            activities = activities.filter(F.col("received_at") < F.lit(end).cast(activities.schema["received_at"].dataType))
+        tail = partial_state(activities)
+        return tail if start is None else merged_states(self.spark.read.parquet(self._folder(start)), tail)
+
+    def take(self, activities: DataFrame, moment: datetime) -> None:
+        """Write a snapshot of everything that arrived before ``moment`` (a full second), from the one before it and what came since."""
+        if moment not in self.moments():
+            self._up_to(activities, moment).write.mode("overwrite").parquet(self._folder(moment))
+
+    def current(self, activities: DataFrame) -> DataFrame:
+        """The result of :func:`state_from_log`."""
+        return shown_state(self._up_to(activities, None))
+
+
 def with_placeholders(objects: DataFrame) -> DataFrame:
     """Deleted notes that have replies keep their place with a placeholder text.
 

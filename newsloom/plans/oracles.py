@@ -507,6 +507,13 @@ where has_link and not has_date and (doc_id % 5 = 1 or {_at("doc_id*60%43200")}
     "allowed_pages": "select page_id, url page_url from pages where regexp_extract(url, '://([^/?#]*)', 1) like '%.org'",
 }
 
+BODIES["state_from_snapshot"] = BODIES["state_from_log"]
+BODIES["anonymised_documents"] = f"""select id, case when even then '{BASE}/users/' || sha256('pepper' || author) else author end author,
+  content, in_reply_to from (select id, case when kind = 'Note' then owner else '{{"type":"Organization","name":"' || role || '"}}' end author,
+  kind = 'Note' and try_cast(split_part(owner, '/', 2) as bigint) % 2 = 0 even, content, in_reply_to
+  from (select notes.*, role from notes join conversations on notes.id = 'conv/' || conv_id || '/' || turn))"""
+BODIES["expired_pending"] = f"""select link, 'no date for 7 days' reason from feed
+where has_link and not has_date and doc_id % 5 <> 1 and {_at("doc_id*60%43200")} < timestamp '2024-01-05 00:00:00'"""
 BODIES["outbox_postings"] = BODIES["outbox_many"]
 BODIES["refresh_pipeline"] = f"""select o.id, o.source,
   case when not og_enriched and not deleted and has_doc then {_longer('o.name', 'g.title')} else o.name end as name,

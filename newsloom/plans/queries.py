@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -698,6 +698,34 @@ def state_from_log(spark, sf_dir):
     return variants.state_from_log(views.activities(spark, sf_dir))
 
 
+@query
+def state_from_snapshot(spark, sf_dir):
+    """state_from_log from a snapshot of a snapshot, and the rest of the log."""
+    log = views.activities(spark, sf_dir)
+    kept = variants.StateSnapshots(spark, f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}")
+    for moment in (datetime(2024, 1, 10), datetime(2024, 1, 22)):
+        kept.take(log, moment)
+    return kept.current(log)
+
+
+@query
+def anonymised_documents(spark, sf_dir):
+    """Authors with an even number leave the threads; their ids stand escaped in every third document."""
+    shown = views.notes(spark, sf_dir).withColumn("object_json", F.when(
+        F.pmod(F.length("id"), F.lit(3)) == 0, F.replace("object_json", F.lit("/"), F.lit("\\/"))).otherwise(F.col("object_json")))
+    author = _field("attributedTo")
+    leaving = views.notes(spark, sf_dir).select(author.alias("actor")).filter("actor rlike '^users/[0-9]*[02468]$'")
+    hidden = variants.anonymised(shown.select("id", "object_json"), leaving, salt="pepper")
+    return hidden.select("id", author.alias("author"), _field("content").alias("content"), _field("inReplyTo").alias("in_reply_to"))
+
+
+@query
+def expired_pending(spark, sf_dir):
+    """What dated_pending leaves out."""
+    waiting, metadata = _waiting(spark, sf_dir)
+    return variants.expired_pending(waiting, metadata, F.expr("timestamp_ntz'2024-01-12 00:00:00'")).select("link", "reason")
+
+
 @query
 def placeholders(spark, sf_dir):
     shown = variants.with_placeholders(views.board(spark, sf_dir))
@@ -748,15 +776,20 @@ def catalogue_documents(spark, sf_dir):
     )
 
 
-@query
-def dated_pending(spark, sf_dir):
-    """Undated feed items (first seen an hour per number after the origin) against the pages' dates."""
+def _waiting(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     number = F.regexp_extract("link", r"(\d+)$", 1).cast("bigint")
     waiting = feeds.undated_items(views.feed_xml(spark, sf_dir)).withColumn(
         "first_seen", views.minutes_after_origin(number * 60 % 43200)
     )
     page = F.regexp_extract("page_url", r"(\d+)$", 1)
     metadata = _page_metadata(spark, sf_dir).withColumn("page_url", F.concat(F.lit("https://news.example/"), page))
+    return waiting, metadata
+
+
+@query
+def dated_pending(spark, sf_dir):
+    """Undated feed items (first seen an hour per number after the origin) against the pages' dates."""
+    waiting, metadata = _waiting(spark, sf_dir)
     dated, still = variants.dated_pending(waiting, metadata, F.expr("timestamp_ntz'2024-01-12 00:00:00'"))
     return dated.select("link", _ntz("published").alias("published")).unionByName(still.select("link"), allowMissingColumns=True)
 
