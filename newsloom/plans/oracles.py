@@ -507,6 +507,17 @@ where has_link and not has_date and (doc_id % 5 = 1 or {_at("doc_id*60%43200")}
     "allowed_pages": "select page_id, url page_url from pages where regexp_extract(url, '://([^/?#]*)', 1) like '%.org'",
 }
 
+BODIES["atom_dates"] = "select source, link, published, published updated from feed where has_link and has_date"
+BODIES["feed_list"] = """select source as name, 'https://' || source || '.example/rss' url, kind = 3 autodiscover, count(*) n
+from (select lang, source, max(doc_id) % 4 kind from documents group by 1, 2) where kind in (0, 3) group by all"""
+BODIES["outbox_collection"] = f"""select (select count(distinct o.id) from objects o join object_tags t on t.id = o.id where not deleted and tag in {SEARCH}) total_items,
+  cast(row_number() over (order by {_RANK}) - 1 as integer) place, id, like_count likes, strftime(updated, {ISO}) updated_text
+from (select * from {_MATCHES} order by {_RANK} limit 50) where has_doc"""
+BODIES["unreadable_documents"] = """select o.id, o.og_enriched or p.id is not null og_enriched,
+  case when p.id is not null and doc_id % 19 = 0 then 'Fetch/Parse error: no page' end og_enriched_error
+from objects o left join (select id from objects where not og_enriched and not deleted and has_doc and doc_id % 7 <> 0) p on p.id = o.id"""
+BODIES["appended_log"] = "select id, type, actor, object_id, cast(published as date) published_date from activities"
+BODIES["streamed_articles"] = BODIES["upsert_articles"]
 BODIES["state_from_snapshot"] = BODIES["state_from_log"]
 BODIES["anonymised_documents"] = f"""select id, case when even then '{BASE}/users/' || sha256('pepper' || author) else author end author,
   content, in_reply_to from (select id, case when kind = 'Note' then owner else '{{"type":"Organization","name":"' || role || '"}}' end author,

@@ -68,6 +68,16 @@ def outbox_items_flat(spark, sf_dir):
     )
 
 
+@query
+def outbox_collection(spark, sf_dir):
+    """The collection document, taken apart again."""
+    known = views.objects(spark, sf_dir, tags=True)
+    document = search.outbox_document(search.outbox_items(known, SEARCH), search.total_items(known, SEARCH), SEARCH)
+    listed = F.from_json(_field("orderedItems", "document"), "array<struct<id:string,likes:bigint,updated:string>>")
+    return document.select(_field("totalItems", "document").cast("bigint").alias("total_items"), F.posexplode(listed).alias("place", "item")).select(
+        "total_items", "place", "item.id", "item.likes", F.col("item.updated").alias("updated_text"))
+
+
 @query
 def outbox_many(spark, sf_dir):
     return search.outbox_many(views.objects(spark, sf_dir, tags=True), views.searches(spark, sf_dir))
@@ -261,6 +271,27 @@ def rewrite_touched(spark, sf_dir):
     )
 
 
+@query
+def appended_log(spark, sf_dir):
+    """The log appended in two parts, read back by its partition column."""
+    root = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    log = views.activities(spark, sf_dir)
+    for odd in (0, 1):
+        tables.append_activities(log.filter(F.pmod(F.length("id"), F.lit(2)) == odd), root)
+    return tables.read_table(spark, root, "activities").select("id", "type", "actor", "object_id", "published_date")
+
+
+@query
+def streamed_articles(spark, sf_dir):
+    """The article upsert with the versions collected by a stream."""
+    folder = f"{shared_folder(spark)}/articles-{uuid.uuid4().hex}"
+    jobs.stream_upsert_articles(views.edits(spark, sf_dir, stream=True), f"{folder}/versions", f"{folder}/mark").awaitTermination()
+    merged = jobs.compacted_articles(views.objects(spark, sf_dir), f"{folder}/versions")
+    return merged.select(
+        "id", "source", "published", "updated", "like_count", "dislike_count", "tags_enriched", "og_enriched", "deleted",
+        _field("name").alias("name"))
+
+
 @query
 def upsert_scraped(spark, sf_dir):
     scraped = stage(enrichment.scraped_articles(_page_metadata(spark, sf_dir), views.now()))
@@ -400,6 +431,26 @@ def publisher_dim(spark, sf_dir):
     return feeds.with_publisher(sources)
 
 
+@query
+def atom_dates(spark, sf_dir):
+    """Feeds whose items have an atom:updated in place of their date."""
+    xml = F.replace(F.replace("xml", F.lit("<pubDate>"), F.lit("<atom:updated>")), F.lit("</pubDate>"), F.lit("</atom:updated>"))
+    items = feeds.parse_feeds(views.feed_xml(spark, sf_dir).withColumn("xml", xml), atom_dates=True)
+    return items.select("source", "link", _ntz("published").alias("published"), _ntz("updated").alias("updated"))
+
+
+@query
+def feed_list(spark, sf_dir):
+    """Feed lists per language: a feed per source, entries without a name or an address left out."""
+    sources = views.table(spark, sf_dir, "documents").groupBy("lang", "source").agg((F.max("doc_id") % 4).alias("kind"))
+    entry = F.to_json(F.struct(
+        F.when(F.col("kind") == 1, "").otherwise(F.col("source")).alias("name"),
+        F.when(F.col("kind") != 2, F.concat(F.lit("https://"), F.col("source"), F.lit(".example/rss"))).alias("url"),
+        F.when(F.col("kind") == 3, F.lit(True)).alias("autodiscover")))
+    lists = sources.groupBy("lang").agg(F.concat(F.lit("["), F.array_join(F.collect_list(entry), ","), F.lit("]")).alias("feeds"))
+    return feeds.load_feeds(lists).groupBy("name", "url", "autodiscover").agg(F.count("*").alias("n"))
+
+
 # ---- pages -----------------------------------------------------------------------------------------
 
 
@@ -484,6 +535,15 @@ def apply_og(spark, sf_dir):
     )
 
 
+@query
+def unreadable_documents(spark, sf_dir):
+    """Documents cut in the middle wait on; all others are marked as processed."""
+    number = F.regexp_extract("id", r"\d+", 0).cast("bigint")
+    broken = F.when(number % 7 == 0, F.expr("substring(object_json, 1, length(object_json) - 1)")).otherwise(F.col("object_json"))
+    cut = views.objects(spark, sf_dir).withColumn("object_json", broken)
+    return enrichment.enrich_pages(cut, _og_by_article(spark, sf_dir)).select("id", "og_enriched", "og_enriched_error")
+
+
 @query
 def og_field_merge(spark, sf_dir):
     """The field rules on every page against a document with the page's own number as name."""

@@ -265,13 +265,13 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edits(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Later versions of two thirds of the articles and as many new ones: (doc_id, id, source, ...)."""
     number = F.col("doc_id")
     fresh = number % 3 == 0
     shifted = F.when(fresh, number + 1_000_000_000).otherwise(number)
     return (
-        table(spark, sf_dir, "documents")
+        (stream_table if stream else table)(spark, sf_dir, "documents")
         .select(
             _doc(shifted).alias("id"),
             F.concat(F.col("source"), F.lit("-feed")).alias("source"),
