@@ -10,6 +10,7 @@ surely. What a query meets is verified by the cosine in double precision.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,8 @@ from newsloom.llm.components import components
 from newsloom.session import stage
 
 THRESHOLD = 0.9
-CODEWORDS = 64
+FEWEST, MOST = 64, 1024
+"""Codewords of a half. Their number grows with the square root of the number of vectors, so cells keep their size longer."""
 SAMPLE = 8192
 """Bound of the sample that the codebooks are fitted on: the vectors with the smallest hashes of their content."""
 RECALL = 0.98
@@ -111,6 +113,12 @@ class Grid:
         query, first = np.nonzero(rest >= two.min(1)[:, None])
         return query, first, two[query] <= rest[query, first][:, None]
 
+    def sees(self, x: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Whether each query (a row) visits each of the cells (a column)."""
+        one, two = self.halves(x)
+        rest = (one.min(1) + two.min(1) + self.margin)[:, None] - one
+        return (rest[:, first] >= two.min(1)[:, None]) & (two[:, second] <= rest[:, first])
+
 
 def _matrix(column: pa.Array) -> np.ndarray:
     found = column.to_pylist()
@@ -178,9 +186,13 @@ _DEALT = "first long, member_block long, query_block long, query boolean, cells
 _DEALT_NAMES = [c.split()[0] for c in _DEALT.split(", ")]
 
 
-def _verifier(threshold: float):
+def _verifier(grid: Grid, threshold: float):
     def verified(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        """Per query its number of links with this block, and as many links as connect what is linked."""
+        """The number of links of queries and members of this block, and as many links as connect what is linked.
+
+        A link counts for both of its vectors. Where each one's traversal comes by the other's cell, each counts it as a
+        query; where the member's does not, it is counted here for the member too.
+        """
         table = table.combine_chunks()
         query = table["query"].to_numpy()
         ids, size = table["id"].to_numpy(), table["size"].to_numpy()
@@ -189,7 +201,8 @@ def _verifier(threshold: float):
         cells = table["cells"].to_pylist()
         cell = np.array([int.from_bytes(cells[i], "little") for i in m], np.int64)
         bits = np.frombuffer(b"".join(cells[i] for i in q), np.uint8).reshape(len(q), -1)
-        total, root = np.zeros(len(q), np.int64), np.arange(len(m))
+        total, back, root = np.zeros(len(q), np.int64), np.zeros(len(m), np.int64), np.arange(len(m))
+        home = grid.home(x[q])
         a, b = [], []
         for c in np.unique(cell):
             inside = np.flatnonzero(cell == c)
@@ -199,44 +212,65 @@ def _verifier(threshold: float):
                 some = asking[i:i + 512]
                 hit = (x[q[some]] @ x[member].T >= threshold) & (ids[q[some]][:, None] != ids[member])
                 total[some] += hit @ size[member]
-                for row in np.flatnonzero(hit.any(1)):
+                there, here = np.flatnonzero(hit.any(0)), np.flatnonzero(hit.any(1))
+                seen = grid.sees(x[member[there]], home[0][some[here]], home[1][some[here]])
+                back[inside[there]] += (hit[np.ix_(here, there)].T & ~seen) @ size[q[some[here]]]
+                for row in here:
                     met = np.unique(root[inside[hit[row]]])
                     if len(met) > 1:
                         root[np.isin(root, met)] = met[0]
                     a += [int(ids[q[some[row]]])] * len(met)
                     b += ids[m[met]].tolist()
-        some = np.flatnonzero(total)
+        some, more = np.flatnonzero(total), np.flatnonzero(back)
+        counted = [*ids[q[some]].tolist(), *ids[m[more]].tolist()]
         return pa.table({
-            "a": pa.array(ids[q[some]].tolist() + a, pa.int64()), "b": pa.array([None] * len(some) + b, pa.int64()),
-            "links": pa.array(total[some].tolist() + [0] * len(a), pa.int64())})
+            "a": pa.array(counted + a, pa.int64()), "b": pa.array([None] * len(counted) + b, pa.int64()),
+            "links": pa.array([*total[some].tolist(), *back[more].tolist(), *[0] * len(a)], pa.int64())})
 
     return verified
 
 
+def codewords_for(n: int) -> int:
+    """A power of two near a quarter of the square root of ``n``, within FEWEST and MOST."""
+    return min(max(1 << max(round(math.log2(max(n, 1)) / 2) - 2, 0), FEWEST), MOST)
+
+
 def near_vectors(
-    vectors: DataFrame, threshold: float = THRESHOLD, codewords: int = CODEWORDS, sample: int = SAMPLE,
+    vectors: DataFrame, threshold: float = THRESHOLD, codewords: int | None = None, sample: int = SAMPLE,
     recall: float = RECALL, block: int = BLOCK,
 ) -> DataFrame:
     """Per row of (vec_id, embedding): vec_id, n_links, component_id, kept.
 
-    Two vectors are linked when their cosine is at least ``threshold``. NULL, empty and zero vectors, vectors with NULL
-    or non-finite components, rows without an id, and vectors of another width than most of the sample link with nothing
-    and are kept. Equal directions are one vector of that multiplicity, so copies are counted and not compared. Of
+    Two vectors of one width are linked when their cosine is at least ``threshold``. NULL, empty and zero vectors, vectors
+    with NULL or non-finite components and rows without an id link with nothing and are kept. Each width has a grid of its
+    own. Equal directions are one vector of that multiplicity, so copies are counted and not compared. Of
     several vectors of one id the one with the smallest digest counts. Repeated rows each come back.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     units = stage(rows.mapInArrow(_units, _UNIT), "units")
     valid = units.filter("vector IS NOT NULL AND vec_id IS NOT NULL")
     chosen = valid.groupBy("vec_id").agg(F.min(F.struct("digest", "vector")).alias("v"))
-    groups = chosen.groupBy("v.digest").agg(
-        F.min("vec_id").alias("id"), F.count("*").alias("size"), F.first("v.vector").alias("vector"))
-    some = [np.frombuffer(r["vector"]) for r in groups.orderBy("digest").limit(sample).select("vector").collect()]
-    widths = [len(v) for v in some]
-    width = max(set(widths), key=lambda w: (widths.count(w), w)) if widths else 0
-    points = stage(groups.filter(F.octet_length("vector") == 8 * width), "points")
-    grid = Grid(np.array([v for v in some if len(v) == width]).reshape(-1, width), codewords, threshold, recall) if width else None
-    if grid is None:
+    groups = stage(chosen.groupBy("v.digest").agg(
+        F.min("vec_id").alias("id"), F.count("*").alias("size"), F.first("v.vector").alias("vector")), "points")
+    # A row per width of vectors.
+    widths = {r["width"] // 8: r["n"] for r in groups.groupBy(F.octet_length("vector").alias("width")).agg(F.count("*").alias("n")).collect()}
+    named = None
+    for width in sorted(widths):
+        points = groups.filter(F.octet_length("vector") == 8 * width)
+        found = _linked(points, codewords or codewords_for(widths[width]), threshold, sample, recall, block)
+        named = found if named is None else named.unionByName(found)
+    if named is None:
         return units.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    known = chosen.select("vec_id", "v.digest").join(named, "digest").select("vec_id", "digest", "n_links", "component_id")
+    return units.join(known, ["vec_id", "digest"], "left").select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
+        F.coalesce("component_id", "vec_id").eqNullSafe(F.col("vec_id")).alias("kept"))
+
+
+def _linked(points: DataFrame, codewords: int, threshold: float, sample: int, recall: float, block: int) -> DataFrame:
+    """(digest, n_links, component_id) for the points (digest, id, size, vector) of one width."""
+    some = points.orderBy("digest").limit(sample).select("vector").collect()
+    grid = Grid(np.array([np.frombuffer(r["vector"]) for r in some]), codewords, threshold, recall)
     # A row per first codeword, of which there are ``codewords``.
     load = points.select("vector").mapInArrow(_load(grid), "first long, members long, queries long").groupBy("first").agg(
         F.sum("members").alias("members"), F.sum("queries").alias("queries")).collect()
@@ -244,12 +278,8 @@ def near_vectors(
     for r in load:
         blocks[:, r["first"]] = -(-r["members"] // block), -(-r["queries"] // block)
     found = stage(points.mapInArrow(_dealt(grid, *blocks), _DEALT).groupBy("first", "member_block", "query_block").applyInArrow(
-        _verifier(threshold), "a long, b long, links long"), "vector-links")
+        _verifier(grid, threshold), "a long, b long, links long"), "vector-links")
     links = found.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     joined = components(found.filter("b IS NOT NULL").select("a", "b")).select(F.col("node").alias("id"), "component")
-    named = points.select("digest", "id", "size").join(links, "id", "left").join(joined, "id", "left").select(
+    return points.select("digest", "id", "size").join(links, "id", "left").join(joined, "id", "left").select(
         "digest", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    known = chosen.select("vec_id", "v.digest").join(named, "digest").select("vec_id", "digest", "n_links", "component_id")
-    return units.join(known, ["vec_id", "digest"], "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
-        F.coalesce("component_id", "vec_id").eqNullSafe(F.col("vec_id")).alias("kept"))

@@ -96,19 +96,33 @@ def records(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, bytes]]:
         del buffer[:end + 8 + length]
 
 
-def inflated(source, size: int = READ) -> Iterator[bytes]:
-    """The content of a gzip file of one or many members, piece by piece."""
-    engine = zlib.decompressobj(_GZIP)
+def inflated(source, name: str = "archive", size: int = READ) -> Iterator[bytes]:
+    """The content of a gzip file of one or many members, piece by piece; zeros after the last member are padding.
+
+    A file that is cut off, or has something else between members, is an error: what is missing can't be told.
+    """
+    engine = None
     while data := source.read(size):
         while data:
-            while data:
-                yield engine.decompress(data, size)
-                data = engine.unconsumed_tail
-            data = engine.unused_data
-            if engine.eof:
+            if engine is None:
+                data = data.lstrip(b"\0")
+                if not data:
+                    break
                 engine = zlib.decompressobj(_GZIP)
-    if piece := engine.flush():
-        yield piece
+            try:
+                while data and not engine.eof:
+                    if piece := engine.decompress(data, size):
+                        yield piece
+                    data = engine.unconsumed_tail or engine.unused_data
+            except zlib.error as error:
+                raise ValueError(f"{name}: not a gzip file, or damaged: {error}") from error
+            if engine.eof:
+                engine = None
+    if engine is not None:
+        while piece := engine.flush(size):
+            yield piece
+        if not engine.eof:
+            raise ValueError(f"{name}: cut off inside a gzip member")
 
 
 class _Stream:
@@ -191,7 +205,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                 with (store.open_input_stream(path, compression=None) as source,
                       store.open_output_stream(f"{target}.warc.gz", compression=None) as out,
                       store.open_output_stream(f"{target}.index", compression=None) as index):
-                    for head, block in records(inflated(source)):
+                    for head, block in records(inflated(source, path)):
                         engine = zlib.compressobj(6, zlib.DEFLATED, _GZIP)
                         member = engine.compress(head + b"\r\n\r\n" + block + b"\r\n\r\n") + engine.flush()
                         fields = parsed(head)

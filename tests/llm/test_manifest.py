@@ -1,6 +1,9 @@
-"""The Merkle manifest, hard negatives and license scan against plain loops; the digest index; clashing columns."""
+"""The Merkle manifest, hard negatives and license scan against plain loops; the digest index, vectors, archives."""
 
+import gzip
+import io
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -8,7 +11,9 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import hard_negatives as hn, licenses, merkle
 from newsloom.llm.exact_dedup import DigestIndex, exact_dedup, kept_documents
+from newsloom.llm.multi_index import codewords_for, near_vectors
 from newsloom.llm.substring import without_repeats
+from newsloom.llm.warc import inflated
 from tests.llm import brute
 
 CLASHING = ("n", "word", "key", "place", "size", "path", "leaf", "digest", "uid", "part", "score", "rank", "asks", "labels", "spans")
@@ -197,3 +202,51 @@ def test_columns_with_internal_names_stay(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
     for result in (kept, without_repeats(docs)):
         assert all(r[n] == f"{n}{r['doc_id']}" for r in result.collect() for n in names)
+
+
+# ---- vectors and archives --------------------------------------------------------------------------
+
+
+def test_vectors_of_several_widths(spark):
+    """Each width is indexed; vectors of different widths don't meet."""
+    r = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in r.normal(size=8)]) for i in range(300)]
+    rows += [(1000, [1.0, 2.0, 3.0]), (1001, [2.0, 4.0, 6.0]), (1002, [1.0, 2.0, 3.1]), (1003, [5.0]), (1004, [7.0]), (1005, [-1.0]), (1006, []), (1007, None)]
+    rows += [(2000 + i, [float(x) for x in v]) for i, v in enumerate(r.normal(size=(40, 17)))]
+    found = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=1.0)
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in found.collect()), key=str)
+    assert got == brute.vectors(rows)
+    assert [g[1:] for g in got if g[0] in (1000, 1001, 1002)] == [(2, 1000)] * 3 and (1004, 1, 1003) in got
+
+
+def test_a_link_counts_for_both_of_its_vectors(spark):
+    """Pairs at the threshold, of which one side's traversal alone comes by many."""
+    r = np.random.default_rng(2)
+    one = r.normal(size=(1500, 64))
+    one /= np.linalg.norm(one, axis=1)[:, None]
+    aside = r.normal(size=one.shape)
+    aside -= (aside * one).sum(1)[:, None] * one
+    aside /= np.linalg.norm(aside, axis=1)[:, None]
+    two = 0.9005 * one + np.sqrt(1 - 0.9005**2) * aside
+    rows = [(2 * i + k, [float(x) for x in v]) for i, pair in enumerate(zip(one, two, strict=True)) for k, v in enumerate(pair)]
+    found = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=0.8).collect()
+    links, names = {r["vec_id"]: r["n_links"] for r in found}, {r["vec_id"]: r["component_id"] for r in found}
+    assert all(links[2 * i] == links[2 * i + 1] == (names[2 * i + 1] == 2 * i) for i in range(1500))
+    assert 0.8 * 1500 < sum(links.values()) / 2 < 1500
+
+
+def test_codebooks_grow_with_the_table():
+    assert [codewords_for(n) for n in (0, 1, 50_000, 10**6, 10**9)] == [64, 64, 64, 256, 1024]
+
+
+def test_archives_that_are_cut_off_are_refused():
+    body = bytes(range(256)) * 50
+    members = b"".join(gzip.compress(body[i:i + 700]) for i in range(0, len(body), 700))
+    engine = zlib.compressobj(6, zlib.DEFLATED, 31)
+    at_a_flush = engine.compress(body) + engine.flush(zlib.Z_SYNC_FLUSH)
+    for size in (1, 50, 1 << 16):
+        for whole in (gzip.compress(body), members, members + b"\0" * 999, b""):
+            assert b"".join(inflated(io.BytesIO(whole), "f", size)) == (body if whole else b"")
+        for damaged in (members[:-3], members[:40], members + b"rest", at_a_flush, b"no gzip"):
+            with pytest.raises(ValueError, match="the-file"):
+                b"".join(inflated(io.BytesIO(damaged), "the-file", size))
