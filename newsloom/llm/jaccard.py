@@ -23,6 +23,8 @@ from newsloom.llm.packed import (
 from newsloom.session import stage
 
 SHINGLE = 5
+SLICE = 1 << 20
+"""Bytes of text whose shingles a task holds at once."""
 BLOCK = 1024
 _POSTINGS, _DOCS, _COUNTS = 0, 1, 2
 _SETS = "id long, n int, size long, shingles binary"
@@ -96,7 +98,7 @@ def _scan(parts: int):
     """Every document's size and set keys, and the postings that can show whether its set may have a partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             sets = Sets(batch["text"])
             absent = batch["doc_id"].is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
             home = int(mix(np.bitwise_xor.reduce(sets.key, keepdims=True).view(_U))[0] % _U(parts))  # any part: all alike
@@ -163,7 +165,7 @@ def _unpacked_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices(batches, size=SLICE):
         sets = Sets(batch["text"])
         good = np.flatnonzero((sets.key == batch["key"].to_numpy()) & (sets.key2 == batch["key2"].to_numpy()))
         if len(good):
