@@ -15,16 +15,23 @@ from newsloom.llm.toxicity import without_toxic
 from newsloom.session import ship_package, stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+ARROW_ROWS = "2000"
+"""Rows of an Arrow batch: whole texts are long, and batches lie in memory on both sides of each worker."""
+
+
+def _ready(spark: SparkSession) -> SparkSession:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return ship_package(spark)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels outside its held-out fold, does not reject."""
-    return without_toxic(docs, ship_package(spark).read.parquet(f"{sf_dir}/labels.parquet"))
+    return without_toxic(docs, _ready(spark).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
-    index = DigestIndex(ship_package(spark))
+    index = DigestIndex(_ready(spark))
     kept = kept_documents(docs, index)
     index.drop()
     return kept
@@ -32,13 +39,13 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked shingle sets."""
-    ship_package(spark)
+    _ready(spark)
     return without_near_copies(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier place already has; ``n_chars`` follows the text."""
-    ship_package(spark)
+    _ready(spark)
     shorter = without_repeats(docs)
     if "n_chars" not in docs.columns:
         return shorter
@@ -47,7 +54,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of powers of two of tokens, each a sequence with its token ids."""
-    ship_package(spark)
+    _ready(spark)
     return packed_sequences(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 
