@@ -61,6 +61,19 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
+def _groups(docs: DataFrame, index: DigestIndex) -> tuple[DataFrame, DataFrame]:
+    """The rows' (doc_id, digest), and a row per text (digest, group_size, keep_id); the batch is in the index then.
+
+    Both are written out: rows meet their text in a join of two plain exchanges, of which AQE splits the hot side.
+    """
+    digests = stage(docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest")
+    ), "digests")
+    index.add(digests)
+    sizes = digests.groupBy("digest").agg(F.count("*").alias("group_size"))
+    return digests, stage(sizes.join(index.read(), "digest"), "groups")
+
+
 def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """Each row of (doc_id, text) with the decision about it: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -69,14 +82,8 @@ def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
     batch. Repeated rows with the id that stays are all kept; a NULL id stays only where no equal text has an id.
     Other columns are ignored.
     """
-    digests = stage(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest")
-    ), "digests")
-    index.add(digests)
-    groups = digests.groupBy("digest").agg(F.count("*").alias("group_size"))
-    # a row per text, written out: the rows then meet it in a join of two plain exchanges, of which AQE splits the hot side
-    found = stage(groups.join(index.read(), "digest"), "groups")
-    return digests.join(found, "digest").select(
+    digests, groups = _groups(docs, index)
+    return digests.join(groups, "digest").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
@@ -87,8 +94,7 @@ def kept_documents(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
     The decisions are written out, so the index is not needed any more when this returns.
     """
-    decided = stage(exact_dedup(docs, index).filter("kept").select(
-        F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest")).distinct(), "kept")
+    decided = _groups(docs, index)[1].select(F.col("keep_id").alias("id"), F.lower(F.hex("digest")).alias("digest"))
     # the input's own columns go by number meanwhile, so none of them can clash
     numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     doc_id, text = (F.col(f"c{docs.columns.index(name)}") for name in ("doc_id", "text"))
