@@ -45,12 +45,17 @@ def _padded(words: Words, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return out, at - lead, words.doc
 
 
+def _home(name: np.ndarray, parts: int) -> int:
+    """The partition where a slice's answers meet. Names are task and number, so they are mixed first."""
+    return int(mix(name.astype(_U))[0] % _U(parts))
+
+
 def _sent(parts: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for number, batch in enumerate(slices(batches)):
             name = np.array([task << 24 | number], np.int64)
-            home = int(name[0] * 7919 % parts)
+            home = _home(name, parts)
             words = Words(batch["text"])
             absent = batch["doc_id"].is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
             yield rows([home], [_DOCS], [pack(name, ids_of(batch), absent, words.counts.astype(np.int64))])
@@ -127,7 +132,7 @@ def _counted(parts: int, order: int):
             for kind, name, _, _, _, owner, count in pieces:
                 mine = value[to:to + len(owner)]
                 to += len(owner)
-                home = int(name[0] * 7919 % parts)
+                home = _home(name, parts)
                 if kind == _HOT:
                     yield rows([home], [_ANSWERS], [pack(name, np.array([size]), owner.astype(np.uint32), mine)])
                     continue

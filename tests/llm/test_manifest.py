@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.llm import hard_negatives as hn, licenses, merkle
+from newsloom.llm.backoff import _home
 from newsloom.llm.exact_dedup import DigestIndex, exact_dedup, kept_documents
 from newsloom.llm.multi_index import codewords_for, near_vectors
 from newsloom.llm.substring import without_repeats
@@ -250,3 +251,10 @@ def test_archives_that_are_cut_off_are_refused():
         for damaged in (members[:-3], members[:40], members + b"rest", at_a_flush, b"no gzip"):
             with pytest.raises(ValueError, match="the-file"):
                 b"".join(inflated(io.BytesIO(damaged), "the-file", size))
+
+
+@pytest.mark.parametrize("parts", [32, 256, 2048, 211])
+def test_slices_are_at_home_everywhere(parts):
+    homes = [_home(np.array([task << 24 | number], np.int64), parts) for task in range(200) for number in range(64)]
+    sizes = np.bincount(homes, minlength=parts)
+    assert sizes.max() < 12_800 / parts * 4 + 12
