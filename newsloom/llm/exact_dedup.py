@@ -69,9 +69,10 @@ def _groups(docs: DataFrame, index: DigestIndex) -> tuple[DataFrame, DataFrame]:
     digests = stage(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest")
     ), "digests")
-    index.add(digests)
-    sizes = digests.groupBy("digest").agg(F.count("*").alias("group_size"))
-    return digests, stage(sizes.join(index.read(), "digest"), "groups")
+    # Reduced and written before the index is asked: Spark would move an anti join below the aggregate, to all rows of a text.
+    sizes = stage(digests.groupBy("digest").agg(F.count("*").alias("group_size"), F.min("doc_id").alias("doc_id")), "sizes")
+    index.add(sizes)
+    return digests, stage(sizes.drop("doc_id").join(index.read(), "digest"), "groups")
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
