@@ -168,13 +168,14 @@ def decide(
     """
     once = latest_per_key(requests, "request_id", [F.col(c) for c in ["received_at", *sorted(set(requests.columns) - {"received_at", "request_id"})]])
     checked = keep(dispatch(once))
-    stored, facts = known_objects(checked, objects, base, keep)
+    stored, known = known_objects(checked, objects, base, keep)
+    facts = keep(known)
     made = F.when(F.col("malformed").isNull() & _is("Create"), _made_id(base))
     handled = stored.select(F.col("id").alias("made_id"), F.lit(True).alias("stored"))
     seen = checked.join(_packed(facts), "lookup_id", "left").withColumn("made_id", made).join(handled, "made_id", "left").drop("made_id")
     ok = F.col("malformed").isNull()
     reaction = F.coalesce(F.col("type").isin(*REACTIONS), F.lit(False))
-    flagged = seen.withColumn("attempt", F.coalesce(ok & reaction & _alive("known"), F.lit(False)))
+    flagged = keep(seen.withColumn("attempt", F.coalesce(ok & reaction & _alive("known"), F.lit(False))))
     most = hottest(checked.filter(ok & reaction), ["actor", "lookup_id"])
     decided = _with_previous_reaction(flagged, likes, most)
     owner = F.coalesce(F.col("known.owner") == F.col("actor"), F.lit(False))
