@@ -10,6 +10,8 @@ from newsloom.operators.objects import apply_tags, live
 
 TOP_N = 16
 MIN_LENGTH = 3
+PART_CHARS = 4_000_000
+"""Characters of text in a partition: its words, counted and ranked, take some sixty times as many bytes."""
 
 # Words never used as tags.
 STOPWORDS = [
@@ -45,14 +47,21 @@ def object_texts(objects: DataFrame) -> DataFrame:
     return bare.select("id", unescape(F.col("text")).alias("text"))
 
 
-def lemmas(texts: DataFrame, lexicon: DataFrame | None = None, stopwords=STOPWORDS) -> DataFrame:
+def text_parts(texts: DataFrame, column: str = "text", chars: int = PART_CHARS) -> int:
+    """Partitions (two at least) in which the texts of ``column`` lie with about ``chars`` characters each."""
+    return 2 + (texts.agg(F.sum(F.length(column))).first()[0] or 0) // chars
+
+
+def lemmas(texts: DataFrame, lexicon: DataFrame | None = None, stopwords=STOPWORDS, parts: int | None = None) -> DataFrame:
     """(id, lemma, n, first): accepted base forms of each text with their count and first position.
 
     One shuffle on the id; counting and ranking reuse that partitioning, because a text is one row and
-    its words never leave its partition. ``lexicon`` (token, baseform, class) maps tokens to base forms and
-    drops unknown tokens; without it every token is its own base form.
+    its words never leave its partition. There are as many partitions as the texts are long, so that a task's memory
+    does not follow the table; ``parts`` is their number where the caller has it at less cost than :func:`text_parts`.
+    ``lexicon`` (token, baseform, class) maps tokens to base forms and drops unknown tokens; without it every token is
+    its own base form.
     """
-    by_object = texts.repartition(F.col("id"))
+    by_object = texts.repartition(text_parts(texts) if parts is None else parts, F.col("id"))
     tokens = by_object.select("id", F.posexplode(words(F.col("text"))).alias("position", "token"))
 
     def accepted(df: DataFrame, form: str) -> DataFrame:
@@ -98,7 +107,8 @@ def tag_objects(
 ) -> DataFrame:
     """(id, tags) for every pending object; a text without usable words gives an empty list."""
     pending = pending_tags(objects, batch)
-    tags = top_tags(lemmas(object_texts(pending), lexicon), n)
+    # a document is at least as long as its text, and need not be read for it
+    tags = top_tags(lemmas(object_texts(pending), lexicon, parts=text_parts(pending, "object_json")), n)
     return pending.select("id").join(tags, "id", "left")
 
 

@@ -63,3 +63,15 @@ def test_pending_rows_are_always_marked_and_wrapped_objects_unwrapped(spark):
     assert [r.id for r in tagging.pending_tags(objects, 2).collect()] == ["a", "b"]
     liked = tagging.with_likes_tag(tagging.with_likes_tag(objects)).filter("id = 'd'").first()
     assert liked.tags == ["old", "likes:3"]
+
+
+def test_partitions_follow_the_length_of_the_texts(spark):
+    """Where a table is larger, there are more tasks and not larger ones; repeated and NULL ids count as before."""
+    docs = spark.createDataFrame([("a", "sana " * 40), ("a", "sana toinen"), (None, "kolmas"), ("b", None)], "id string, text string")
+    assert tagging.text_parts(docs, chars=10) == 23 and tagging.text_parts(docs) == 2 and tagging.text_parts(docs.limit(0)) == 2
+    found = sorted(tuple(r) for r in tagging.lemmas(docs, parts=5).fillna("-").collect())
+    assert found == sorted(tuple(r) for r in tagging.lemmas(docs).fillna("-").collect())
+    assert found == [("-", "kolmas", 1, 0), ("a", "sana", 41, 0), ("a", "toinen", 1, 1)]
+    long = spark.range(1600).select(F.col("id").cast("string").alias("id"), F.repeat(F.lit("sana "), 5000).alias("text"))
+    plan = tagging.lemmas(long)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id#" in plan and ", 12)" in plan and "REPARTITION_BY_NUM" in plan
