@@ -15,7 +15,7 @@ from newsloom.llm.toxicity import without_toxic
 from newsloom.session import ship_package, stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-ARROW_ROWS = "2000"
+ARROW_ROWS = "500"
 """Rows of an Arrow batch: whole texts are long, and batches lie in memory on both sides of each worker."""
 
 
