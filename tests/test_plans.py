@@ -4,7 +4,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from newsloom.operators import objects as ob, reactions
+from newsloom.operators import objects as ob, reactions, threads
 from newsloom.operators.merge import S, merge
 
 
@@ -69,3 +69,14 @@ def test_counters_are_reduced_before_the_shuffle_and_filters_reach_the_scan(spar
     assert "object_json" not in plan
     plan = reactions.last_activity(stored)._jdf.queryExecution().executedPlan().toString()
     assert "partial_max(received_at" in plan and "LeftAnti" in plan
+
+
+def test_thread_facts_are_read_before_they_are_shuffled(spark):
+    objects = spark.createDataFrame(
+        [("a", False, '{"type":"Article"}'), ("n", False, '{"type":"Note","inReplyTo":"a"}'), ("x", True, None)], "id string, deleted boolean, object_json string")
+    facts = threads.thread_facts(objects, spark.createDataFrame([("n",), ("x",), ("gone",)], "id string"))
+    with_kind = threads.with_parent_kind(facts, objects)
+    for df, read in ((facts, "from_json"), (with_kind, "get_json_object")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Join") < plan.index(read)
+    assert sorted((r["id"], r["kind"], r["parent_kind"]) for r in with_kind.collect()) == [("n", "Note", "Article"), ("x", None, None)]
