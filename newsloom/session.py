@@ -70,12 +70,12 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a table in the shared folder and continue from there.
 
     The table survives lost executors and cuts the lineage, and its real size lets Spark choose the joins
-    that follow.
+    that follow. It is written once and read a few times, so it is packed with zstd.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _staged.append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import objects as ob, reactions, threads
 from newsloom.operators.merge import S, merge
+from newsloom.session import stage
 
 
 @contextmanager
@@ -80,3 +81,9 @@ def test_thread_facts_are_read_before_they_are_shuffled(spark):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.index("Join") < plan.index(read)
     assert sorted((r["id"], r["kind"], r["parent_kind"]) for r in with_kind.collect()) == [("n", "Note", "Article"), ("x", None, None)]
+
+
+def test_staged_tables_are_packed(spark, tmp_path):
+    staged = stage(spark.range(10).selectExpr("id"), "packed")
+    assert staged.inputFiles() and all(name.endswith(".zstd.parquet") for name in staged.inputFiles())
+    assert staged.count() == 10
