@@ -149,7 +149,7 @@ def _with_previous_reaction(rows: DataFrame, likes: DataFrame, most: int) -> Dat
     Other rows go along under keys of their own, so one pass serves all.
     """
     keyed = rows.withColumns({
-        "_by": F.when(F.col("attempt"), F.col("actor")), "_on": F.when(F.col("attempt"), F.col("lookup_id")).otherwise(F.col("request_id"))})
+        "_by": F.when(F.col("attempt"), F.col("actor")), "_on": F.when(F.col("attempt"), F.col("target_id")).otherwise(F.col("request_id"))})
     ordered = with_previous(keyed, ["_by", "_on"], "received_at", "request_id", "type", "before", most)
     stored = likes.select(F.col("actor").alias("_by"), F.col("object_id").alias("_on"), F.col("reaction_type").alias("stored_reaction"))
     return ordered.join(stored, ["_by", "_on"], "left").withColumn(
@@ -175,14 +175,11 @@ def decide(
     seen = checked.join(_packed(facts), "lookup_id", "left").withColumn("made_id", made).join(handled, "made_id", "left").drop("made_id")
     ok = F.col("malformed").isNull()
     reaction = F.coalesce(F.col("type").isin(*REACTIONS), F.lit(False))
-    flagged = keep(seen.withColumn("attempt", F.coalesce(ok & reaction & _alive("known"), F.lit(False))))
-    most = hottest(checked.filter(ok & reaction), ["actor", "lookup_id"])
-    decided = _with_previous_reaction(flagged, likes, most)
+    attempt = F.coalesce(ok & reaction & _alive("known"), F.lit(False))
     owner = F.coalesce(F.col("known.owner") == F.col("actor"), F.lit(False))
     reason = (
         F.when(~ok, F.col("malformed"))
-        .when(reaction & ~F.col("attempt"), "target object not found or deleted")
-        .when(reaction & F.coalesce(F.col("previous") == F.col("type"), F.lit(False)), "already_reacted")
+        .when(reaction & ~attempt, "target object not found or deleted")
         .when(_is("Create") & F.coalesce("stored", F.lit(False)), "already_created")
         .when(_is("Create") & ~_alive("known"), NO_PARENT)
         .when(_is("Create"), thread_reason("known"))
@@ -191,6 +188,16 @@ def decide(
         .when(_is("Update") & ~_alive("known"), "object not found or deleted")
         .when((_is("Delete") | _is("Update")) & ~owner, "not the owner")
     )
+    # all but the reaction before is known here, so the facts of the objects need not go through its shuffle
+    flagged = keep(seen.select(
+        "request_id", "type", "actor", "object_id", "target_id", "object_json", "received_at", "in_reply_to",
+        attempt.alias("attempt"), reason.alias("_reason"), F.when(_is("Create"), thread_root("known")).alias("_root"),
+        F.col("known.kind").alias("target_kind"),
+    ))
+    most = hottest(checked.filter(ok & reaction), ["actor", "lookup_id"])
+    decided = _with_previous_reaction(flagged, likes, most)
+    repeated = F.col("attempt") & F.coalesce(F.col("previous") == F.col("type"), F.lit(False))
+    reason = F.when(repeated, "already_reacted").otherwise(F.col("_reason"))
     accepted = F.col("reason").isNull()
     status = (
         F.when(accepted & (reaction | _is("Create")), 201)
@@ -209,8 +216,7 @@ def decide(
             "result_id",
             F.when(accepted, F.when(_is("Create"), comment_id(kind, actor, request, base)).otherwise(F.col("target_id"))),
         )
-        .withColumn("thread_root", F.when(accepted & _is("Create"), thread_root("known")))
-        .withColumn("target_kind", F.col("known.kind"))
+        .withColumn("thread_root", F.when(accepted, F.col("_root")))
         .select(
             "request_id", "type", "actor", "object_id", "target_id", "object_json", "received_at", "status", "reason",
             "accepted", "previous", "activity_id", "result_id", "in_reply_to", "thread_root", "target_kind",

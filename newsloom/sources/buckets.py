@@ -59,7 +59,7 @@ class BucketTable:
         done = stage(rows.select(*names).withColumn("bucket", self.bucket(F.col(self.key))), "buckets")
         # the hint lets AQE split a folder with a large share of the rows
         laid_out = done.hint("rebalance", "bucket").sortWithinPartitions("bucket", self.key)
-        laid_out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        laid_out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path, compression="zstd")
         filled = {r[0] for r in done.select("bucket").distinct().collect()}
         for b in set(buckets) - filled:
             folder, system = self._system(f"{self.path}/bucket={b}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import urls
 from newsloom.operators import activities as act, threads
+from newsloom.session import stage
 from tests.test_merge import _objects
 
 START = datetime(2026, 1, 1)
@@ -224,3 +225,26 @@ def test_repeated_and_replayed_requests(spark):
     assert [(r.status, r.reason, r.accepted) for r in again.decided.collect()] == [(200, "already_created", False)]
     assert again.activities.count() == 0
     assert again.objects.filter(F.col("id") == made).collect() == first
+
+
+def test_facts_of_objects_stay_out_of_the_reaction_shuffle(spark):
+    """What is written out before reactions are put in order has no looked-up object, and says the same."""
+    requests = spark.createDataFrame([
+        ("r1", "Like", "u1", "A", None, START), ("r2", "Like", "u1", "A", None, START + timedelta(1)), ("r3", "Like", "u1", "gone", None, START),
+        ("r4", "Create", "u1", None, '{"type":"Note","inReplyTo":"n1"}', START), ("r5", "Delete", "u1", "n1", None, START), ("r6", None, "u1", "A", None, START),
+        ("r7", "Dislike", "u0", "A", None, START)], REQUEST)
+    likes = spark.createDataFrame([("u0", "A", "Dislike")], "actor string, object_id string, reaction_type string")
+    written = []
+
+    def keep(df):
+        written.append(df.columns)
+        return stage(df)
+
+    decided = act.decide(requests, _objects(spark, stored(spark)), likes, keep=keep)
+    assert any("attempt" in columns for columns in written) and not any("known" in columns for columns in written)
+    found = {r.request_id: (r.status, r.reason, r.thread_root, r.target_kind) for r in decided.collect()}
+    assert found == {
+        "r1": (201, None, None, "Article"), "r2": (200, "already_reacted", None, "Article"),
+        "r3": (404, "target object not found or deleted", None, "Article"), "r4": (201, None, "A", "Note"),
+        "r5": (403, "not the owner", None, "Note"), "r6": (400, "missing type or object", None, None),
+        "r7": (200, "already_reacted", None, "Article")}

@@ -158,3 +158,9 @@ def test_a_batch_delivered_again_changes_nothing(spark, tmp_path):
     assert seen == [([("r1", 201)], []), ([("r2", 201)], []), ([("r3", 201)], [("r1", 201), ("r2", 201)])]
     assert len(logged) == len(set(logged)) == 3
     assert rows(likes.select("actor", "reaction_type")) == [("u", "Dislike"), ("v", "Like")]
+
+
+def test_folders_are_packed(spark, tmp_path):
+    table = BucketTable(spark, str(tmp_path / "t"), "k", "k string, v bigint", buckets=4)
+    table.replace(spark.range(50).selectExpr("cast(id as string) k", "id v"), [0, 1, 2, 3])
+    assert files(table.path) and all(name.endswith(".zstd.parquet") for name in files(table.path))
