@@ -20,7 +20,7 @@ from newsloom.operators.merge import latest_per_key
 from newsloom.operators.objects import apply_updates, soft_delete, upsert_notes
 from newsloom.operators.ordered import hottest, with_previous
 from newsloom.operators.threads import NO_PARENT, thread_facts, thread_reason, thread_root, with_parent_kind
-from newsloom.session import stage
+from newsloom.session import packed
 
 REACTIONS = ("Like", "Dislike")
 EDITABLE = ("name", "summary", "content")
@@ -120,7 +120,7 @@ def _new_notes(creates: DataFrame, known: DataFrame, base: str) -> DataFrame:
 
 
 def known_objects(
-    checked: DataFrame, objects: DataFrame, base: str = BASE, keep: Stage = stage
+    checked: DataFrame, objects: DataFrame, base: str = BASE, keep: Stage = packed
 ) -> tuple[DataFrame, DataFrame]:
     """The stored objects the batch refers to; and with those the batch itself makes, all with creation and deletion moments.
 
@@ -157,7 +157,7 @@ def _with_previous_reaction(rows: DataFrame, likes: DataFrame, most: int) -> Dat
 
 
 def decide(
-    requests: DataFrame, objects: DataFrame, likes: DataFrame, base: str = BASE, keep: Stage = stage
+    requests: DataFrame, objects: DataFrame, likes: DataFrame, base: str = BASE, keep: Stage = packed
 ) -> DataFrame:
     """Requests with status, reason, accepted and, for accepted ones, the ids they produce.
 
@@ -376,7 +376,7 @@ class Outcome:
 
 
 def apply_activities(
-    requests: DataFrame, objects: DataFrame, likes: DataFrame, base: str = BASE, keep: Stage = stage
+    requests: DataFrame, objects: DataFrame, likes: DataFrame, base: str = BASE, keep: Stage = packed
 ) -> Outcome:
     """Apply a batch of requests to objects and reactions."""
     return applied(keep(decide(requests, objects, likes, base, keep)), objects, likes)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.functions.urls import BASE
 from newsloom.operators.activities import Outcome, Stage, applied, decide
-from newsloom.session import stage
+from newsloom.session import packed
 from newsloom.sources.buckets import BucketTable
 
 ANSWERS = "request_id string, status int, reason string, activity_id string, result_id string"
@@ -59,7 +59,7 @@ class RequestIndex:
 
     def answered(self, ids: DataFrame) -> DataFrame:
         """The stored answers to ids (request_id, distinct)."""
-        maybe = stage(self.maybe_known(ids), "maybe-known")
+        maybe = packed(self.maybe_known(ids), "maybe-known")
         return self.answers.read(self.answers.touched(maybe)).join(maybe, "request_id", "left_semi")
 
     def add(self, decided: DataFrame) -> None:
@@ -68,7 +68,7 @@ class RequestIndex:
         The filter is written first: an id in the filter without an answer is only looked up in vain, so a run that stops
         in between is repeated.
         """
-        new = stage(decided.select(*self.answers.schema.names), "answers")
+        new = packed(decided.select(*self.answers.schema.names), "answers")
         bits = new.select(self._block(F.col("request_id")).alias("block"), F.explode(_positions(F.col("request_id"))).alias("position"))
         fresh = bits.groupBy("block").agg(F.bitmap_construct_agg("position").alias("bits"))
         blocks = self.bloom.touched(new.select(self._block(F.col("request_id"))))
@@ -87,7 +87,7 @@ class Decisions(NamedTuple):
 
 
 def decide_once(
-    requests: DataFrame, objects: DataFrame, likes: DataFrame, index: RequestIndex, base: str = BASE, keep: Stage = stage
+    requests: DataFrame, objects: DataFrame, likes: DataFrame, index: RequestIndex, base: str = BASE, keep: Stage = packed
 ) -> Decisions:
     """Decide the requests the index does not know; the others have no decision, so nothing is made of them again.
 
@@ -100,7 +100,7 @@ def decide_once(
 
 
 def apply_once(
-    requests: DataFrame, objects: DataFrame, likes: DataFrame, index: RequestIndex, base: str = BASE, keep: Stage = stage
+    requests: DataFrame, objects: DataFrame, likes: DataFrame, index: RequestIndex, base: str = BASE, keep: Stage = packed
 ) -> tuple[Outcome, DataFrame]:
     """apply_activities for the requests the index does not know, and the answers to the others."""
     decided, replayed = decide_once(requests, objects, likes, index, base, keep)

@@ -17,7 +17,7 @@ from newsloom.functions import documents as docs, text as tx, times, urls
 from newsloom.operators import activities as act, enrichment, objects as ob, postings, quality, reactions, recency, replay, search, state, tagging, threads, variants
 from newsloom.operators.merge import latest_per_key
 from newsloom.plans import refresh, views
-from newsloom.session import configure, shared_folder, stage
+from newsloom.session import configure, packed, shared_folder, stage
 from newsloom.sources import feeds, manifest, pages, tables
 from newsloom.streaming import jobs
 
@@ -602,7 +602,7 @@ def clean_text_tagging(spark, sf_dir):
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions as apply_activities keeps them: what follows reads them more than once."""
-    return stage(act.decide(views.requests(spark, sf_dir), views.board(spark, sf_dir), views.likes(spark, sf_dir)))
+    return packed(act.decide(views.requests(spark, sf_dir), views.board(spark, sf_dir), views.likes(spark, sf_dir)))
 
 
 @query
@@ -661,7 +661,7 @@ def replayed_requests(spark, sf_dir):
     batch = views.requests(spark, sf_dir)
     first, _ = replay.apply_once(batch, views.board(spark, sf_dir), views.likes(spark, sf_dir), index)
     index.add(first.decided)
-    objects, likes = stage(first.objects.select("id", "deleted", "object_json")), stage(first.likes)
+    objects, likes = packed(first.objects.select("id", "deleted", "object_json")), packed(first.likes)
     opposite = likes.select(
         F.concat(F.lit("o/"), "actor", F.lit("/"), "object_id").alias("request_id"),
         F.when(F.col("reaction_type") == "Like", "Dislike").otherwise("Like").alias("type"), "actor", "object_id",
@@ -670,7 +670,7 @@ def replayed_requests(spark, sf_dir):
     for delivery in (opposite, batch):
         done = replay.decide_once(delivery, objects, likes, index)
         index.add(done.decided)
-        likes = stage(act.reaction_state(done.decided, likes))
+        likes = packed(act.reaction_state(done.decided, likes))
         logs.append(act.activity_rows(done.decided))
     logged = logs[0].unionByName(logs[1]).unionByName(logs[2]).filter("type in ('Like', 'Dislike')")
     twice = logged.groupBy("actor", "object_id").agg((F.count("*") - F.countDistinct("id")).alias("n_twice"))

@@ -66,19 +66,24 @@ def shared_folder(spark: SparkSession) -> str:
 _staged: list[str] = []
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+def stage(df: DataFrame, name: str = "stage", compression: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and continue from there.
 
     The table survives lost executors and cuts the lineage, and its real size lets Spark choose the joins
-    that follow. It is written once and read a few times, so it is packed with zstd.
+    that follow.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _staged.append(path)
-    df.write.parquet(path, compression="zstd")
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, name: str = "stage") -> DataFrame:
+    """:func:`stage` with zstd, for many narrow rows that are read a few times."""
+    return stage(df, name, "zstd")
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete the tables staged so far. Call it when the results that read them are written."""
     while _staged:

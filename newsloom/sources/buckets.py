@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from newsloom.session import stage
+from newsloom.session import packed
 
 
 class BucketTable:
@@ -56,7 +56,7 @@ class BucketTable:
     def replace(self, rows: DataFrame, buckets: list[int]) -> None:
         """Put ``rows``, which fall into ``buckets``, in place of what these folders hold."""
         names = self.schema.names
-        done = stage(rows.select(*names).withColumn("bucket", self.bucket(F.col(self.key))), "buckets")
+        done = packed(rows.select(*names).withColumn("bucket", self.bucket(F.col(self.key))), "buckets")
         # the hint lets AQE split a folder with a large share of the rows
         laid_out = done.hint("rebalance", "bucket").sortWithinPartitions("bucket", self.key)
         laid_out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path, compression="zstd")
@@ -69,7 +69,7 @@ class BucketTable:
         """Deal all rows into another, larger number of folders; the old ones go when the new ones are whole."""
         if buckets <= self.buckets:
             raise ValueError("a table is rebuilt with more buckets")
-        rows, old = stage(self.read(), "buckets"), self.path
+        rows, old = packed(self.read(), "buckets"), self.path
         self.buckets = buckets
         self.replace(rows, list(range(buckets)))
         folder, system = self._system(old)

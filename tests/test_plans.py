@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import objects as ob, reactions, threads
 from newsloom.operators.merge import S, merge
-from newsloom.session import stage
+from newsloom.session import packed, stage
 
 
 @contextmanager
@@ -84,6 +84,7 @@ def test_thread_facts_are_read_before_they_are_shuffled(spark):
 
 
 def test_staged_tables_are_packed(spark, tmp_path):
-    staged = stage(spark.range(10).selectExpr("id"), "packed")
+    staged = packed(spark.range(10).selectExpr("id"), "packed")
+    assert all(name.endswith(".snappy.parquet") for name in stage(spark.range(10).selectExpr("id")).inputFiles())
     assert staged.inputFiles() and all(name.endswith(".zstd.parquet") for name in staged.inputFiles())
     assert staged.count() == 10
