@@ -1,11 +1,13 @@
+import random
 from datetime import datetime, timedelta
 
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from newsloom.operators import activities as act, objects as ob, reactions
 from newsloom.plans import views
 from newsloom.sources.tables import read_table, write_table
 from newsloom.streaming import jobs, versions
+from newsloom.streaming.reactions import CurrentReaction
 from tests.test_merge import _objects, rows
 
 SF = "/root/testdata/sf0.001"
@@ -214,3 +216,91 @@ def test_a_row_dated_ahead_does_not_move_the_watermark(spark, tmp_path):
     expected = [("a", 1, 0), ("b", 2, 0)]
     assert rows(jobs.current_reaction_counts(spark, out, F.lit("2026-01-02").cast("date"))) == expected
     assert rows(reactions.reaction_counts(spark.read.parquet(folder), F.lit("2026-01-02").cast("date"))) == expected
+
+
+class States:
+    """A state handle in memory that counts the calls to its states."""
+
+    def __init__(self):
+        self.calls, self.states = 0, {}
+
+    def getValueState(self, name, *schema):
+        return self.states.setdefault(name, States.Value(self))
+
+    def getMapState(self, name, *schema):
+        return self.states.setdefault(name, States.Map(self))
+
+    class Value:
+        def __init__(self, handle):
+            self.handle, self.value = handle, None
+
+        def get(self):
+            self.handle.calls += 1
+            return self.value
+
+        def exists(self):
+            return self.get() is not None
+
+        def update(self, value):
+            self.handle.calls += 1
+            self.value = tuple(value)
+
+    class Map:
+        def __init__(self, handle):
+            self.handle, self.entries = handle, {}
+
+        def counted(self):
+            self.handle.calls += 1
+            return self.entries
+
+        def containsKey(self, key):
+            return key in self.counted()
+
+        def getValue(self, key):
+            return self.counted().get(key)
+
+        def updateValue(self, key, value):
+            self.counted()[key] = tuple(value)
+
+        def removeKey(self, key):
+            self.counted().pop(key)
+
+        def iterator(self):
+            return iter(list(self.counted().items()))
+
+
+def cell_of(handle, lateness=50):
+    processor = CurrentReaction(lateness)
+    processor.init(handle)
+    return lambda requests: [tuple(r) for r in processor.handleInputRows((0,), iter(requests), None)]
+
+
+def request(n, pair, at, kind="Like"):
+    return Row(cell=0, actor=f"u{pair}", object_id="o", request_id=f"r{n:05}", activity_id=f"x{n}", type=kind, at=at)
+
+
+def test_a_new_pair_is_one_call_to_the_state():
+    """Calls to the state are what the stateful stage takes its time for."""
+    handle = States()
+    take = cell_of(handle)
+    assert len(take([request(n, n, n) for n in range(500)])) == 500
+    assert handle.calls <= 510
+    # many known ones are read in one go, a few by themselves
+    handle.calls = 0
+    assert len(take([request(1000 + n, n, 1000 + n, "Dislike") for n in range(500)])) == 500
+    assert handle.calls <= 510
+    handle.calls = 0
+    assert len(take([request(5000, 7, 5000)])) == 1
+    assert handle.calls <= 3
+
+
+def test_pairs_of_a_cell_keep_apart():
+    """Pairs with few and with many requests, in any order, in one cell: each is as if alone."""
+    for seed in range(30):
+        chance = random.Random(seed)
+        together, alone = cell_of(States()), [cell_of(States()) for _ in range(6)]
+        for batch in range(5):
+            requests = [request(100 * batch + n, chance.choice([0, 0, 0, 1, 2, 3, 4, 5]), chance.randrange(40 * batch, 40 * batch + 90),
+                                chance.choice(["Like", "Dislike"])) for n in range(chance.choice([2, 40, 90]))]
+            apart = [row for p, take in enumerate(alone) for row in take([r for r in requests if r.actor == f"u{p}"])]
+            assert sorted(together(requests), key=repr) == sorted(apart, key=repr)
