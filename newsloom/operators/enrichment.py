@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -11,7 +11,8 @@ from newsloom.functions.text import longer, non_blank
 from newsloom.functions.times import parse_iso, rfc3339
 from newsloom.functions.urls import BASE, authority, is_http_url, scraped_id, site
 from newsloom.operators.merge import latest_per_key
-from newsloom.operators.objects import apply_og, pending_og
+from newsloom.operators.objects import apply_og, is_pending_og, pending_og
+from newsloom.session import stage
 
 
 def merged_fields(document: Column, page: dict[str, Column]) -> dict[str, Column]:
@@ -30,14 +31,15 @@ def merged_fields(document: Column, page: dict[str, Column]) -> dict[str, Column
     }
 
 
-def og_results(pending: DataFrame, pages: DataFrame) -> DataFrame:
-    """Outcome for every pending article: the enriched document, or the document as it was with an error.
+def page_results(pending: DataFrame, pages: DataFrame) -> DataFrame:
+    """``pending`` with its document, flag and error text as the page metadata leave them; other columns are carried along.
 
-    ``pages`` has one row of metadata per ``page_url``. Rows whose document cannot be read are left pending;
+    ``pages`` has one row of metadata per ``page_url``. Rows whose document cannot be read are left as they are, pending;
     every other row is marked as processed, found or not, so that no row is retried for ever.
     """
-    readable = pending.filter(F.json_object_keys("object_json").isNotNull())
-    wanted = readable.withColumn("page_url", F.nullif(text_field(F.col("object_json"), "url"), F.lit("")))
+    readable = F.json_object_keys("object_json").isNotNull()
+    url = F.when(readable, F.nullif(text_field(F.col("object_json"), "url"), F.lit("")))
+    wanted = pending.withColumns({"_readable": readable, "page_url": url})
     names = ["title", "description", "image", "published_time", "modified_time"]
     unique = latest_per_key(pages, "page_url", [F.col(name) for name in names])
     joined = wanted.join(unique.select("page_url", *names, F.lit(True).alias("found")), "page_url", "left")
@@ -46,16 +48,35 @@ def og_results(pending: DataFrame, pages: DataFrame) -> DataFrame:
     error = F.when(F.col("page_url").isNull(), "Missing url in object_json").when(
         F.col("found").isNull(), "Fetch/Parse error: no page"
     )
-    return (
-        with_fields(joined, "object_json", fields, out="enriched")
-        .withColumn("og_enriched_error", error)
-        .select(
-            "id",
-            F.when(F.col("found"), F.col("enriched")).otherwise(F.col("object_json")).alias("object_json"),
-            F.lit(True).alias("og_enriched"),
-            "og_enriched_error",
-        )
-    )
+    results = {
+        "object_json": F.when(F.col("found"), F.col("enriched")).otherwise(F.col("object_json")),
+        "og_enriched": F.col("og_enriched") | F.col("_readable"),
+        "og_enriched_error": F.when(F.col("_readable"), error).otherwise(F.col("og_enriched_error")),
+    }
+    done = with_fields(joined, "object_json", fields, out="enriched").withColumns(results)
+    return done.select(*pending.columns)
+
+
+def og_results(pending: DataFrame, pages: DataFrame) -> DataFrame:
+    """Outcome for every pending article (id, object_json) that can be read: the document, enriched where its page is known, the flag and the error."""
+    unmarked = pending.withColumns({"og_enriched": F.lit(False), "og_enriched_error": F.lit(None).cast("string")})
+    results = page_results(unmarked.filter(F.json_object_keys("object_json").isNotNull()), pages)
+    return results.select("id", "object_json", "og_enriched", "og_enriched_error")
+
+
+def enrich_in_place(objects: DataFrame, pages: DataFrame, keep: Callable[[DataFrame], DataFrame] = stage) -> DataFrame:
+    """:func:`enrich_pages` for a table that is written out: a row whose id no other row has takes its result with it, and no join by id moves documents.
+
+    Rows that share an id take the best of their results, as in the merge.
+    """
+    often = keep(objects.groupBy("id").count().filter("count > 1 and id is not null").select("id", F.lit(True).alias("_shared")))
+    marked = objects.join(often, "id", "left").withColumn("_shared", F.coalesce("_shared", F.lit(False)))
+    # what has no id is no merge's target
+    waits = F.coalesce(is_pending_og() & F.col("id").isNotNull(), F.lit(False))
+    done = keep(page_results(marked.filter(waits), pages))
+    shared = apply_og(marked.filter("_shared"), done.filter("_shared and og_enriched"))
+    alone = marked.filter(~F.col("_shared") & ~waits).unionByName(done.filter("not _shared"))
+    return alone.unionByName(shared).select(*objects.columns)
 
 
 def enrich_pages(

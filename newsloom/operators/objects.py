@@ -20,13 +20,18 @@ def lookup_objects(ids: DataFrame, objects: DataFrame) -> DataFrame:
     return ids.join(state, "id", "left")
 
 
+def is_pending_og(sources: Sequence[str] | None = None) -> Column:
+    """True for live articles without page metadata (NULL where that is unknown); for ``sources`` see :func:`pending_og`."""
+    origin = F.col("source").isin(*sources) if sources else ~F.col("source").isin("scraped", "user")
+    return ~F.col("deleted") & origin & ~F.col("og_enriched")
+
+
 def pending_og(objects: DataFrame, sources: Sequence[str] | None = None, batch: int | None = None) -> DataFrame:
     """Live articles without page metadata, newest first.
 
     Without ``sources`` every feed source qualifies: scraped rows arrive enriched and users' notes have no page.
     """
-    origin = F.col("source").isin(*sources) if sources else ~F.col("source").isin("scraped", "user")
-    pending = live(objects).filter(origin & ~F.col("og_enriched"))
+    pending = objects.filter(is_pending_og(sources))
     if batch is None:
         return pending.select("id", "object_json")
     newest = pending.select("id", "published").orderBy(F.desc("published"), "id").limit(batch)

@@ -8,9 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.functions.urls import BASE
-from newsloom.operators.enrichment import og_results
+from newsloom.operators.enrichment import enrich_in_place
 from newsloom.operators.merge import latest_per_key
-from newsloom.operators.objects import apply_og, apply_tags, pending_og, upsert_articles
+from newsloom.operators.objects import apply_tags, upsert_articles
 from newsloom.operators.reactions import apply_counter_changes, counter_changes, last_activity, reaction_counts
 from newsloom.operators.recency import Recency
 from newsloom.operators.state import advanced_markers, config_put, new_since
@@ -37,7 +37,7 @@ def ingest(
 
 @dataclass
 class Refreshed:
-    """What a refresh changes: the rows that replace and the new ones, and the ids they go by."""
+    """What a refresh changes: the rows that replace and the new ones, and the ids and publication times (id, published) they go by."""
 
     rows: DataFrame
     ids: DataFrame
@@ -47,21 +47,21 @@ def refreshed(
     objects: DataFrame, articles: DataFrame, metadata: DataFrame, changes: DataFrame, lexicon: DataFrame | None = None,
     keep: Stage = stage,
 ) -> Refreshed:
-    """All jobs in order on the objects they can change, and on no others.
+    """All jobs on the objects they can change, and on no others.
 
     These are the rows with an article or a counter change of their own, and rows that wait for page metadata or tags. They
-    are picked in one pass over the objects; what follows works on them alone. ``articles`` and ``changes`` (see
-    counter_changes) have unique ids and are written out.
+    are picked in one pass over the objects, in which articles and counters are merged in, and written out once; neither page
+    metadata nor tags depend on what the counters' job writes. ``articles`` and ``changes`` (see counter_changes) have unique
+    ids and are written out. ``rows`` is not: it is for one use.
     """
     named = articles.select("id").union(changes.select("id")).distinct().withColumn("_named", F.lit(True))
     waiting = ~F.col("deleted") & (~F.col("og_enriched") | ~F.col("tags_enriched"))
     columns = [c for c in objects.columns if c != "published_date"]
-    chosen = keep(objects.join(named, "id", "left").filter(F.coalesce(F.col("_named"), F.lit(False)) | waiting).select(*columns))
-    with_articles = upsert_articles(chosen, articles)
-    with_pages = apply_og(with_articles, keep(og_results(pending_og(with_articles), metadata)))
-    with_tags = apply_tags(with_pages, keep(tag_objects(with_pages, lexicon)))
-    rows = keep(apply_counter_changes(with_tags, changes))
-    return Refreshed(rows, rows.select("id"))
+    chosen = objects.join(named, "id", "left").filter(F.coalesce(F.col("_named"), F.lit(False)) | waiting).select(*columns)
+    merged = keep(apply_counter_changes(upsert_articles(chosen, articles), changes))
+    with_pages = enrich_in_place(merged, metadata, keep)
+    rows = apply_tags(with_pages, keep(tag_objects(with_pages, lexicon)))
+    return Refreshed(rows, merged.select("id", "published"))
 
 
 def unique_articles(feeds: DataFrame, base: str = BASE, config: DataFrame | None = None, now: Column | None = None) -> DataFrame:
@@ -119,7 +119,7 @@ def run_refresh(
     rows = with_published_date(done.rows)
     # a row per date: as many as the table has folders at most
     old = objects.select("id", "published_date").join(done.ids, "id", "left_semi").select("published_date")
-    dates = [r[0] for r in old.union(rows.select("published_date")).distinct().collect()]
+    dates = [r[0] for r in old.union(with_published_date(done.ids).select("published_date")).distinct().collect()]
     others = objects.filter(F.col("published_date").isin(dates)).join(done.ids, "id", "left_anti")
     run.rewrite("objects", others.unionByName(rows.select(*others.columns)), dates)
     moved = advanced_markers(config, feeds, run_time, now, "feeds")

@@ -5,12 +5,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom import schemas
-from newsloom.operators import quality, state
+from newsloom.operators import enrichment, quality, state
 from newsloom.operators.recency import Recency
 from newsloom.plans import refresh, views
 from newsloom.session import configure, stage
 from newsloom.sources import manifest, tables
 from newsloom.sources.feeds import parse_feeds
+from newsloom.sources.pages import extract_page_metadata
 from tests.test_merge import _objects, rows
 
 SF = "/root/testdata/sf0.001"
@@ -130,6 +131,49 @@ def test_a_run_reads_and_writes_its_dates_only(spark, tmp_path):
     assert pruned.count() == 1 and "PartitionFilters: [isnotnull(published_date" in pruned._jdf.queryExecution().executedPlan().toString()
 
 
+def test_page_metadata_in_place_is_the_merge(spark):
+    """Also where rows share an id, have none, or hold a document that cannot be read."""
+    def doc(name, url):
+        return json.dumps({"name": name, "url": url})
+
+    objects = _objects(spark, [dict(og_enriched=False) | row for row in [
+        dict(id="one", source="hs", object_json=doc("a", "https://n/1")), dict(id="lost", source="hs", object_json=doc("a", "https://n/9")),
+        dict(id="none", source="hs", object_json="{}"), dict(id="bad", source="hs", object_json="[1"), dict(id="null", source="hs", object_json=None),
+        dict(id="gone", source="hs", deleted=True, object_json=doc("a", "https://n/1")), dict(id="note", source="user", object_json=doc("a", "https://n/1")),
+        dict(id="twice", source="hs", object_json=doc("b", "https://n/9")), dict(id="twice", source="hs", object_json=doc("c", "https://n/2")),
+        dict(id="twice", source="user", og_enriched=True, object_json="x"), dict(id="unread", source="hs", object_json="?"), dict(id="unread", source="hs", object_json="!"),
+        dict(id=None, source="hs", object_json=doc("d", "https://n/1")), dict(id=None, source="hs", object_json=doc("d", "https://n/1")),
+    ]])
+    pages = spark.createDataFrame(
+        [("https://n/1", "a longer title", None, "https://i", None, None), ("https://n/2", "second title", "text", None, None, None), ("https://n/2", "also second", None, None, None, None)],
+        "page_url string, title string, description string, image string, published_time string, modified_time string")
+    in_place = enrichment.enrich_in_place(objects, pages)
+    assert in_place.columns == objects.columns
+    assert rows(in_place) == rows(enrichment.enrich_pages(objects, pages))
+    assert {r.id: r.og_enriched for r in in_place.filter("id is not null").collect()} == {
+        "one": True, "lost": True, "none": True, "bad": False, "null": False, "gone": False, "note": False, "twice": True, "unread": False}
+
+
+def test_a_refresh_merges_articles_and_counters_once(spark, tmp_path):
+    """One of its steps reads them; those after it go on from what that one wrote."""
+    stored, inputs = small_store(spark, str(tmp_path / "s"))
+    objects = stored.read("objects")
+    articles = stage(refresh.unique_articles(inputs["feeds"]), "articles")
+    changes = stage(objects.select("id", F.lit(1).cast("bigint").alias("like_count"), F.lit(0).cast("bigint").alias("dislike_count"), F.lit(None).cast("timestamp").alias("last_activity_at")), "changes")
+    steps = []
+
+    def keep(df):
+        steps.append(df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted"))
+        return stage(df)
+
+    done = refresh.refreshed(objects, articles, extract_page_metadata(inputs["pages"]), changes, keep=keep)
+    keep(done.rows)
+    assert done.rows.count() == done.ids.count() == 5
+    for table in (objects, articles, changes):
+        folder = table.inputFiles()[0].removeprefix("file:").lstrip("/").split("/run=")[0].rsplit("/part-")[0]
+        assert [folder in step for step in steps] == [True] + [False] * (len(steps) - 1)
+
+
 def test_config_put_replaces_and_adds(spark):
     config = spark.createDataFrame([("a", "1", None, "x"), ("b", "2", None, "x")], "key string, value string, updated_at timestamp, updated_by string")
     put = state.config_put(config, spark.createDataFrame([("b", "3"), ("c", "4")], "key string, value string"), F.current_timestamp(), "job")
