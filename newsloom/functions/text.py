@@ -21,6 +21,8 @@ _PLAIN_ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"),
     ("&nbsp;", "\u00a0"), ("&amp;", "&"),
 ]
+# those of them that few texts have
+_RARE_ENTITY = "&(?:" + "|".join(entity[1:-1] for entity, _ in _PLAIN_ENTITIES[:-1]) + ");"
 _OTHER_ENTITY = r"&(?!(?:lt|gt|quot|apos|#39|#x27|nbsp|amp);)[#A-Za-z]"
 
 
@@ -59,6 +61,9 @@ def unescape(text: Column) -> Column:
     plain = text
     for entity, character in _PLAIN_ENTITIES:
         plain = F.replace(plain, F.lit(entity), F.lit(character))
+    # each replacement is a slow pass over the text, so those with nothing to find are left out
+    last = [F.lit(part) for part in _PLAIN_ENTITIES[-1]]
+    plain = F.when(~F.contains(text, F.lit("&")), text).when(text.rlike(_RARE_ENTITY), plain).otherwise(F.replace(text, *last))
     other = text.rlike(_OTHER_ENTITY)
     return F.when(other, _full_table_unescape()(F.when(other, text))).otherwise(plain)
 

@@ -16,7 +16,7 @@ from newsloom.operators.recency import Recency
 from newsloom.operators.state import advanced_markers, config_put, new_since
 from newsloom.operators.tagging import tag_objects
 from newsloom.session import stage
-from newsloom.sources.feeds import feed_articles, parse_feeds
+from newsloom.sources.feeds import cleaned_items, dated_items, feed_articles
 from newsloom.sources.manifest import Store
 from newsloom.sources.pages import extract_page_metadata
 from newsloom.sources.tables import with_published_date
@@ -69,10 +69,10 @@ def unique_articles(feeds: DataFrame, base: str = BASE, config: DataFrame | None
 
     With ``config`` and ``now`` only items newer than their source's last successful fetch are taken.
     """
-    items = parse_feeds(feeds)
+    items = dated_items(feeds)
     if config is not None:
         items = new_since(items, config, now)
-    return latest_per_key(feed_articles(items, base), "id", [F.desc("updated"), F.desc("object_json")])
+    return latest_per_key(feed_articles(cleaned_items(items), base), "id", [F.desc("updated"), F.desc("object_json")])
 
 
 def refresh(

@@ -142,10 +142,10 @@ def damaged_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     return lost.filter("piece.feed is null").select(*carried, "piece.fragment", F.lit("not readable as an item").alias("reason"))
 
 
-def feed_items(feeds: DataFrame, xml: str = "xml", atom_dates: bool = False) -> DataFrame:
-    """Every item of every feed document, dated or not; other input columns are carried along.
+def raw_items(feeds: DataFrame, xml: str = "xml", atom_dates: bool = False) -> DataFrame:
+    """Every item of every feed document, dated or not, with title and summary as they stand; other input columns are carried along.
 
-    Of a damaged document these are the items that can be read by themselves. ``atom_dates`` also accepts an item's
+    Cleaning the texts (:func:`cleaned_items`) is most of the work, so it comes after whatever chooses items. Of a damaged document these are the items that can be read by themselves. ``atom_dates`` also accepts an item's
     atom:updated: as the publication date when there is none, and as the update time.
     """
     carried = [name for name in feeds.columns if name != xml]
@@ -171,20 +171,35 @@ def feed_items(feeds: DataFrame, xml: str = "xml", atom_dates: bool = False) ->
         updated = F.coalesce(atom, published)
     fields = rows.select(
         *carried,
-        bare_text(_first(item["title"])).alias("title"),
+        _first(item["title"]).alias("title"),
         F.coalesce(strip(_first(item["link"])), F.lit("")).alias("link"),
-        bare_text(_first(item["description"])).alias("summary"),
+        _first(item["description"]).alias("summary"),
         published.alias("published"),
         updated.alias("updated"),
         image_url(item, F.col("channel_image")).alias("image_url"),
     )
-    dated = pinned(fields, "published", "link")
-    return dated.withColumns({name: strip(unescape(F.col(name))) for name in ["title", "summary"]})
+    return pinned(fields, "published", "link")
+
+
+def cleaned_items(items: DataFrame) -> DataFrame:
+    """Items with clean titles and summaries."""
+    bare = items.withColumns({name: bare_text(F.col(name)) for name in ["title", "summary"]})
+    return bare.withColumns({name: strip(unescape(F.col(name))) for name in ["title", "summary"]})
+
+
+def feed_items(feeds: DataFrame, xml: str = "xml", atom_dates: bool = False) -> DataFrame:
+    """:func:`raw_items` with clean texts."""
+    return cleaned_items(raw_items(feeds, xml, atom_dates))
+
+
+def dated_items(feeds: DataFrame, xml: str = "xml", atom_dates: bool = False) -> DataFrame:
+    """Raw items with a date and a link. (Items without a link would all share one id.)"""
+    return raw_items(feeds, xml, atom_dates).filter(F.col("published").isNotNull() & (F.col("link") != ""))
 
 
 def parse_feeds(feeds: DataFrame, xml: str = "xml", atom_dates: bool = False) -> DataFrame:
-    """Dated items with a link. (Items without a link would all share one id.)"""
-    return feed_items(feeds, xml, atom_dates).filter(F.col("published").isNotNull() & (F.col("link") != ""))
+    """:func:`dated_items` with clean texts."""
+    return cleaned_items(dated_items(feeds, xml, atom_dates))
 
 
 def undated_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.functions.rows import pinned
-from newsloom.functions.text import unescape
+from newsloom.functions.text import bind, unescape
 from newsloom.functions.urls import absolute_url, site
 
-_INVISIBLE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+# begins with a character, so that what cannot match is passed quickly
+_INVISIBLE = r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>)"
 _ATTRIBUTE = r"""([^\s"'<>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
 _TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 
@@ -31,15 +32,19 @@ def _tags(html: Column, name: str) -> Column:
 
 def _attributes(tag: Column) -> Column:
     """Attributes of a tag in order, names in lower case, values without quotes."""
-    names = F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(1))
-    values = F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(2))
-    return F.zip_with(
-        names,
-        values,
-        lambda name, value: F.struct(
-            F.lower(name).alias("name"), F.regexp_replace(value, r"^[\"']|[\"']$", "").alias("value")
-        ),
-    )
+    space = F.lit(" \t\n\x0b\f\r")
+
+    def unquoted(value: Column) -> Column:
+        quoted = F.substring(value, 1, 1).isin("'", '"')
+        return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(F.regexp_replace(value, r"[\"']$", ""))
+
+    def read(part: Column) -> Column:
+        # a name has no equals sign, so the first one ends it
+        name = F.lower(F.rtrim(F.substring_index(part, "=", 1), space))
+        value = bind(F.ltrim(F.substring(part, F.instr(part, "=") + 1, F.length(part)), space), unquoted)
+        return F.struct(name.alias("name"), value.alias("value"))
+
+    return F.transform(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(0)), read)
 
 
 def _attribute(attributes: Column, name: str) -> Column:

@@ -50,6 +50,16 @@ def test_only_newer_items_are_taken_and_markers_move_after_success(spark):
     assert moved.count() == feeds.select("source").distinct().count()
 
 
+def test_only_items_that_are_taken_are_cleaned(spark):
+    feeds = spark.createDataFrame([("hs", FEED.format(ITEM.format("x &amp;amp; y", "Wed, 31 Jan 2024 12:00:00 GMT")))], "source string, xml string")
+    config = spark.createDataFrame([], schemas.CONFIG)
+    taken = refresh.unique_articles(feeds, config=config, now=F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    assert [json.loads(r.object_json)["name"] for r in taken.collect()] == ["x & y"]
+    plan = taken._jdf.queryExecution().optimizedPlan().toString()
+    # from the result down: entities are decoded after the join with the markers, which only chooses rows
+    assert plan.index("ArrowEvalPython") < plan.index("_since")
+
+
 FEED = "<rss><channel>{}</channel></rss>"
 ITEM = "<item><title>{0}</title><link>https://n/{0}</link><pubDate>{1}</pubDate></item>"
 
